@@ -1,0 +1,248 @@
+"""Registered queries: whole jobs."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators.documents import build_metadata, flatten_metadata
+from ..plans import files as PF
+from ..plans import integrity as PI
+from ..plans import reports as PR
+from ..session import scratch_path
+from ..sources.readers import read_dataset_rows
+from ..sources.shapes import (
+    BASE_URL,
+    catalog,
+    dataset_rows,
+    deploy_log,
+    failure_log,
+    launch_options,
+    link_lines,
+    report_headers,
+    resolution_reports,
+    upload_files,
+    usage_report,
+)
+from .aggregates import CONSISTENCY_SQL, consistency_rules
+from .documents import CONTACT
+from .joins import COVERAGE_SQL, LEVELS_SQL, denied, level_tables
+from .registry import query
+from .snippets import ANCHORS, DEPLOY_LOG, FAILURE_LOG, FLAT_FIELDS, LAUNCH_OPTIONS
+
+
+def failed(t):
+    deny = denied(t).select(F.col("user_id").cast("string").alias("ip"))
+    return PR.failed_identifiers(failure_log(t.events), deny, BASE_URL)
+
+
+@query(
+    "job_01_failed_identifiers",
+    f"""WITH {FAILURE_LOG}, h AS (SELECT pid, count(*) AS hits, min(time) AS first_seen FROM kept GROUP BY pid)
+        SELECT row_number() OVER (ORDER BY hits DESC, first_seen, pid) AS rank, hits, pid,
+               'https://data.example.org/dataset.xhtml?persistentId=' || pid AS url FROM h""",
+)
+def job_01(t):
+    return failed(t)["ranked"].select("rank", "hits", "pid", "url")
+
+
+@query(
+    "job_01_details",
+    f"""WITH {FAILURE_LOG} SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY time, event_id) AS position,
+        split_part(method || ' ' || uri || ' from ' || ip || ' at ' || strftime(time, '%Y-%m-%d %H:%M:%S.%f'), '.', 1) AS line FROM kept""",
+)
+def job_01_details(t):
+    return failed(t)["details"].withColumn("line", F.substring_index("line", ".", 1))
+
+
+@query(
+    "job_02_resolution_backfill",
+    """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages),
+       i AS (SELECT page_id, unnest(range(0, len(l))) AS i FROM a WHERE page_id % 7 IN (2, 3) )
+       SELECT '2024-0' || (page_id % 7 + 1) AS month, 'doi:10.5072/' || (page_id * 1000 + i) AS pid, i * 3 + page_id % 5 AS hits FROM i""",
+)
+def job_02(t):
+    # May (page_id % 7 = 4) is missing, so the backfill stops before it
+    reports = resolution_reports(t.pages).where("page_id % 7 <> 4")
+    found = PR.resolution_backfill(reports, "ACME.REPO", BASE_URL, "02_2024", dt.date(2024, 9, 10))
+    return found.select(F.date_format("report_month", "yyyy-MM").alias("month"), "pid", "hits")
+
+
+@query(
+    "job_03_usage_check",
+    """WITH e AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+       s AS (SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'A')
+       SELECT total, n, (SELECT count(*) FROM e WHERE n > 0) AS with_entries, (SELECT count(*) FROM e WHERE n = 0) AS without_entries,
+              n <> 0 AND (SELECT count(*) FROM e WHERE n = 0) > 0 AS alert FROM s""",
+)
+def job_03(t):
+    return PR.usage_check(report_headers(t.orders), usage_report(t.orders, t.lineitem), "A", "1997-05-28")["summary"]
+
+
+@query(
+    "job_04_installation_listing",
+    """SELECT row_number() OVER (ORDER BY lower(c_name), c_custkey) AS position, c_custkey || ' ' || c_name || ' ' || c_mktsegment AS line FROM customer""",
+)
+def job_04(t):
+    return PR.installation_listing(t.customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", "c_name", "c_mktsegment")
+
+
+@query(
+    "job_04_site_metrics",
+    """WITH r AS (SELECT * FROM orders WHERE o_custkey % 50 = 7 AND o_orderdate >= TIMESTAMP '1997-12-01' AND o_orderdate < TIMESTAMP '1998-01-01')
+       SELECT o_orderkey, 'o_orderstatus' AS key, o_orderstatus AS value FROM r
+       UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM r""",
+)
+def job_04_metrics(t):
+    records = t.orders.select(
+        "o_orderkey",
+        (F.col("o_custkey") % 50).alias("site"),
+        "o_orderdate",
+        "o_orderstatus",
+        F.array(F.struct(F.col("o_orderpriority").alias("priority"))).alias("metrics"),
+    )
+    return PR.site_metrics(records, "site", 7, "o_orderdate", "1997-12", ["o_orderkey"], "metrics")
+
+
+def integrity(t):
+    _, fields, overrides = level_tables(t)
+    return PI.template_integrity(catalog(t, "1995-02-01"), fields, overrides)
+
+
+@query("job_05_template_coverage", COVERAGE_SQL)
+def job_05(t):
+    return integrity(t)["coverage"].select("parent_name", "template_id", "block", "status")
+
+
+@query("job_05_template_levels", LEVELS_SQL)
+def job_05_levels(t):
+    return integrity(t)["levels"].select("parent_name", "field", "include", "required")
+
+
+def drift(t):
+    listing = launch_options(t.part)
+    a, b = (listing.where(F.col("listing") == kind).select("pos", "raw") for kind in ("PROMO", "SMALL"))
+    return PI.config_drift(a, b, "raw", "gizmo")
+
+
+@query(
+    "job_06_options_to_add",
+    f"""WITH {LAUNCH_OPTIONS} SELECT DISTINCT okey AS key, opt AS option,
+          CASE WHEN opt LIKE '-D%=https://%' THEN regexp_replace(opt, '=(.*)$', '=''\\1''') ELSE opt END AS to_set FROM listing
+        WHERE listing = 'PROMO' AND opt IS NOT NULL AND NOT regexp_matches(okey, 'gizmo')
+          AND okey NOT IN (SELECT okey FROM listing WHERE listing = 'SMALL' AND okey IS NOT NULL)""",
+)
+def job_06(t):
+    return drift(t)["to_add"]
+
+
+@query(
+    "job_06_repeated_keys",
+    f"""WITH {LAUNCH_OPTIONS}, d AS (SELECT DISTINCT opt, okey FROM listing WHERE listing = 'PROMO' AND opt IS NOT NULL)
+        SELECT okey AS key, opt AS option, count(*) OVER (PARTITION BY okey) AS n FROM d QUALIFY n > 1""",
+)
+def job_06_repeated(t):
+    return drift(t)["repeated"]
+
+
+@query(
+    "job_06_option_diff",
+    f"""WITH {LAUNCH_OPTIONS}, c AS (SELECT opt, okey, sum(CASE WHEN listing = 'PROMO' THEN 1 ELSE -1 END) AS n FROM listing
+          WHERE listing IN ('PROMO', 'SMALL') AND opt IS NOT NULL GROUP BY ALL)
+        SELECT opt AS option, okey AS key, CASE WHEN n > 0 THEN 'old' ELSE 'new' END AS side, CAST(abs(n) AS BIGINT) AS copies FROM c WHERE n <> 0""",
+)
+def job_06_diff(t):
+    return drift(t)["diff"]
+
+
+def index_check(t):
+    db_rules, index_rules = consistency_rules()
+    db = t.orders.withColumn("key", F.col("o_orderkey"))
+    return PI.index_consistency(db, t.lineitem.withColumn("key", F.col("l_orderkey")), "key", db_rules, index_rules)
+
+
+@query("job_07_index_verdicts", CONSISTENCY_SQL)
+def job_07(t):
+    return index_check(t)["verdicts"]
+
+
+@query(
+    "job_07_unmatched_keys",
+    """SELECT o_orderkey AS key, count(*) AS n_a, CAST(0 AS BIGINT) AS n_b, 'a_only' AS status FROM orders
+       WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1""",
+)
+def job_07_unmatched(t):
+    return index_check(t)["unmatched"]
+
+
+LOG_PATTERNS = {"relation_errors": "ERROR.*relation", "fatal": "FATAL", "policy": "default.policy"}
+
+
+@query(
+    "job_07_error_counts",
+    f"""WITH {DEPLOY_LOG} SELECT count(*) FILTER (regexp_matches(line, 'ERROR.*relation')) AS relation_errors,
+        count(*) FILTER (regexp_matches(line, 'FATAL')) AS fatal, count(*) FILTER (regexp_matches(line, 'default.policy')) AS policy FROM deploy_log""",
+)
+def job_07_counts(t):
+    return PI.index_errors(deploy_log(t.events), "line", LOG_PATTERNS, 3, "pos")["counts"]
+
+
+@query(
+    "job_07_recent_errors",
+    f"WITH {DEPLOY_LOG} SELECT run, pos, line FROM deploy_log WHERE regexp_matches(line, 'ERROR.*relation') ORDER BY pos DESC LIMIT 3",
+)
+def job_07_recent(t):
+    return PI.index_errors(deploy_log(t.events), "line", LOG_PATTERNS, 3, "pos")["recent"]
+
+
+def manifest(t):
+    files, responses = upload_files(t.documents, t.labels)
+    responses = files.select("doc_id", "path").join(responses, "doc_id").drop("doc_id")
+    return PF.registration_manifest(files.drop("doc_id"), responses, "path", "content", "storage", "status")
+
+
+@query(
+    "job_08_registration_manifest",
+    """SELECT '/upload/' || source || '/' || d.doc_id || '.nc' AS path, d.doc_id || '.nc' AS file_name,
+         '{"description":"NetCDF file upload.","directoryLabel":"data/netcdf","categories":["Data"],"restrict":"false","storageIdentifier":"s3://bucket:'
+         || d.doc_id || '","fileName":"' || d.doc_id || '.nc","mimeType":"application/x-netcdf","checksum":{"@type":"SHA-1","@value":"' || sha1(text) || '"}}' AS record
+       FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 AND toxic = 0""",
+)
+def job_08(t):
+    return manifest(t)[0]
+
+
+@query(
+    "job_08_refused_uploads",
+    """SELECT '/upload/' || source || '/' || d.doc_id || '.nc' AS path, CASE WHEN quality IS NULL OR quality = 0 THEN 'missing' ELSE 'error' END AS reason
+       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NULL OR quality = 0 OR toxic = 1""",
+)
+def job_08_refused(t):
+    return manifest(t)[1]
+
+
+@query(
+    "job_09_download_plan",
+    f"""WITH {ANCHORS}, e AS (
+      SELECT page_id, i, CASE WHEN i % 3 = 2 THEN 'folder' ELSE 'file' END AS kind,
+        CASE WHEN i % 3 = 2 THEN '/api/datasets/' || page_id || '/dirindex/?folder=dir%20' || i ELSE '/api/access/datafile/' || (page_id * 1000 + i) END AS target,
+        'base/' || CASE WHEN i % 3 = 2 THEN 'dir ' || i ELSE regexp_replace(label, '[^A-Za-z0-9._-]', '', 'g') END AS path FROM link_lines)
+    SELECT page_id, kind, target, path, CASE WHEN page_id % 5 = 0 THEN 'skip' ELSE 'fetch' END AS action FROM e
+    WHERE NOT (kind = 'file' AND page_id % 4 = 1 AND page_id % 2 = 1)""",
+)
+def job_09(t):
+    entries = PF.listing_entries(link_lines(t.pages), "page_id", "line", F.lit("base"))
+    files = entries.where("kind = 'file'")
+    recorded, present = files.where("page_id % 4 = 1"), files.where("page_id % 2 = 1")
+    statuses = entries.select("target", F.when(F.col("page_id") % 5 == 0, 403).otherwise(200).alias("status"))
+    plan = PF.download_plan(entries, recorded, present, statuses, "target", ignore_forbidden=True)
+    return plan.select("page_id", "kind", "target", "path", "action")
+
+
+@query("job_10_rows_to_metadata", f"WITH {FLAT_FIELDS} SELECT CAST(row_key AS VARCHAR) AS row_key, type_name, subfield, value FROM flat")
+def job_10(t):
+    path = scratch_path(t.spark, "sheet")
+    dataset_rows(t.part).write.csv(path, header=True, quote='"', escape='"')
+    documents = build_metadata(read_dataset_rows(t.spark, path), "row_key", CONTACT)
+    return flatten_metadata(documents, "row_key", "document").select("row_key", "type_name", "subfield", "value")

@@ -25,26 +25,26 @@ def win_01(t):
 
 
 CONTEXT_SQL = f"""WITH {LINES}, h AS (
-  SELECT doc_id, line_no, line, max(CASE WHEN regexp_matches(line, 'https?://') THEN 1 ELSE 0 END) OVER
+  SELECT doc_id, line_no, line, max(CASE WHEN regexp_matches(line, '[0-9]{{3}}') THEN 1 ELSE 0 END) OVER
     (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM h WHERE near = 1"""
 
 
 @query("win_02_context_of_text", CONTEXT_SQL)
 def win_02(t):
-    found = S.context_of_text(F.col("text"), "https?://")
+    found = S.context_of_text(F.col("text"), "[0-9]{3}")
     return t.documents.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
 @query("win_02_context_lines", CONTEXT_SQL)
 def win_02_lines(t):
-    return S.context_lines(lines(t.documents, "doc_id", "text"), "doc_id", "line_no", F.col("line").rlike("https?://"))
+    return S.context_lines(lines(t.documents, "doc_id", "text"), "doc_id", "line_no", F.col("line").rlike("[0-9]{3}"))
 
 
 @query(
     "win_02_first_context_lines",
     f"""WITH {LINES}, h AS (
-  SELECT doc_id, line_no, line, max(CASE WHEN regexp_matches(line, 'https?://') THEN 1 ELSE 0 END) OVER
+  SELECT doc_id, line_no, line, max(CASE WHEN regexp_matches(line, '[0-9]{{3}}') THEN 1 ELSE 0 END) OVER
     (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no FROM h WHERE near = 1 AND regexp_matches(line, 'e') ORDER BY doc_id, line_no LIMIT 5""",
 )

@@ -1,0 +1,69 @@
+"""Registered queries: streams drained to parquet, compared with their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources.shapes import daily_counts, state_events
+from ..streaming import operators as S
+from ..streaming.runner import file_stream, run_append, run_updates
+from .ordered import STABLE_SQL, STALL_SQL, STATE_SQL
+from .registry import query
+
+
+def event_stream(t):
+    return file_stream(t.spark, t.folder, t.events.schema, glob="events.parquet")
+
+
+def sample_stream(t):
+    """Daily samples landed as two sets of files, the earlier days first."""
+    path = scratch_path(t.spark, "samples")
+    samples = S.as_event_time(daily_counts(t.events))
+    middle = F.lit("2024-01-15").cast("timestamp")
+    samples.where(F.col("ts") < middle).coalesce(1).write.mode("append").parquet(path)
+    samples.where(F.col("ts") >= middle).coalesce(1).write.mode("append").parquet(path)
+    return file_stream(t.spark, path, samples.schema, files_per_batch=1)
+
+
+@query("stm_01_incremental", "SELECT event_id, user_id, event_type FROM events")
+def stm_01(t):
+    source, sink = scratch_path(t.spark, "incoming"), scratch_path(t.spark, "loaded")
+    rows = t.events.select("event_id", "user_id", "event_type", "ts")
+    middle = F.lit("2024-01-15").cast("timestamp_ntz")
+    rows.where(F.col("ts") < middle).write.mode("append").parquet(source)
+    S.incremental(t.spark, source, rows.schema, sink, f"{sink}-state")
+    rows.where(F.col("ts") >= middle).write.mode("append").parquet(source)
+    # the second call reads the new files only: nothing is loaded twice
+    return S.incremental(t.spark, source, rows.schema, sink, f"{sink}-state").drop("ts")
+
+
+@query("stm_02_stable", STABLE_SQL)
+def stm_02(t):
+    found = run_append(S.stream_stable(sample_stream(t), 2), "stable")
+    return found.select("series", F.date_format("stable_ts", "yyyy-MM-dd").alias("stable_day"), "stable_value")
+
+
+@query("stm_03_stall", STALL_SQL)
+def stm_03(t):
+    found = run_append(S.stream_stall(sample_stream(t), 172800), "stall").where("kind = 'sample'")
+    return found.select("series", F.date_format("ts", "yyyy-MM-dd").alias("day"), "idle_seconds")
+
+
+@query("stm_04_state", STATE_SQL)
+def stm_04(t):
+    return run_updates(S.stream_state(state_events(event_stream(t)), ["key", "type"], ["ts", "event_id"], "action"), "state", ["key", "type"])
+
+
+@query("stm_05_once", "SELECT DISTINCT user_id FROM events")
+def stm_05(t):
+    return run_append(S.stream_once(S.as_event_time(event_stream(t)), "user_id"), "once")
+
+
+@query(
+    "stm_06_hits",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS hits FROM events GROUP BY ALL",
+)
+def stm_06(t):
+    found = run_updates(S.stream_hits(S.as_event_time(event_stream(t)), "event_type"), "hits", ["period_start", "event_type"])
+    return found.select(F.date_format("period_start", "yyyy-MM-dd").alias("day"), "event_type", "hits")
