@@ -8,7 +8,7 @@ from ..functions.text import lines_of
 from ..operators import aggregates as A
 from ..operators.joins import exclude_denied
 from ..operators.logs import run_verdict
-from ..sources.shapes import day_chunk, deploy_log, description_tables, failure_log, usage_report
+from ..sources.shapes import deploy_log, description_tables, failure_log, usage_report
 from .joins import denied
 from .registry import query
 from .snippets import DEPLOY_LOG, FAILURE_LOG, FILES, LINES
@@ -45,7 +45,7 @@ SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY time, event_id) AS posi
 @query("agg_04_details", DETAILS_SQL)
 def agg_04(t):
     line = F.concat("method", F.lit(" "), "uri", F.lit(" from "), "ip")
-    return A.details(kept_log(t), "pid", ["time", "uri"], line, day_chunk(F.col("time")))
+    return A.details(kept_log(t), "pid", ["time", "uri"], line)
 
 
 @query(
@@ -79,7 +79,7 @@ def agg_06(t):
        count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS without_entries FROM orders""",
 )
 def agg_07(t):
-    return A.empty_split(usage_report(t.orders, t.lineitem), F.get("performance", F.lit(0))["instance"])
+    return A.empty_split(usage_report(t.orders, t.lineitem).where("part = 0"), F.get("performance", F.lit(0))["instance"])
 
 
 def consistency_rules():
@@ -137,7 +137,7 @@ def agg_11(t):
 
 @query(
     "agg_12_joined_names",
-    """SELECT p_type, string_agg(p_brand, ',' ORDER BY p_brand) AS names
+    """SELECT p_type, CAST(0 AS INTEGER) AS part, string_agg(p_brand, ',' ORDER BY p_brand) AS names
        FROM (SELECT DISTINCT p_type, p_brand FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2')) GROUP BY p_type""",
 )
 def agg_12(t):

@@ -75,7 +75,7 @@ def doc_03_add(t):
 
 def descriptions(t):
     datasets, files = description_tables(t.orders, t.lineitem)
-    return O.export_description(datasets, files, "o_orderkey", "ordinal", ["@id", "contentSize"])
+    return O.export_description(datasets, files, "o_orderkey", ["@id", "contentSize"])
 
 
 @query("doc_04_export_description", f"WITH {DESCRIPTIONS} SELECT o_orderkey, CAST(part AS INTEGER) AS part, document FROM descriptions")

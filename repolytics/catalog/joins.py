@@ -9,7 +9,7 @@ from ..operators import sets as S
 from ..operators.logs import classify
 from ..operators.trees import expand_tree
 from ..sources.readers import lines
-from ..sources.shapes import catalog, day_chunk, folder_edges, index_fields, launch_options
+from ..sources.shapes import catalog, folder_edges, index_fields, launch_options
 from .registry import query
 from .snippets import LAUNCH_OPTIONS, LINES, SHIPPED_PAIRS
 
@@ -169,7 +169,7 @@ def join_10(t):
 def join_10_many(t):
     left = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = t.events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("signup_ts"))
-    return J.as_of_join(left, right, "user_id", "ts", "signup_ts", day_chunk, ["signup_id"]).select("event_id", "signup_id")
+    return J.as_of_join(left, right, "user_id", "ts", "signup_ts", ["signup_id"]).select("event_id", "signup_id")
 
 
 # Line families looked for in document text.

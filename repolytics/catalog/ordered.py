@@ -9,7 +9,7 @@ from ..operators import ordering as O
 from ..operators import sequence as S
 from ..operators.aggregates import hits
 from ..sources.readers import lines
-from ..sources.shapes import daily_counts, day_chunk, state_events
+from ..sources.shapes import daily_counts, state_events
 from .aggregates import kept_log
 from .registry import query
 from .snippets import DAILY, FAILURE_LOG, LINES
@@ -67,7 +67,7 @@ def stable_days(df):
 
 @query("win_03_stable_at", STABLE_SQL)
 def win_03(t):
-    return stable_days(S.stable_at(daily_counts(t.events), ["series"], "ts", "doc_count", 2, day_chunk(F.col("ts"))))
+    return stable_days(S.stable_at(daily_counts(t.events), ["series"], "ts", "doc_count", 2))
 
 
 @query(
@@ -80,7 +80,7 @@ def win_03(t):
 )
 def win_03_increase(t):
     return stable_days(
-        S.stable_at(daily_counts(t.events), ["series"], "ts", "doc_count", 3, day_chunk(F.col("ts")), reset="increase")
+        S.stable_at(daily_counts(t.events), ["series"], "ts", "doc_count", 3, reset="increase")
     )
 
 
@@ -91,7 +91,7 @@ SELECT series, strftime(ts, '%Y-%m-%d') AS day, date_diff('second', inc, ts) AS
 
 @query("win_04_stalls", STALL_SQL)
 def win_04(t):
-    found = S.stalls(daily_counts(t.events), ["series"], "ts", "doc_count", 172800, day_chunk(F.col("ts")))
+    found = S.stalls(daily_counts(t.events), ["series"], "ts", "doc_count", 172800)
     return found.select("series", F.date_format("ts", "yyyy-MM-dd").alias("day"), "idle_seconds")
 
 

@@ -71,7 +71,7 @@ daily AS (
 
 FILES = """
 files AS (
-  SELECT l_orderkey AS o_orderkey, l_linenumber AS ordinal,
+  SELECT l_orderkey AS o_orderkey,
          l_linenumber || '-' || l_partkey || '-' || l_suppkey AS name,
          CAST(l_quantity AS BIGINT) AS bytes, l_partkey, l_returnflag,
          CASE WHEN l_returnflag = 'R' THEN 'text/plain; charset=US-ASCII' ELSE 'application/dbf' END AS encoding
@@ -79,14 +79,15 @@ files AS (
 )"""
 
 DESCRIPTIONS = FILES + """,
-lists AS (
-  SELECT o_orderkey, string_agg('{"@id":"' || name || '","contentSize":"' || bytes || '","contentUrl":"https://data.example.org/api/access/datafile/'
+numbered AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY o_orderkey ORDER BY name, CAST(bytes AS VARCHAR), l_partkey, encoding) - 1) // 1000 AS INTEGER) AS part FROM files
+), lists AS (
+  SELECT o_orderkey, part, string_agg('{"@id":"' || name || '","contentSize":"' || bytes || '","contentUrl":"https://data.example.org/api/access/datafile/'
       || l_partkey || '","encodingFormat":"' || encoding || '","md5":"' || md5(name) || '","name":"' || name || '"}', ','
-      ORDER BY name, bytes, encoding) AS distribution
-  FROM (SELECT *, CAST(bytes AS VARCHAR) AS size_text FROM files)
-  GROUP BY o_orderkey
+      ORDER BY name, CAST(bytes AS VARCHAR), encoding) AS distribution
+  FROM numbered GROUP BY o_orderkey, part
 ), descriptions AS (
-  SELECT o.o_orderkey, 0 AS part,
+  SELECT o.o_orderkey, coalesce(part, 0) AS part,
     '{"@type":"sc:Dataset","creator":[{"@type":"Person","name":"Customer, ' || o_custkey || '"}],"distribution":['
     || coalesce(distribution, '') || '],"keywords":["' || o_orderpriority
     || '"],"license":"http://creativecommons.org/publicdomain/zero/1.0","name":"Order ' || o.o_orderkey

@@ -132,12 +132,13 @@ def snk_01(t):
 
 @query(
     "snk_02_documents",
-    f"WITH {DESCRIPTIONS} SELECT 'doi_10.5072_' || o_orderkey AS doc_name, document FROM descriptions",
+    f"WITH {DESCRIPTIONS} SELECT 'doi_10.5072_' || o_orderkey || '_' || part AS doc_name, document FROM descriptions",
 )
 def snk_02(t):
     datasets, files = description_tables(t.orders, t.lineitem)
-    docs = export_description(datasets, files, "o_orderkey", "ordinal", ["@id", "contentSize"])
-    named = docs.select(file_name_of(F.concat(F.lit(PID_PREFIX), F.col("o_orderkey"))).alias("doc_name"), "document")
+    docs = export_description(datasets, files, "o_orderkey", ["@id", "contentSize"])
+    pid = F.concat(F.lit(PID_PREFIX), F.col("o_orderkey"), F.lit("/"), F.col("part"))
+    named = docs.select(file_name_of(pid).alias("doc_name"), "document")
     return W.read_documents(t.spark, W.write_documents(named, scratch_path(t.spark, "documents"), "doc_name", "document"))
 
 

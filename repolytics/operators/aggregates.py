@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import growth_percent, percent, share
 from .filters import in_month, is_empty
-from .ordered import number_rows
+from .ordered import LIST_SIZE, bounded_lists, number_rows
 
 
 def count_in_month(df: DataFrame, ts: str, month: str) -> DataFrame:
@@ -25,14 +25,13 @@ def hits(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("hits"), *extra)
 
 
-def details(df: DataFrame, key: str, order: list[str], line: Column, chunk: Column) -> DataFrame:
+def details(df: DataFrame, key: str, order: list[str], line: Column) -> DataFrame:
     """Detail lines per identifier in log order: one row per line with its position.
 
     Rows rather than one list per identifier, because a single identifier may own a large
     part of the log.
     """
-    slim = df.select(key, *order, line.alias("line"), chunk.alias("__c"))
-    return number_rows(slim, [key], order, F.col("__c")).select(key, "position", "line")
+    return number_rows(df.select(key, *order, line.alias("line")), [key], order).select(key, "position", "line")
 
 
 def count_by_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -99,12 +98,10 @@ def field_coverage(df: DataFrame, cols: list[str]) -> DataFrame:
     return counts.unpivot([], cols, "field", "records")
 
 
-def joined_names(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Comma-joined distinct names per key, for names of a small vocabulary (block names).
-
-    The set is de-duplicated map-side, so repeats of a name are never collected.
-    """
-    return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(col)), ",").alias("names"))
+def joined_names(df: DataFrame, keys: list[str], col: str, size: int = LIST_SIZE) -> DataFrame:
+    """Comma-joined distinct names per key, in parts of ``size`` names."""
+    names = bounded_lists(df.select(*keys, col).distinct(), keys, [col], F.col(col), "__names", size)
+    return names.select(*keys, "part", F.array_join("__names", ",").alias("names"))
 
 
 def compare_baseline(now: DataFrame, base: DataFrame, metric: str, value: str) -> DataFrame:

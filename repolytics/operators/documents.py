@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor, clean_cell
+from .ordered import LIST_SIZE, bounded_lists
 
 FIELD = "struct<typeName: string, typeClass: string, multiple: boolean, value: variant>"
 METADATA = (
@@ -151,21 +152,18 @@ def merge_edit(rows: DataFrame, edit: DataFrame, key: str, mode: str = "replace"
     return kept.unionByName(classed.select(*rows.columns))
 
 
-def export_description(datasets: DataFrame, files: DataFrame, key: str, ordinal: str, order: list[str], part_size: int = 1000) -> DataFrame:
+def export_description(datasets: DataFrame, files: DataFrame, key: str, order: list[str], part_size: int = LIST_SIZE) -> DataFrame:
     """Dataset rows and their files as dataset-description JSON.
 
-    ``datasets``: key, name, url, version, license, keyword, creator. ``files``: key, ordinal,
-    ``@id``, contentSize, contentUrl, encodingFormat, md5, name. The file list of a dataset is
-    written in parts of ``part_size`` consecutive ordinals (part 0 holds the first ones), so
-    that a dataset with very many files becomes several rows instead of one oversized one.
+    ``datasets``: key, name, url, version, license, keyword, creator. ``files``: key, ``@id``,
+    contentSize, contentUrl, encodingFormat, md5, name. Files are sorted by ``order``; a
+    dataset with more than ``part_size`` files becomes several rows (part 0 holds the first
+    files) instead of one oversized document.
     """
-    entry = F.struct(*[c for c in files.columns if c not in (key, ordinal)])
-    # the full entry is the last sort key: files that tie on the order columns still sort the same way
-    ranked = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], entry.alias("entry"))
-    lists = (
-        files.groupBy(key, F.floor((F.col(ordinal) - 1) / part_size).cast("int").alias("part"))
-        .agg(F.transform(F.array_sort(F.collect_list(ranked)), lambda x: x["entry"]).alias("distribution"))
-    )
+    columns = [c for c in files.columns if c != key]
+    # files that tie on the order columns are sorted by all they have, so ties are real copies
+    full_order = [*order, *[c for c in columns if c not in order]]
+    lists = bounded_lists(files, [key], full_order, F.struct(*[F.col(f"`{c}`") for c in columns]), "distribution", part_size)
     bare = datasets.join(lists.select(key).distinct(), key, "left_anti")
     empty = F.array().cast(lists.schema["distribution"].dataType)
     joined = datasets.join(lists, key).unionByName(bare.withColumns({"part": F.lit(0), "distribution": empty}))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import option_key, option_text
-from .ordered import Running, running
+from .ordered import LONG_SERIES, OrderedSeries, Running
 
 
 def distinct_keys(df: DataFrame, *cols: Column | str) -> DataFrame:
@@ -121,11 +121,11 @@ def as_of(df: DataFrame, ts: str, day: Column | str, *tie: str) -> DataFrame:
     return latest.where(F.col("s").isNotNull()).select("s.*")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, chunk, right_tie: list[str], strict: bool = False) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, right_tie: list[str], strict: bool = False, long_series: int = LONG_SERIES) -> DataFrame:
     """Each left row with the latest right row of its key at (or, when strict, before) its time.
 
     Both sides are put in one ordered series and the latest right row is carried forward, so
-    no pair but the wanted one is ever formed. ``chunk`` maps a time column to its chunk.
+    no pair but the wanted one is ever formed.
     """
     values = [c for c in right.columns if c != key]
     side_right = 1 if strict else 0
@@ -139,8 +139,8 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, ch
     )
     both = lrows.unionByName(rrows, allowMissingColumns=True)
     order = ["__t", "__side", *[f"__tie_{c}" for c in right_tie]]
-    carried = running(both, [key], order, chunk(F.col("__t")), {"__latest": Running("last", F.col("__r"))})
-    return carried.where(F.col("__l").isNotNull()).select("__l.*", *[F.col(f"__latest.{c}").alias(c) for c in values])
+    series = OrderedSeries.of(both, [key], order, long_series).add({"__latest": Running("last", F.col("__r"))})
+    return series.result().where(F.col("__l").isNotNull()).select("__l.*", *[F.col(f"__latest.{c}").alias(c) for c in values])
 
 
 def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -1,23 +1,34 @@
-"""Running values over ordered series, split into chunks so that no series needs one task.
+"""Running values over ordered series, with very long series split over many tasks.
 
-A plain window over ``partitionBy(series)`` sorts a whole series in one task. Here a series is
-cut into chunks along its order (a day of samples, a range of line numbers). Every chunk gets
-one extra *carry row* that holds the running values of all earlier chunks; a window over
-(series, chunk) then continues from it. Only per-chunk summaries meet in one place: they are
-combined map-side first, and there are as many per series as it has chunks.
+A window over ``partitionBy(series)`` sorts each series in one task. That is the right plan
+for series of ordinary length and needs a single shuffle. A series that holds a large part of
+the table would choke its task, so series are counted first (keys only, combined map-side):
+
+* no long series: one plain window;
+* long series: their rows are range-sorted by (series, order) and fixed in the reliable
+  checkpoint together with the number of their sort partition. Such a *chunk* is of even size
+  whatever the skew. Each chunk gets one extra carry row holding the running values of the
+  chunks before it, and a window over (series, chunk) continues from there.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_CHUNK, _CARRY = "__chunk", "__carry"
+from ..session import materialize
+
+# Rows of one series that a single task may sort.
+LONG_SERIES = 2_000_000
+# Long series are broadcast as a list of keys only up to this many.
+MAX_BROADCAST_KEYS = 100_000
+
+_CHUNK, _CARRY, _TIE = "__chunk", "__carry", "__tie"
 
 
 @dataclass(frozen=True)
@@ -36,44 +47,92 @@ def _combine(kind: str, col: Column) -> Column:
     return {"sum": F.sum, "min": F.min, "max": F.max}[kind](col)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column, values: dict[str, Running]) -> DataFrame:
-    """Add running values per series.
-
-    ``order`` must be unique within a series, and ``chunk`` must never decrease along it.
-    """
-    inputs = {f"__in_{name}": r for name, r in values.items()}
-    rows = df.withColumns({_CHUNK: chunk, _CARRY: F.lit(0)} | {c: r.value for c, r in inputs.items()})
-
-    position = F.struct(*order)
-    summary = rows.groupBy(*keys, _CHUNK).agg(
-        *[
-            (
-                F.max_by(c, F.when(F.col(c).isNotNull(), position))
-                if r.kind == "last"
-                else _combine(r.kind, F.col(c))
-            ).alias(c)
-            for c, r in inputs.items()
-        ]
-    )
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
-        *keys, _CHUNK, F.lit(-1).alias(_CARRY), *[_combine(r.kind, F.col(c)).over(earlier).alias(c) for c, r in inputs.items()]
-    ).where(reduce(or_, [F.col(c).isNotNull() for c in inputs]))
-
-    within = Window.partitionBy(*keys, _CHUNK).orderBy(_CARRY, *order)
+def _over(values: dict[str, Running], inputs: dict[str, Column], within) -> list[Column]:
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = within.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.unionByName(carry, allowMissingColumns=True).select(
-        *df.columns,
-        _CARRY,
-        *[
-            _combine(r.kind, F.col(f"__in_{name}")).over(before if r.before else upto).alias(name)
-            for name, r in values.items()
-        ],
-    )
-    return out.where(F.col(_CARRY) == 0).drop(_CARRY)
-
-
-def number_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str = "position") -> DataFrame:
+    return [_combine(r.kind, inputs[n]).over(before if r.before else upto).alias(n) for n, r in values.items()]
+
+
+@dataclass(frozen=True)
+class OrderedSeries:
+    """Rows in series. ``short`` holds series that fit a task, ``long`` the chunked others."""
+
+    keys: list[str]
+    order: list[str]
+    short: DataFrame
+    long: DataFrame | None
+
+    @staticmethod
+    def of(df: DataFrame, keys: list[str], order: list[str], long_series: int = LONG_SERIES) -> OrderedSeries:
+        """``order`` should be unique in a series; rows that tie on it must be interchangeable."""
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > long_series)
+        long_keys = materialize(sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]))
+        n_long = long_keys.count()
+        if n_long == 0:
+            return OrderedSeries(keys, order, df, None)
+        side = F.broadcast(long_keys) if n_long <= MAX_BROADCAST_KEYS else long_keys
+        # null keys form a series of their own, hence the null-safe comparison
+        on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        # equal rows are told apart by their place in the input, so that even copies are spread
+        rows = df.withColumn(_TIE, F.monotonically_increasing_id()).join(side, on, "left_semi")
+        ranged = rows.orderBy(*keys, *order, _TIE).withColumn(_CHUNK, F.spark_partition_id())
+        return OrderedSeries(keys, order, df.join(side, on, "left_anti"), materialize(ranged))
+
+    def add(self, values: dict[str, Running]) -> OrderedSeries:
+        """Add running values per series."""
+        inputs = {n: r.value for n, r in values.items()}
+        within = Window.partitionBy(*self.keys).orderBy(*self.order)
+        short = self.short.select("*", *_over(values, inputs, within))
+        return replace(self, short=short, long=None if self.long is None else self._add_long(values))
+
+    def _add_long(self, values: dict[str, Running]) -> DataFrame:
+        columns = self.long.columns
+        named = {n: F.col(f"__in_{n}") for n in values}
+        rows = self.long.withColumns({_CARRY: F.lit(0)} | {f"__in_{n}": r.value for n, r in values.items()})
+        place = F.struct(*self.order, _TIE)
+        summary = rows.groupBy(*self.keys, _CHUNK).agg(
+            *[
+                (F.max_by(c, F.when(c.isNotNull(), place)) if values[n].kind == "last" else _combine(values[n].kind, c)).alias(f"__in_{n}")
+                for n, c in named.items()
+            ]
+        )
+        # a series has as many summaries as it has chunks, never more than there are sort partitions
+        earlier = Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        carry = summary.select(
+            *self.keys,
+            _CHUNK,
+            F.lit(-1).alias(_CARRY),
+            *[_combine(values[n].kind, c).over(earlier).alias(f"__in_{n}") for n, c in named.items()],
+        ).where(reduce(or_, [c.isNotNull() for c in named.values()]))
+        within = Window.partitionBy(*self.keys, _CHUNK).orderBy(_CARRY, *self.order, _TIE)
+        out = rows.unionByName(carry, allowMissingColumns=True).select(*columns, _CARRY, *_over(values, named, within))
+        return out.where(F.col(_CARRY) == 0).drop(_CARRY)
+
+    def map(self, change) -> OrderedSeries:
+        """Apply a row-wise change (new columns, a filter) to all series."""
+        return replace(self, short=change(self.short), long=None if self.long is None else change(self.long))
+
+    def result(self) -> DataFrame:
+        return self.short if self.long is None else self.short.unionByName(self.long.drop(_CHUNK, _TIE))
+
+
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "position", long_series: int = LONG_SERIES) -> DataFrame:
     """Dense row numbers per series, starting at 1."""
-    return running(df, keys, order, chunk, {name: Running("sum", F.lit(1).cast("bigint"))})
+    one = Running("sum", F.lit(1).cast("bigint"))
+    return OrderedSeries.of(df, keys, order, long_series).add({name: one}).result()
+
+
+# Entries of one list.
+LIST_SIZE = 1000
+
+
+def bounded_lists(df: DataFrame, keys: list[str], order: list[str], entry: Column, name: str, size: int = LIST_SIZE, long_series: int = LONG_SERIES) -> DataFrame:
+    """Ordered lists of at most ``size`` entries per key: ``keys, part, <name>``.
+
+    Part 0 holds the first entries, part 1 the next ones; nothing is left out, and no list
+    outgrows a task however many entries a key has.
+    """
+    numbered = number_rows(df.select(*keys, *[c for c in order if c not in keys], entry.alias("__entry")), keys, order, "__pos", long_series)
+    part = F.floor((F.col("__pos") - 1) / size).cast("int").alias("part")
+    lists = numbered.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct("__pos", "__entry"))).alias("__l"))
+    return lists.select(*keys, "part", F.transform("__l", lambda x: x["__entry"]).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_index
 from ..functions.text import lines_of
-from .ordered import Running, running
+from .ordered import LONG_SERIES, OrderedSeries, Running
 
 
 def later_duplicates(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -46,25 +46,28 @@ def context_of_text(text: Column, pattern: str, before: int = 2, after: int = 2)
     return F.transform(wanted, lambda n: F.struct(n.alias("line_no"), F.get(lines, n - 1).alias("line")))
 
 
-def unchanged_runs(
-    samples: DataFrame, keys: list[str], ts: str, value: str, chunk: Column, reset: str = "change", skip_empty: bool = True
-) -> DataFrame:
+def unchanged_runs(samples: DataFrame, keys: list[str], ts: str, value: str, reset: str = "change", skip_empty: bool = True, long_series: int = LONG_SERIES) -> DataFrame:
     """Adds ``run``: how many samples in a row repeated their predecessor, and ``changes`` so far.
 
     ``reset="change"`` starts over at any change, ``reset="increase"`` only when the count grew.
     Missing and zero samples are no samples when ``skip_empty``.
     """
-    v = F.col(value)
+    v, prev = F.col(value), F.col("__prev")
     rows = samples.where(v.isNotNull() & (v != 0)) if skip_empty else samples
-    rows = running(rows, keys, [ts], chunk, {"__prev": Running("last", v, before=True)})
-    same = F.coalesce((v == F.col("__prev")).cast("bigint"), F.lit(0))
-    rows = rows.withColumn("__changed", F.coalesce((v != F.col("__prev")).cast("bigint"), F.lit(0)))
-    rows = running(rows, keys, [ts], chunk, {"__same": Running("sum", same), "changes": Running("sum", F.col("__changed"))})
-    starts = F.col("__changed") == 1 if reset == "change" else v > F.col("__prev")
-    rows = running(rows, keys, [ts], chunk, {"__base": Running("max", F.when(starts, F.col("__same")))})
-    return rows.withColumn("run", F.col("__same") - F.coalesce(F.col("__base"), F.lit(0))).drop(
-        "__prev", "__same", "__changed", "__base"
+    flags = {
+        "__same": F.coalesce((v == prev).cast("bigint"), F.lit(0)),
+        "__changed": F.coalesce((v != prev).cast("bigint"), F.lit(0)),
+        "__start": (v != prev) if reset == "change" else (v > prev),
+    }
+    series = (
+        OrderedSeries.of(rows, keys, [ts], long_series)
+        .add({"__prev": Running("last", v, before=True)})
+        .map(lambda df: df.withColumns(flags))
+        .add({"__total": Running("sum", F.col("__same")), "changes": Running("sum", F.col("__changed"))})
+        .add({"__base": Running("max", F.when(F.col("__start"), F.col("__total")))})
     )
+    run = F.col("__total") - F.coalesce(F.col("__base"), F.lit(0))
+    return series.result().withColumn("run", run).drop("__prev", "__same", "__changed", "__start", "__total", "__base")
 
 
 def stable_at(
@@ -73,14 +76,14 @@ def stable_at(
     ts: str,
     value: str,
     n: int,
-    chunk: Column,
     target: int | None = None,
     reset: str = "change",
     skip_empty: bool = True,
     after_change: bool = False,
+    long_series: int = LONG_SERIES,
 ) -> DataFrame:
     """First sample per series that repeats its predecessor for the ``n``-th time, or reaches the target."""
-    runs = unchanged_runs(samples, keys, ts, value, chunk, reset, skip_empty)
+    runs = unchanged_runs(samples, keys, ts, value, reset, skip_empty, long_series)
     done = F.col("run") >= n
     if after_change:
         done = done & (F.col("changes") > 0)
@@ -94,13 +97,17 @@ def stable_at(
     )
 
 
-def stalls(samples: DataFrame, keys: list[str], ts: str, value: str, seconds: int, chunk: Column) -> DataFrame:
+def stalls(samples: DataFrame, keys: list[str], ts: str, value: str, seconds: int, long_series: int = LONG_SERIES) -> DataFrame:
     """Samples taken more than ``seconds`` after the last increase of their series."""
-    rows = running(samples, keys, [ts], chunk, {"__prev": Running("last", F.col(value), before=True)})
     grew = F.when(F.col(value) > F.col("__prev"), F.col(ts))
-    rows = running(rows.withColumn("__grew", grew), keys, [ts], chunk, {"last_increase": Running("max", F.col("__grew"))})
+    rows = (
+        OrderedSeries.of(samples, keys, [ts], long_series)
+        .add({"__prev": Running("last", F.col(value), before=True)})
+        .add({"last_increase": Running("max", grew)})
+        .result()
+    )
     idle = F.timestamp_diff("SECOND", F.col("last_increase"), F.col(ts))
-    return rows.withColumn("idle_seconds", idle).where(F.col("idle_seconds") > seconds).drop("__prev", "__grew")
+    return rows.withColumn("idle_seconds", idle).where(F.col("idle_seconds") > seconds).drop("__prev")
 
 
 def after_flag(lines: DataFrame, keys: list[str], pos: str, flag: Column, target: Column) -> DataFrame:

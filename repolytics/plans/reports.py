@@ -29,7 +29,7 @@ def failed_identifiers(log: DataFrame, deny: DataFrame, base_url: str) -> dict[s
     line = F.concat(
         F.col("method"), F.lit(" "), F.col("uri"), F.lit(" from "), F.col("ip"), F.lit(" at "), F.trim(F.col("time").cast("string"))
     )
-    lines = details(kept, "pid", ["time", "uri"], line, F.date_trunc("day", "time"))
+    lines = details(kept, "pid", ["time", "uri"], line)
     message = kept.limit(1).agg(F.count("*").alias("n")).where(F.col("n") == 0).select(F.lit("No Failures this month").alias("message"))
     return {"ranked": ranked, "details": lines, "dropped": dropped, "message": message}
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import bounded_lists
+
 PID_PREFIX = "doi:10.5072/"
 BASE_URL = "https://data.example.org"
-REPORT_PART = 1000
 
 
 class Tables:
@@ -24,14 +25,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def day_chunk(ts: Column) -> Column:
-    return F.date_trunc("day", ts)
-
-
-def month_chunk(ts: Column) -> Column:
-    return F.date_trunc("month", ts)
-
-
 def iso(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
@@ -54,17 +47,17 @@ def failure_log(events: DataFrame) -> DataFrame:
 def usage_report(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Usage records ``uri, dataset-title, performance`` of every order.
 
-    The lines of an order form the instances of one performance entry. They are grouped in
-    parts of ``REPORT_PART`` line numbers, so an order of any size becomes several records
-    rather than one; an order without lines has one record with an empty instance list.
+    The lines of an order form the instances of one performance entry, in parts of bounded
+    size: an order of any size becomes several records (``part`` 0, 1, …) rather than one. An
+    order without lines has one record with an empty instance list.
     """
     instance = F.struct(F.col("l_returnflag").alias("metric-type"), F.col("l_quantity").cast("bigint").alias("count"))
-    part = F.floor((F.col("l_linenumber") - 1) / REPORT_PART)
-    lines = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), part.alias("part")).agg(F.collect_list(instance).alias("instance"))
-    slim = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    slim_lines = lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_quantity")
+    lines = bounded_lists(slim_lines, ["o_orderkey"], ["l_returnflag", "l_quantity"], instance, "instance")
+    slim = orders.select("o_orderkey", "o_orderdate")
     without = slim.join(lines.select("o_orderkey").distinct(), "o_orderkey", "left_anti")
     empty = F.array().cast(lines.schema["instance"].dataType)
-    rows = slim.join(lines, "o_orderkey").drop("part").unionByName(without.withColumn("instance", empty))
+    rows = slim.join(lines, "o_orderkey").unionByName(without.withColumns({"part": F.lit(0), "instance": empty}))
     period = F.struct(
         F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("begin-date"),
         F.date_format(F.last_day("o_orderdate"), "yyyy-MM-dd").alias("end-date"),
@@ -74,8 +67,7 @@ def usage_report(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.concat(F.lit("Dataset "), F.col("o_orderkey")).alias("dataset-title"),
         F.array(F.struct(F.concat(F.lit(PID_PREFIX), F.col("o_orderkey")).alias("value"))).alias("dataset-id"),
         F.array(F.struct(period.alias("period"), F.col("instance"))).alias("performance"),
-        F.col("o_custkey"),
-        F.col("o_orderdate"),
+        "part",
     )
 
 
@@ -245,7 +237,6 @@ def description_tables(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFram
     name = F.concat(F.col("l_linenumber"), F.lit("-"), F.col("l_partkey"), F.lit("-"), F.col("l_suppkey"))
     files = lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"),
-        F.col("l_linenumber").alias("ordinal"),
         name.alias("@id"),
         F.col("l_quantity").cast("bigint").cast("string").alias("contentSize"),
         F.concat(F.lit(f"{BASE_URL}/api/access/datafile/"), F.col("l_partkey")).alias("contentUrl"),
