@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines_of
 from ..operators import aggregates as A
+from ..operators.filters import not_builtin
 from ..operators.joins import exclude_denied
 from ..operators.logs import run_verdict
+from ..session import materialize
 from ..sources.shapes import deploy_log, description_tables, failure_log, usage_report
 from .joins import denied
 from .registry import query
@@ -112,7 +114,9 @@ def agg_08(t):
     "SELECT sha256(text) AS sha, doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents QUALIFY n > 1",
 )
 def agg_09(t):
-    return A.duplicate_keys(t.documents.select(F.sha2("text", 256).alias("sha"), "doc_id"), "sha", "doc_id")
+    # texts are read and hashed once; both uses of the digests read the small written table
+    keyed = materialize(t.spread("documents").select(F.sha2("text", 256).alias("sha"), "doc_id"))
+    return A.duplicate_keys(keyed, "sha", "doc_id")
 
 
 @query(
@@ -121,7 +125,7 @@ def agg_09(t):
         count(*) FILTER (regexp_matches(line, '^$')) AS blank FROM lines""",
 )
 def agg_10(t):
-    rows = t.documents.select(F.explode(lines_of("text")).alias("line"))
+    rows = t.spread("documents").select(F.explode(lines_of("text")).alias("line"))
     return A.pattern_counts(rows, "line", {"web": "https?://", "digits": "[0-9]{4}", "blank": "^$"})
 
 
@@ -141,8 +145,6 @@ def agg_11(t):
        FROM (SELECT DISTINCT p_type, p_brand FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2')) GROUP BY p_type""",
 )
 def agg_12(t):
-    from ..operators.filters import not_builtin
-
     return A.joined_names(not_builtin(t.part, "p_brand", ["Brand#1", "Brand#2"]), ["p_type"], "p_brand")
 
 
@@ -163,7 +165,8 @@ def agg_13(t):
 
 
 def year_counts(t, year):
-    rows = t.orders.where(F.year("o_orderdate") == year)
+    start, end = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+    rows = t.orders.where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))
     return rows.groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
 
 

@@ -25,7 +25,7 @@ METADATA_SQL = """SELECT p_partkey AS row_key,
 
 @query("doc_01_build_metadata", METADATA_SQL)
 def doc_01(t):
-    return O.build_metadata(dataset_rows(t.part), "row_key", CONTACT)
+    return O.build_metadata(dataset_rows(t.spread("part")), "row_key", CONTACT)
 
 
 @query("doc_02_flatten_metadata", f"WITH {FLAT_FIELDS} SELECT row_key, 'citation' AS block, type_name, type_class, idx, subfield, value FROM flat")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import dates as D
 from ..functions import json as J
@@ -20,7 +21,7 @@ from .snippets import ANCHORS, LAUNCH_OPTIONS
     "SELECT doc_id, md5(replace(replace(coalesce(text, ''), '’', ''''), '–', '-')) AS cleaned FROM documents",
 )
 def str_01(t):
-    return t.documents.select("doc_id", F.md5(X.clean_cell("text")).alias("cleaned"))
+    return t.spread("documents").select("doc_id", F.md5(X.clean_cell("text")).alias("cleaned"))
 
 
 @query(
@@ -173,9 +174,7 @@ def str_15(t):
         QUALIFY position <= 20""",
 )
 def str_16(t):
-    from pyspark.sql.window import Window
-
-    scored = t.documents.select("doc_id", X.term_hits("text", ["the", "la", "und"]).alias("hits")).where("hits > 0")
+    scored = t.spread("documents").select("doc_id", X.term_hits("text", ["the", "la", "und"]).alias("hits")).where("hits > 0")
     # the first page of a ranked search: the window sees its twenty rows only
     page = scored.orderBy(F.desc("hits"), "doc_id").limit(20)
     return page.withColumn("position", F.row_number().over(Window.orderBy(F.desc("hits"), "doc_id")).cast("bigint"))
@@ -246,7 +245,7 @@ def mth_01(t):
 
 @query("hsh_01_digests", "SELECT doc_id, sha1(text) AS sha1, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def hsh_01(t):
-    return t.documents.select("doc_id", F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+    return t.spread("documents").select("doc_id", F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
 
 
 @query("jsn_01_path", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")

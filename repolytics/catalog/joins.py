@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import lines_of
 from ..operators import joins as J
 from ..operators import sets as S
+from ..operators.filters import in_month
 from ..operators.logs import classify
 from ..operators.trees import expand_tree
-from ..sources.readers import lines
+from ..session import materialize
 from ..sources.shapes import catalog, folder_edges, index_fields, launch_options
 from .registry import query
 from .snippets import LAUNCH_OPTIONS, LINES, SHIPPED_PAIRS
@@ -59,8 +61,10 @@ def join_03(t):
 def level_tables(t):
     """Fields of a template: the segments met in its region; overrides where a nation has rich customers."""
     parents = t.nation.select(F.col("n_regionkey").alias("template_id"), F.col("n_nationkey").alias("parent_id"), F.col("n_name").alias("parent_name"))
-    per_pair = t.customer.groupBy(F.col("c_nationkey").alias("parent_id"), F.col("c_mktsegment").alias("field")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 9500).alias("rich")
+    per_pair = materialize(
+        t.customer.groupBy(F.col("c_nationkey").alias("parent_id"), F.col("c_mktsegment").alias("field")).agg(
+            F.count("*").alias("n"), F.count_if(F.col("c_acctbal") > 9500).alias("rich")
+        )
     )
     fields = per_pair.join(parents.select("template_id", "parent_id"), "parent_id").select("template_id", "field").distinct()
     overrides = per_pair.where(F.col("rich") > 0).select(
@@ -192,9 +196,7 @@ TEXT_RULES = [
         WHEN regexp_matches(line, '[0-9]{{3}}') THEN 'digits' ELSE 'other' END AS class FROM lines) GROUP BY ALL""",
 )
 def join_11(t):
-    from ..functions.text import lines_of
-
-    rows = t.documents.select("lang", F.explode(lines_of("text")).alias("line"))
+    rows = t.spread("documents").select("lang", F.explode(lines_of("text")).alias("line"))
     return rows.groupBy("lang", classify("line", TEXT_RULES).alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -264,8 +266,6 @@ def join_15(t):
 
 
 def month_rows(t, month):
-    from ..operators.filters import in_month
-
     return in_month(t.orders, "o_orderdate", month).select("o_orderstatus", "o_orderpriority")
 
 

@@ -8,6 +8,7 @@ from ..functions.numbers import version_key, version_lt
 from ..operators import ordering as O
 from ..operators import sequence as S
 from ..operators.aggregates import hits
+from ..session import materialize
 from ..sources.readers import lines
 from ..sources.shapes import daily_counts, state_events
 from .aggregates import kept_log
@@ -20,7 +21,7 @@ from .snippets import DAILY, FAILURE_LOG, LINES
     "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1",
 )
 def win_01(t):
-    keyed = t.documents.select("doc_id", F.sha2("text", 256).alias("sha"))
+    keyed = materialize(t.spread("documents").select("doc_id", F.sha2("text", 256).alias("sha")))
     return S.later_duplicates(keyed, "sha", ["doc_id"]).select("doc_id")
 
 
@@ -33,12 +34,12 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM h WHERE near = 1""
 @query("win_02_context_of_text", CONTEXT_SQL)
 def win_02(t):
     found = S.context_of_text(F.col("text"), "[0-9]{3}")
-    return t.documents.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
+    return t.spread("documents").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
 @query("win_02_context_lines", CONTEXT_SQL)
 def win_02_lines(t):
-    return S.context_lines(lines(t.documents, "doc_id", "text"), "doc_id", "line_no", F.col("line").rlike("[0-9]{3}"))
+    return S.context_lines(lines(t.spread("documents"), "doc_id", "text"), "doc_id", "line_no", F.col("line").rlike("[0-9]{3}"))
 
 
 @query(

@@ -27,7 +27,7 @@ def src_01(t):
         lines_of("text"),
         lambda x, i: F.struct(F.col("doc_id").alias("doc_id"), (i + 1).cast("bigint").alias("line_no"), F.length(x).cast("bigint").alias("n")),
     )
-    t.documents.select(F.to_json(entry).alias("value")).write.text(path)
+    t.spread("documents").select(F.to_json(entry).alias("value")).write.text(path)
     return R.read_json_rows(t.spark, path, "doc_id bigint, line_no bigint, n bigint")
 
 

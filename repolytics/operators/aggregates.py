@@ -47,6 +47,25 @@ def usage_totals(df: DataFrame, performance: str, metric: str) -> DataFrame:
     )
 
 
+def usage_summary(df: DataFrame, performance: str, metric: str) -> DataFrame:
+    """Totals of one metric and the number of records with and without entries, from one pass.
+
+    Each record is summed inside its row, so nothing is exploded below the record.
+    """
+    wanted = F.filter("instance", lambda x: x["metric-type"] == metric)
+    rows = df.select(F.explode(performance).alias("p")).select(F.col("p.instance").alias("instance")).select(
+        "instance",
+        F.coalesce(F.size(wanted), F.lit(0)).alias("n"),
+        F.aggregate(wanted, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["count"], F.lit(0))).alias("total"),
+    )
+    return rows.agg(
+        F.sum(F.when(F.col("n") > 0, F.col("total"))).alias("total"),
+        F.sum("n").cast("bigint").alias("n"),
+        F.count_if(F.size("instance") > 0).alias("with_entries"),
+        F.count_if(is_empty("instance")).alias("without_entries"),
+    )
+
+
 def empty_split(df: DataFrame, array: Column | str) -> DataFrame:
     """Number of records with and without entries; a missing array counts as neither."""
     a = F.col(array) if isinstance(array, str) else array

@@ -53,6 +53,11 @@ def _over(values: dict[str, Running], inputs: dict[str, Column], within) -> list
     return [_combine(r.kind, inputs[n]).over(before if r.before else upto).alias(n) for n, r in values.items()]
 
 
+def larger_than(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Keys with more than ``rows`` rows. Only keys are shuffled, counted map-side first."""
+    return df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > rows)
+
+
 @dataclass(frozen=True)
 class OrderedSeries:
     """Rows in series. ``short`` holds series that fit a task, ``long`` the chunked others."""
@@ -65,12 +70,11 @@ class OrderedSeries:
     @staticmethod
     def of(df: DataFrame, keys: list[str], order: list[str], long_series: int = LONG_SERIES) -> OrderedSeries:
         """``order`` should be unique in a series; rows that tie on it must be interchangeable."""
-        sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > long_series)
-        long_keys = materialize(sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]))
-        n_long = long_keys.count()
-        if n_long == 0:
+        sizes = larger_than(df, keys, long_series)
+        if sizes.isEmpty():
             return OrderedSeries(keys, order, df, None)
-        side = F.broadcast(long_keys) if n_long <= MAX_BROADCAST_KEYS else long_keys
+        long_keys = materialize(sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]))
+        side = F.broadcast(long_keys) if long_keys.count() <= MAX_BROADCAST_KEYS else long_keys
         # null keys form a series of their own, hence the null-safe comparison
         on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
         # equal rows are told apart by their place in the input, so that even copies are spread
@@ -132,7 +136,13 @@ def bounded_lists(df: DataFrame, keys: list[str], order: list[str], entry: Colum
     Part 0 holds the first entries, part 1 the next ones; nothing is left out, and no list
     outgrows a task however many entries a key has.
     """
-    numbered = number_rows(df.select(*keys, *[c for c in order if c not in keys], entry.alias("__entry")), keys, order, "__pos", long_series)
+    rank = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)])
+    slim = df.select(*keys, rank.alias("__rank"), entry.alias("__entry"))
+    if larger_than(df, keys, size).isEmpty():
+        # measured: every key fits one list, so no numbering is needed
+        lists = slim.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__rank", "__entry"))).alias("__l"))
+        return lists.select(*keys, F.lit(0).alias("part"), F.transform("__l", lambda x: x["__entry"]).alias(name))
+    numbered = number_rows(slim, keys, ["__rank"], "__pos", long_series)
     part = F.floor((F.col("__pos") - 1) / size).cast("int").alias("part")
     lists = numbered.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct("__pos", "__entry"))).alias("__l"))
     return lists.select(*keys, "part", F.transform("__l", lambda x: x["__entry"]).alias(name))

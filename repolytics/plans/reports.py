@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import months_between_inclusive
+from ..functions.dates import month_index
 from ..functions.markup import failure_items
 from ..functions.text import landing_url
-from ..operators.aggregates import details, empty_split, hits, usage_totals
+from ..operators.aggregates import details, hits, usage_summary
 from ..operators.filters import is_empty, site_month, where_path
 from ..operators.joins import exclude_denied
 from ..operators.ordering import positioned_ci, rank_hits
@@ -44,25 +44,19 @@ def due_months(last_done: str | None, as_of: dt.date, available: DataFrame) -> D
     """Report months to process: from the one after ``last_done`` (or last month when nothing is
     recorded) to last month, stopping before the first month whose report is not there.
 
-    The calendar is a literal; only months of the calendar are compared, never report rows.
+    Available months are collected as a set that cannot outgrow the calendar; a month is due
+    when it is as far from the first due month as its position in the sorted set.
     """
-    spark = available.sparkSession
-    last_complete = as_of.replace(day=1) - dt.timedelta(days=1)
-    first = last_complete.replace(day=1)
+    last = as_of.year * 12 + as_of.month - 2
+    first = last
     if last_done is not None:
         month, year = (int(p) for p in last_done.split("_"))
-        first = dt.date(year + month // 12, month % 12 + 1, 1)
-    months = spark.range(1).select(
-        F.explode(months_between_inclusive(F.lit(first), F.lit(last_complete))).alias("report_month")
-    )
-    present = available.select(F.trunc("report_month", "month").alias("report_month")).distinct()
-    missing = months.join(present, "report_month", "left_anti").agg(F.min("report_month").alias("gap"))
-    # the gap is one scalar: it is attached through a constant key to each month of the calendar
-    return (
-        months.withColumn("__one", F.lit(1))
-        .join(missing.withColumn("__one", F.lit(1)), "__one")
-        .where(F.col("gap").isNull() | (F.col("report_month") < F.col("gap")))
-        .select("report_month")
+        first = year * 12 + month
+    index = month_index("report_month")
+    months = available.where(index.between(first, last)).agg(F.array_sort(F.collect_set(index)).alias("m"))
+    due = F.filter("m", lambda x, i: x == i + first)
+    return months.select(F.explode(due).alias("i")).select(
+        F.make_date(F.call_function("div", F.col("i"), F.lit(12)).cast("int"), F.col("i") % 12 + 1, F.lit(1)).alias("report_month")
     )
 
 
@@ -75,12 +69,7 @@ def resolution_backfill(reports: DataFrame, account: str, base_url: str, last_do
 def usage_check(headers: DataFrame, report: DataFrame, metric: str, day: str) -> dict[str, DataFrame]:
     """Check of a usage report: the reports ending on ``day``, totals, empty records, the alert."""
     found = where_path(headers, "report-header/reporting-period/end-date", day).select("id")
-    totals = usage_totals(report, "performance", metric)
-    # one record per performance entry; the split is counted in the same shape
-    entries = report.select(F.explode("performance").alias("p"))
-    split = empty_split(entries, F.col("p.instance"))
-    one = F.lit(1).alias("__one")
-    summary = totals.select("*", one).join(split.select("*", one), "__one").drop("__one")
+    summary = usage_summary(report, "performance", metric)
     return {
         "found": found,
         "summary": summary.withColumn("alert", (F.col("n") != 0) & (F.col("without_entries") > 0)),

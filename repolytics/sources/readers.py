@@ -81,6 +81,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before heavy row-wise work.
+
+    Only a table with fewer splits than the cluster has cores is shuffled. A large table has
+    many more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int, partitions: int, **options) -> DataFrame:
     """Relational table read in parallel ranges of a numeric column."""
     return spark.read.options(**options).jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions)

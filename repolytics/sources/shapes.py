@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import bounded_lists
+from ..session import materialize
+from .readers import spread
 
 PID_PREFIX = "doi:10.5072/"
 BASE_URL = "https://data.example.org"
@@ -24,6 +26,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table about to meet heavy row-wise work: small ones use all cores."""
+        return spread(getattr(self, name))
+
 
 def iso(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
@@ -95,7 +101,8 @@ def shipped_pairs(lineitem: DataFrame, supplier: DataFrame, part: DataFrame) ->
 def catalog(t: Tables, before: str) -> dict[str, DataFrame]:
     """Template catalog: templates are regions, parents their nations, blocks the brands shipped
     within the region, enabled pairs those shipped before a date."""
-    pairs = shipped_pairs(t.lineitem, t.supplier, t.part)
+    # used for blocks and for enabled pairs: written once, so the lines are read once
+    pairs = materialize(shipped_pairs(t.lineitem, t.supplier, t.part))
     parents = t.nation.select(
         F.col("n_regionkey").alias("template_id"), F.col("n_nationkey").alias("parent_id"), F.col("n_name").alias("parent_name")
     )

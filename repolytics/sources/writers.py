@@ -25,16 +25,13 @@ def read_report(spark: SparkSession, path: str, ranked_schema, details_schema) -
     return read("ranked", ranked_schema), read("details", details_schema)
 
 
-def write_documents(df: DataFrame, path: str, name: str, document: str, buckets: int = 64) -> str:
-    """JSON documents with their file names as rows of text, bucketed by name.
+def write_documents(df: DataFrame, path: str, name: str, document: str) -> str:
+    """JSON documents with their file names, as ``name<TAB>document`` lines.
 
-    One physical file per document would mean one task file per row; documents are stored as
-    ``name<TAB>document`` lines, spread over ``buckets`` folders, and stay addressable by name.
+    One physical file per document would mean millions of tiny files; the lines of a task
+    share a file and stay addressable by name.
     """
-    line = F.concat_ws("\t", name, document)
-    df.select(F.pmod(F.xxhash64(name), F.lit(buckets)).alias("bucket"), line.alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy("bucket").text(path)
+    df.select(F.concat_ws("\t", name, document).alias("value")).write.mode("overwrite").text(path)
     return path
 
 
