@@ -161,7 +161,7 @@ def agg_12(t):
     SELECT run, fatal, has_migration, has_policy, error_lines, CASE WHEN fatal OR bad > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM g""",
 )
 def agg_13(t):
-    return run_verdict(deploy_log(t.events), ["run"], "pos", "line")
+    return run_verdict(deploy_log(t.spread("events")), ["run"], "pos", "line")
 
 
 def year_counts(t, year):

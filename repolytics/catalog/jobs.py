@@ -34,7 +34,7 @@ from .snippets import ANCHORS, DEPLOY_LOG, FAILURE_LOG, FLAT_FIELDS, LAUNCH_OPTI
 
 def failed(t):
     deny = denied(t).select(F.col("user_id").cast("string").alias("ip"))
-    return PR.failed_identifiers(failure_log(t.events), deny, BASE_URL)
+    return PR.FailedIdentifiers(failure_log(t.events), deny, BASE_URL)
 
 
 @query(
@@ -44,7 +44,7 @@ def failed(t):
                'https://data.example.org/dataset.xhtml?persistentId=' || pid AS url FROM h""",
 )
 def job_01(t):
-    return failed(t)["ranked"].select("rank", "hits", "pid", "url")
+    return failed(t).ranked().select("rank", "hits", "pid", "url")
 
 
 @query(
@@ -53,7 +53,7 @@ def job_01(t):
         split_part(method || ' ' || uri || ' from ' || ip || ' at ' || strftime(time, '%Y-%m-%d %H:%M:%S.%f'), '.', 1) AS line FROM kept""",
 )
 def job_01_details(t):
-    return failed(t)["details"].withColumn("line", F.substring_index("line", ".", 1))
+    return failed(t).details().withColumn("line", F.substring_index("line", ".", 1))
 
 
 @query(
@@ -105,19 +105,14 @@ def job_04_metrics(t):
     return PR.site_metrics(records, "site", 7, "o_orderdate", "1997-12", ["o_orderkey"], "metrics")
 
 
-def integrity(t):
-    _, fields, overrides = level_tables(t)
-    return PI.template_integrity(catalog(t, "1995-02-01"), fields, overrides)
-
-
 @query("job_05_template_coverage", COVERAGE_SQL)
 def job_05(t):
-    return integrity(t)["coverage"].select("parent_name", "template_id", "block", "status")
+    return PI.template_coverage(catalog(t, "1995-02-01")).select("parent_name", "template_id", "block", "status")
 
 
 @query("job_05_template_levels", LEVELS_SQL)
 def job_05_levels(t):
-    return integrity(t)["levels"].select("parent_name", "field", "include", "required")
+    return PI.template_levels(*level_tables(t)).select("parent_name", "field", "include", "required")
 
 
 def drift(t):
@@ -185,7 +180,7 @@ LOG_PATTERNS = {"relation_errors": "ERROR.*relation", "fatal": "FATAL", "policy"
         count(*) FILTER (regexp_matches(line, 'FATAL')) AS fatal, count(*) FILTER (regexp_matches(line, 'default.policy')) AS policy FROM deploy_log""",
 )
 def job_07_counts(t):
-    return PI.index_errors(deploy_log(t.events), "line", LOG_PATTERNS, 3, "pos")["counts"]
+    return PI.index_errors(deploy_log(t.spread("events")), "line", LOG_PATTERNS, 3, "pos")["counts"]
 
 
 @query(
@@ -193,7 +188,7 @@ def job_07_counts(t):
     f"WITH {DEPLOY_LOG} SELECT run, pos, line FROM deploy_log WHERE regexp_matches(line, 'ERROR.*relation') ORDER BY pos DESC LIMIT 3",
 )
 def job_07_recent(t):
-    return PI.index_errors(deploy_log(t.events), "line", LOG_PATTERNS, 3, "pos")["recent"]
+    return PI.index_errors(deploy_log(t.spread("events")), "line", LOG_PATTERNS, 3, "pos")["recent"]
 
 
 def manifest(t):

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..functions.text import file_name_of, lines_of
 from ..operators.aggregates import monthly_counts
 from ..operators.documents import export_description
-from ..plans.reports import failed_identifiers
+from ..plans.reports import FailedIdentifiers
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import writers as W
@@ -118,10 +118,10 @@ def src_09(t):
 )
 def snk_01(t):
     deny = t.customer.where(F.col("c_mktsegment") == "MACHINERY").select(F.col("c_custkey").cast("string").alias("ip"))
-    report = failed_identifiers(failure_log(t.events), deny, BASE_URL)
+    report = FailedIdentifiers(failure_log(t.events), deny, BASE_URL)
     period = F.lit("2024-01").alias("period")
-    ranked = report["ranked"].select("rank", "hits", "pid", "url", period)
-    details = report["details"].select("pid", "position", "line", period)
+    ranked = report.ranked().select("rank", "hits", "pid", "url", period)
+    details = report.details().select("pid", "position", "line", period)
     path = W.write_report(ranked, details, scratch_path(t.spark, "report"), "period")
     ranked, details = W.read_report(
         t.spark, path, "rank bigint, hits bigint, pid string, url string, period string", "pid string, position bigint, line string, period string"

@@ -102,18 +102,18 @@ def lines_of(col: Column | str) -> Column:
 
 
 def option_text(col: Column | str) -> Column:
-    """Option without trailing comment and blanks; null for lines that are no option."""
-    c = _c(col)
-    cleaned = F.rtrim(F.regexp_replace(c, r"\s*-->.*$", ""))
-    is_option = c.startswith("-") & ~c.contains("JDK versions:") & (cleaned != "")
-    return F.when(is_option, cleaned)
+    """Option without trailing comment and blanks; null for lines that are no option.
+
+    One expression that names the input once: a line must start with a dash, be more than a
+    comment and hold no version remark; the option ends before the first ``-->``.
+    """
+    return F.nullif(F.regexp_extract(_c(col), r"^(?!-->)(?!.*JDK versions:)(-.*?)\s*(?:-->.*)?$", 1), F.lit(""))
 
 
 def option_key(col: Column | str) -> Column:
     """Property name of ``-Dname=value``; other options are their own key."""
     c = _c(col)
-    prop = F.regexp_extract(c, "^-D([^=]+)=", 1)
-    return F.when(prop != "", prop).otherwise(c)
+    return F.coalesce(F.nullif(F.regexp_extract(c, "^-D([^=]+)=", 1), F.lit("")), c)
 
 
 def is_property(col: Column | str) -> Column:

@@ -161,9 +161,7 @@ def export_description(datasets: DataFrame, files: DataFrame, key: str, order: l
     files) instead of one oversized document.
     """
     columns = [c for c in files.columns if c != key]
-    # files that tie on the order columns are sorted by all they have, so ties are real copies
-    full_order = [*order, *[c for c in columns if c not in order]]
-    lists = bounded_lists(files, [key], full_order, F.struct(*[F.col(f"`{c}`") for c in columns]), "distribution", part_size)
+    lists = bounded_lists(files, [key], order, F.struct(*[F.col(f"`{c}`") for c in columns]), "distribution", part_size)
     bare = datasets.join(lists.select(key).distinct(), key, "left_anti")
     empty = F.array().cast(lists.schema["distribution"].dataType)
     joined = datasets.join(lists, key).unionByName(bare.withColumns({"part": F.lit(0), "distribution": empty}))

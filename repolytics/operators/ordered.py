@@ -137,12 +137,13 @@ def bounded_lists(df: DataFrame, keys: list[str], order: list[str], entry: Colum
     outgrows a task however many entries a key has.
     """
     rank = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)])
+    # entries that tie on the order are sorted by their content
     slim = df.select(*keys, rank.alias("__rank"), entry.alias("__entry"))
     if larger_than(df, keys, size).isEmpty():
         # measured: every key fits one list, so no numbering is needed
-        lists = slim.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__rank", "__entry"))).alias("__l"))
+        lists = slim.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__rank", "__entry"))).alias("__l"))
         return lists.select(*keys, F.lit(0).alias("part"), F.transform("__l", lambda x: x["__entry"]).alias(name))
-    numbered = number_rows(slim, keys, ["__rank"], "__pos", long_series)
+    numbered = number_rows(slim, keys, ["__rank", "__entry"], "__pos", long_series)
     part = F.floor((F.col("__pos") - 1) / size).cast("int").alias("part")
-    lists = numbered.groupBy(*keys, part).agg(F.array_sort(F.collect_list(F.struct("__pos", "__entry"))).alias("__l"))
+    lists = numbered.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct("__pos", "__entry"))).alias("__l"))
     return lists.select(*keys, "part", F.transform("__l", lambda x: x["__entry"]).alias(name))

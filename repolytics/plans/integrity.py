@@ -11,12 +11,14 @@ from ..operators.joins import coverage_matrix, effective_levels, missing_options
 from ..operators.ordering import then_tail
 
 
-def template_integrity(catalog: dict[str, DataFrame], fields: DataFrame, overrides: DataFrame) -> dict[str, DataFrame]:
-    """Coverage of blocks and effective field levels of all templates."""
-    return {
-        "coverage": coverage_matrix(catalog["parents"], catalog["blocks"], catalog["enabled"], "template_id", "parent_id", "block"),
-        "levels": effective_levels(catalog["parents"], fields, overrides, "template_id", "parent_id", "field"),
-    }
+def template_coverage(catalog: dict[str, DataFrame]) -> DataFrame:
+    """Blocks of each template against the parents using it."""
+    return coverage_matrix(catalog["parents"], catalog["blocks"], catalog["enabled"], "template_id", "parent_id", "block")
+
+
+def template_levels(parents: DataFrame, fields: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Effective input levels of each template's fields in the parents using it."""
+    return effective_levels(parents, fields, overrides, "template_id", "parent_id", "field")
 
 
 def config_drift(a: DataFrame, b: DataFrame, raw: str, exclude: str | None) -> dict[str, DataFrame]:

@@ -17,21 +17,31 @@ from ..operators.ordering import positioned_ci, rank_hits
 from ..operators.projections import display, project_nested, unpivot_record
 
 
-def failed_identifiers(log: DataFrame, deny: DataFrame, base_url: str) -> dict[str, DataFrame]:
-    """Failed-identifier report of a log ``pid, uri, method, ip, time``.
-
-    ``ranked`` has rank, hits, pid and url; ``details`` the lines per identifier in log order;
-    ``dropped`` the number of lines from denied sources; ``message`` one row when there is
-    nothing to report.
-    """
-    kept, dropped = exclude_denied(log, deny, "ip")
-    ranked = rank_hits(hits(kept, "pid", "time"), "pid").withColumn("url", landing_url(base_url, "pid"))
-    line = F.concat(
-        F.col("method"), F.lit(" "), F.col("uri"), F.lit(" from "), F.col("ip"), F.lit(" at "), F.trim(F.col("time").cast("string"))
-    )
-    lines = details(kept, "pid", ["time", "uri"], line)
-    message = kept.limit(1).agg(F.count("*").alias("n")).where(F.col("n") == 0).select(F.lit("No Failures this month").alias("message"))
-    return {"ranked": ranked, "details": lines, "dropped": dropped, "message": message}
+class FailedIdentifiers:
+    """Failed-identifier report of a log ``pid, uri, method, ip, time`` without denied sources."""
+
+    def __init__(self, log: DataFrame, deny: DataFrame, base_url: str):
+        self.base_url = base_url
+        self.kept, self._dropped = exclude_denied(log, deny, "ip")
+
+    def ranked(self) -> DataFrame:
+        """``rank, hits, pid, first_seen, url``, most hits first."""
+        return rank_hits(hits(self.kept, "pid", "time"), "pid").withColumn("url", landing_url(self.base_url, "pid"))
+
+    def details(self) -> DataFrame:
+        """``pid, position, line`` in log order."""
+        at = F.trim(F.col("time").cast("string"))
+        line = F.concat("method", F.lit(" "), "uri", F.lit(" from "), "ip", F.lit(" at "), at)
+        return details(self.kept, "pid", ["time", "uri"], line)
+
+    def dropped(self) -> DataFrame:
+        """One row: log lines from denied sources."""
+        return self._dropped
+
+    def message(self) -> DataFrame:
+        """One row when there is nothing to report, else none."""
+        first = self.kept.limit(1).agg(F.count("*").alias("n"))
+        return first.where(F.col("n") == 0).select(F.lit("No Failures this month").alias("message"))
 
 
 def resolution_failures(reports: DataFrame, account: str, base_url: str) -> DataFrame:
