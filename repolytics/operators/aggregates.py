@@ -147,7 +147,7 @@ def compare_baseline(now: DataFrame, base: DataFrame, metric: str, value: str) -
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Latest row per key; ``order`` ends in a unique column."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*")
 
 
 def distribution_summary(files: DataFrame, encoding: str = "encodingFormat", size: str = "contentSize") -> DataFrame:

@@ -92,25 +92,25 @@ def flatten_metadata(df: DataFrame, key: str, document: str) -> DataFrame:
     once as a variant and taken apart by its shape.
     """
     return _flatten_fields(
-        df.select(key, F.from_json(document, METADATA).alias("d"))
-        .select(key, F.explode("d.datasetVersion.metadataBlocks").alias("block", "b"))
-        .select(key, "block", F.explode("b.fields").alias("f")),
+        df.select(key, F.from_json(document, METADATA).alias("__d"))
+        .select(key, F.explode("__d.datasetVersion.metadataBlocks").alias("block", "__b"))
+        .select(key, "block", F.explode("__b.fields").alias("__f")),
         [key, "block"],
     )
 
 
 def flatten_edit(df: DataFrame, key: str, body: str, block: str = "citation") -> DataFrame:
     """Long rows of an edit body; its fields carry no class."""
-    parsed = df.select(key, F.lit(block).alias("block"), F.from_json(body, f"struct<fields: array<{FIELD}>>").alias("d"))
-    return _flatten_fields(parsed.select(key, "block", F.explode("d.fields").alias("f")), [key, "block"])
+    parsed = df.select(key, F.lit(block).alias("block"), F.from_json(body, f"struct<fields: array<{FIELD}>>").alias("__d"))
+    return _flatten_fields(parsed.select(key, "block", F.explode("__d.fields").alias("__f")), [key, "block"])
 
 
 def _flatten_fields(fields: DataFrame, keys: list[str]) -> DataFrame:
-    base = fields.select(*keys, F.col("f.typeName").alias("type_name"), F.col("f.typeClass").alias("type_class"), F.col("f.value").alias("v"))
-    text = F.try_variant_get("v", "$", "string")
-    texts = F.try_variant_get("v", "$", "array<string>")
-    maps = F.try_variant_get("v", "$", "array<map<string, struct<value: string>>>")
-    shape = F.schema_of_variant("v")
+    base = fields.select(*keys, F.col("__f.typeName").alias("type_name"), F.col("__f.typeClass").alias("type_class"), F.col("__f.value").alias("__v"))
+    text = F.try_variant_get("__v", "$", "string")
+    texts = F.try_variant_get("__v", "$", "array<string>")
+    maps = F.try_variant_get("__v", "$", "array<map<string, struct<value: string>>>")
+    shape = F.schema_of_variant("__v")
     entry = "array<struct<idx: int, subfield: string, value: string>>"
     single = F.array(F.struct(F.lit(0).alias("idx"), F.lit(None).cast("string").alias("subfield"), text.alias("value")))
     listed = F.transform(
@@ -130,8 +130,8 @@ def _flatten_fields(fields: DataFrame, keys: list[str]) -> DataFrame:
         .when(shape.startswith("ARRAY"), listed.cast(entry))
         .otherwise(single.cast(entry))
     )
-    return base.select(*keys, "type_name", "type_class", F.explode(parts).alias("p")).select(
-        *keys, "type_name", "type_class", "p.*"
+    return base.select(*keys, "type_name", "type_class", F.explode(parts).alias("__p")).select(
+        *keys, "type_name", "type_class", "__p.*"
     )
 
 
@@ -182,16 +182,16 @@ def export_description(datasets: DataFrame, files: DataFrame, key: str, order: l
 
 def parse_description(df: DataFrame, key: str, document: str) -> tuple[DataFrame, DataFrame]:
     """Dataset rows and file rows of description documents; sizes become numbers."""
-    parsed = df.select(key, F.from_json(document, DESCRIPTION).alias("d"))
+    parsed = df.select(key, F.from_json(document, DESCRIPTION).alias("__d"))
     datasets = parsed.select(
-        key, "d.name", "d.url", "d.version", "d.license", F.size("d.distribution").cast("bigint").alias("n_files")
+        key, "__d.name", "__d.url", "__d.version", "__d.license", F.size("__d.distribution").cast("bigint").alias("n_files")
     )
-    files = parsed.select(key, F.explode("d.distribution").alias("f")).select(
+    files = parsed.select(key, F.explode("__d.distribution").alias("__f")).select(
         key,
-        F.col("f.@id").alias("file_id"),
-        F.col("f.name").alias("file_name"),
-        F.col("f.contentSize").try_cast("bigint").alias("bytes"),
-        F.col("f.encodingFormat").alias("encoding"),
-        F.col("f.md5").alias("md5"),
+        F.col("__f.@id").alias("file_id"),
+        F.col("__f.name").alias("file_name"),
+        F.col("__f.contentSize").try_cast("bigint").alias("bytes"),
+        F.col("__f.encodingFormat").alias("encoding"),
+        F.col("__f.md5").alias("md5"),
     )
     return datasets, files

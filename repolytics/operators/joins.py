@@ -116,9 +116,9 @@ def as_of(df: DataFrame, ts: str, day: Column | str, *tie: str) -> DataFrame:
     """The latest snapshot strictly before the day after ``day``; no rows when there is none."""
     limit = F.date_add(F.to_date(F.lit(day)) if isinstance(day, str) else day, 1)
     latest = df.where(F.col(ts) < limit.cast(df.schema[ts].dataType)).agg(
-        F.max_by(F.struct(*df.columns), F.struct(ts, *tie)).alias("s")
+        F.max_by(F.struct(*df.columns), F.struct(ts, *tie)).alias("__s")
     )
-    return latest.where(F.col("s").isNotNull()).select("s.*")
+    return latest.where(F.col("__s").isNotNull()).select("__s.*")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, right_tie: list[str], strict: bool = False, long_series: int = LONG_SERIES) -> DataFrame:
@@ -176,7 +176,7 @@ def missing_required(df: DataFrame, name: str, required: list[str], group: str)
     """
     present = F.collect_set(F.when(F.col(name).isin(required), F.col(name)))
     wanted = F.array(*[F.lit(r) for r in required])
-    return df.groupBy(group).agg(present.alias("p")).select(group, F.explode(F.array_except(wanted, "p")).alias(name))
+    return df.groupBy(group).agg(present.alias("__p")).select(group, F.explode(F.array_except(wanted, "__p")).alias(name))
 
 
 def has_all_required(df: DataFrame, name: str, required: list[str]) -> DataFrame:

@@ -66,6 +66,8 @@ class OrderedSeries:
     order: list[str]
     short: DataFrame
     long: DataFrame | None
+    written: bool = True
+    """Whether ``long`` reads a written table; a second pass over it starts from one."""
 
     @staticmethod
     def of(df: DataFrame, keys: list[str], order: list[str], long_series: int = LONG_SERIES) -> OrderedSeries:
@@ -73,13 +75,18 @@ class OrderedSeries:
         sizes = larger_than(df, keys, long_series)
         if sizes.isEmpty():
             return OrderedSeries(keys, order, df, None)
-        long_keys = materialize(sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]))
-        side = F.broadcast(long_keys) if long_keys.count() <= MAX_BROADCAST_KEYS else long_keys
+        named = materialize(sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n"))
+        n_keys, n_rows = named.agg(F.count("*"), F.sum("__n")).first()
+        side = named.drop("__n")
+        if n_keys <= MAX_BROADCAST_KEYS:
+            side = F.broadcast(side)
         # null keys form a series of their own, hence the null-safe comparison
         on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
         # equal rows are told apart by their place in the input, so that even copies are spread
         rows = df.withColumn(_TIE, F.monotonically_increasing_id()).join(side, on, "left_semi")
-        ranged = rows.orderBy(*keys, *order, _TIE).withColumn(_CHUNK, F.spark_partition_id())
+        # as many chunks as keep each one the size of a short series
+        ranged = rows.repartitionByRange(-(-n_rows // long_series), *keys, *order, _TIE)
+        ranged = ranged.withColumn(_CHUNK, F.spark_partition_id())
         return OrderedSeries(keys, order, df.join(side, on, "left_anti"), materialize(ranged))
 
     def add(self, values: dict[str, Running]) -> OrderedSeries:
@@ -87,12 +94,15 @@ class OrderedSeries:
         inputs = {n: r.value for n, r in values.items()}
         within = Window.partitionBy(*self.keys).orderBy(*self.order)
         short = self.short.select("*", *_over(values, inputs, within))
-        return replace(self, short=short, long=None if self.long is None else self._add_long(values))
+        if self.long is None:
+            return replace(self, short=short)
+        long = self.long if self.written else materialize(self.long)
+        return replace(self, short=short, long=self._add_long(long, values), written=False)
 
-    def _add_long(self, values: dict[str, Running]) -> DataFrame:
-        columns = self.long.columns
+    def _add_long(self, long: DataFrame, values: dict[str, Running]) -> DataFrame:
+        columns = long.columns
         named = {n: F.col(f"__in_{n}") for n in values}
-        rows = self.long.withColumns({_CARRY: F.lit(0)} | {f"__in_{n}": r.value for n, r in values.items()})
+        rows = long.withColumns({_CARRY: F.lit(0)} | {f"__in_{n}": r.value for n, r in values.items()})
         place = F.struct(*self.order, _TIE)
         summary = rows.groupBy(*self.keys, _CHUNK).agg(
             *[

@@ -16,7 +16,7 @@ def later_duplicates(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     The first occurrence is an aggregate combined map-side, and it is removed by its own
     (unique) position, so a key that fills a third of the table is spread like any other.
     """
-    firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("f")).select("f.*")
+    firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("__f")).select("__f.*")
     return df.where(F.col(key).isNotNull()).join(firsts, order, "left_anti")
 
 
@@ -92,8 +92,8 @@ def stable_at(
     return (
         runs.where(done)
         .groupBy(*keys)
-        .agg(F.min_by(F.struct(F.col(ts), F.col(value)), F.col(ts)).alias("s"))
-        .select(*keys, F.col(f"s.{ts}").alias("stable_ts"), F.col(f"s.{value}").alias("stable_value"))
+        .agg(F.min_by(F.struct(F.col(ts), F.col(value)), F.col(ts)).alias("__s"))
+        .select(*keys, F.col(f"__s.{ts}").alias("stable_ts"), F.col(f"__s.{value}").alias("stable_value"))
     )
 
 
@@ -116,8 +116,8 @@ def after_flag(lines: DataFrame, keys: list[str], pos: str, flag: Column, target
     An earlier flag exists exactly when the first one is earlier, so a map-side combined
     minimum replaces an ordered pass.
     """
-    first = lines.where(flag).groupBy(*keys).agg(F.min(pos).alias("flag_pos"))
-    return lines.where(target).join(first, keys).where(F.col(pos) > F.col("flag_pos"))
+    first = lines.where(flag).groupBy(*keys).agg(F.min(pos).alias("__flag_pos"))
+    return lines.where(target).join(first, keys).where(F.col(pos) > F.col("__flag_pos")).drop("__flag_pos")
 
 
 def contiguous_months(df: DataFrame, keys: list[str], day: str) -> DataFrame:
@@ -126,16 +126,16 @@ def contiguous_months(df: DataFrame, keys: list[str], day: str) -> DataFrame:
     The months of a key are collected as a set, which cannot outgrow the calendar.
     """
     months = F.array_sort(F.collect_set(month_index(day)))
-    per_key = df.groupBy(*keys).agg(months.alias("m")).withColumn(
+    per_key = df.groupBy(*keys).agg(months.alias("__m")).withColumn(
         # a month belongs to the unbroken prefix when it is as far from the start as its position
-        "prefix", F.size(F.filter(F.col("m"), lambda x, i: x - F.get(F.col("m"), F.lit(0)) == i))
+        "__prefix", F.size(F.filter(F.col("__m"), lambda x, i: x - F.get(F.col("__m"), F.lit(0)) == i))
     )
     return per_key.select(
         *keys,
-        _month_text(F.get("m", F.lit(0))).alias("first_month"),
-        _month_text(F.get("m", F.col("prefix") - 1)).alias("last_month"),
-        F.col("prefix").cast("bigint").alias("months"),
-        (F.size("m") > F.col("prefix")).alias("has_gap"),
+        _month_text(F.get("__m", F.lit(0))).alias("first_month"),
+        _month_text(F.get("__m", F.col("__prefix") - 1)).alias("last_month"),
+        F.col("__prefix").cast("bigint").alias("months"),
+        (F.size("__m") > F.col("__prefix")).alias("has_gap"),
     )
 
 
