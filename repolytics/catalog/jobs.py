@@ -18,8 +18,10 @@ from ..sources.shapes import (
     dataset_rows,
     deploy_log,
     failure_log,
+    folder_indexes,
     launch_options,
     link_lines,
+    property_lines,
     report_headers,
     resolution_reports,
     upload_files,
@@ -151,6 +153,39 @@ def job_06_diff(t):
     return drift(t)["diff"]
 
 
+@query(
+    "job_06_later_options",
+    f"""WITH {LAUNCH_OPTIONS} SELECT pos, opt AS option, okey AS key FROM listing WHERE listing = 'PROMO' AND opt IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY okey ORDER BY pos) > 1""",
+)
+def job_06_later(t):
+    listing = launch_options(t.part).where("listing = 'PROMO'")
+    return PI.later_options(listing, "pos", "raw").select("pos", "option", "key")
+
+
+@query(
+    "job_06_family_options",
+    f"""WITH {LAUNCH_OPTIONS}, f AS (SELECT opt, okey FROM listing WHERE opt LIKE '-D%=%' AND regexp_matches(okey, 'red|hot'))
+        SELECT DISTINCT opt AS option, okey AS key, count(*) OVER (PARTITION BY okey) AS n FROM f""",
+)
+def job_06_family(t):
+    return PI.family_options(launch_options(t.part), "raw", "red|hot").select("option", "key", "n")
+
+
+@query(
+    "job_06_properties_to_sync",
+    """SELECT 'site.' || replace(p_name, ' ', '.') AS name, p_brand AS value FROM part
+       WHERE p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 4 <> 0""",
+)
+def job_06_properties(t):
+    return PI.properties_to_sync(property_lines(t.part), "line", "storage|S3")
+
+
+@query("job_05_find_template", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def job_05_find(t):
+    return PI.find_template(t.nation, "7", "n_nationkey", "n_name").select("n_nationkey", "n_name")
+
+
 def index_check(t):
     db_rules, index_rules = consistency_rules()
     db = t.orders.withColumn("key", F.col("o_orderkey"))
@@ -235,6 +270,16 @@ def job_09(t):
     return plan.select("page_id", "kind", "target", "path", "action")
 
 
+@query(
+    "job_09_listing_tree",
+    """SELECT '/api/access/datafile/' || c_custkey AS target,
+         replace(r_name, '_', ' ') || '/' || replace(n_name, '_', ' ') || '/' || regexp_replace(c_name, '[^A-Za-z0-9._-]', '', 'g') || '.txt' AS path
+       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)
+def job_09_tree(t):
+    return PF.listing_tree(folder_indexes(t.region, t.nation, t.customer), "folder", "line")
+
+
 @query("job_10_rows_to_metadata", f"WITH {FLAT_FIELDS} SELECT CAST(row_key AS VARCHAR) AS row_key, type_name, subfield, value FROM flat")
 def job_10(t):
     path = scratch_path(t.spark, "sheet")

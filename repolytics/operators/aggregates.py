@@ -47,13 +47,16 @@ def usage_totals(df: DataFrame, performance: str, metric: str) -> DataFrame:
     )
 
 
-def usage_summary(df: DataFrame, performance: str, metric: str) -> DataFrame:
+def usage_summary(df: DataFrame, performance: str, metric: str, part: str | None = None) -> DataFrame:
     """Totals of one metric and the number of records with and without entries, from one pass.
 
-    Each record is summed inside its row, so nothing is exploded below the record.
+    Each record is summed inside its row, so nothing is exploded below the record. ``part``
+    names the part number of records kept in parts; such a record is counted once.
     """
+    whole = F.lit(True) if part is None else F.col(part) == 0
     wanted = F.filter("instance", lambda x: x["metric-type"] == metric)
-    rows = df.select(F.explode(performance).alias("p")).select(F.col("p.instance").alias("instance")).select(
+    rows = df.select(whole.alias("whole"), F.explode(performance).alias("p")).select("whole", F.col("p.instance").alias("instance")).select(
+        "whole",
         "instance",
         F.coalesce(F.size(wanted), F.lit(0)).alias("n"),
         F.aggregate(wanted, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["count"], F.lit(0))).alias("total"),
@@ -61,8 +64,8 @@ def usage_summary(df: DataFrame, performance: str, metric: str) -> DataFrame:
     return rows.agg(
         F.sum(F.when(F.col("n") > 0, F.col("total"))).alias("total"),
         F.sum("n").cast("bigint").alias("n"),
-        F.count_if(F.size("instance") > 0).alias("with_entries"),
-        F.count_if(is_empty("instance")).alias("without_entries"),
+        F.count_if(F.col("whole") & (F.size("instance") > 0)).alias("with_entries"),
+        F.count_if(F.col("whole") & is_empty("instance")).alias("without_entries"),
     )
 
 

@@ -63,8 +63,13 @@ def transferable(
     return df.where(cond)
 
 
-def not_builtin(df: DataFrame, col: str, builtins: list[str]) -> DataFrame:
-    """Rows whose name is none of the built-in names (whole-name match)."""
+def not_builtin(df: DataFrame, col: str, builtins: list[str] | DataFrame) -> DataFrame:
+    """Rows whose name is none of the built-in names (whole-name match).
+
+    A short list is a literal condition; a table of names (same column) is an anti join.
+    """
+    if isinstance(builtins, DataFrame):
+        return df.where(F.col(col).isNotNull()).join(builtins.select(col).distinct(), col, "left_anti")
     return df.where(~F.col(col).isin(builtins))
 
 

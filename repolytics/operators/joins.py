@@ -87,9 +87,9 @@ def pending(items: DataFrame, manifest: DataFrame, present: DataFrame, key: str)
     return items.join(done, key, "left_anti")
 
 
-def options_of(df: DataFrame, col: str) -> DataFrame:
-    """Cleaned options of a listing with their comparison key."""
-    cleaned = df.select(option_text(col).alias("option")).where(F.col("option").isNotNull())
+def options_of(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    """Cleaned options of a listing with their comparison key, and the columns to keep."""
+    cleaned = df.select(*keep, option_text(col).alias("option")).where(F.col("option").isNotNull())
     return cleaned.withColumn("key", option_key("option"))
 
 

@@ -23,7 +23,8 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(part, "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
     return (
-        fixed.join(offsets, part)
+        # one row per sort partition: bounded by the number of shuffle partitions
+        fixed.join(F.broadcast(offsets), part)
         .withColumn(name, F.col("__offset") + F.col(seq) - F.col("__first") + 1)
         .drop(part, seq, "__first", "__offset")
     )

@@ -10,6 +10,7 @@ from ..functions.markup import folder_of, is_file_link, is_folder_link, last_lin
 from ..functions.text import base_name, safe_name
 from ..operators.filters import bad_response, split_valid
 from ..operators.joins import pending
+from ..operators.trees import expand_tree
 
 # How uploaded files are registered.
 UPLOAD_DESCRIPTION = "NetCDF file upload."
@@ -50,3 +51,17 @@ def download_plan(entries: DataFrame, manifest: DataFrame, present: DataFrame, s
     return todo.withColumn(
         "action", F.when(forbidden, F.lit("skip" if ignore_forbidden else "fail")).otherwise("fetch")
     )
+
+
+def listing_tree(indexes: DataFrame, folder: str, line: str, root: str = "") -> DataFrame:
+    """All files of a dataset with their local path: ``target, path``.
+
+    ``indexes`` holds the index lines of every folder; a folder link names its folder. Folder
+    paths are expanded level by level and joined to the files once.
+    """
+    entries = listing_entries(indexes, folder, line)
+    folders, files = entries.where("kind = 'folder'"), entries.where("kind = 'file'")
+    edges = folders.select(F.col(folder).alias("parent"), F.col("path").alias("child"), F.col("path").alias("name"))
+    paths = expand_tree(edges, root).select(F.col("node").alias(folder), F.col("path").alias("folder_path"))
+    below = files.join(paths, folder).select("target", F.concat_ws("/", "folder_path", "path").alias("path"))
+    return files.where(F.col(folder) == root).select("target", "path").unionByName(below)

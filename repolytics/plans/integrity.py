@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quote_url_value
+from ..functions.markup import attribute
+from ..functions.text import is_property, quote_url_value, strip_unsafe
 from ..operators.aggregates import consistency, duplicate_keys, pattern_counts
+from ..operators.filters import key_matches, where_key
 from ..operators.joins import coverage_matrix, effective_levels, missing_options, options_of, reconcile, table_diff
 from ..operators.ordering import then_tail
+from ..operators.sequence import later_duplicates
 
 
 def template_coverage(catalog: dict[str, DataFrame]) -> DataFrame:
@@ -22,12 +25,39 @@ def template_levels(parents: DataFrame, fields: DataFrame, overrides: DataFrame)
 
 
 def config_drift(a: DataFrame, b: DataFrame, raw: str, exclude: str | None) -> dict[str, DataFrame]:
-    """Two option listings ``pos, raw``: options to add, repeats inside ``a``, line difference."""
+    """Two option listings: options to add, keys set more than once in ``a``, line difference."""
     oa, ob = options_of(a, raw), options_of(b, raw)
     to_add = missing_options(oa, ob, exclude).distinct().withColumn("to_set", quote_url_value("option"))
     return {"to_add": to_add, "repeated": duplicate_keys(oa.distinct(), "key", "option"), "diff": table_diff(oa, ob)}
 
 
+def later_options(listing: DataFrame, pos: str, raw: str) -> DataFrame:
+    """Options of a listing whose key was set before."""
+    return later_duplicates(options_of(listing, raw, pos), "key", [pos])
+
+
+def family_options(listing: DataFrame, raw: str, family: str) -> DataFrame:
+    """Properties of one key family, with the number of times their key is set."""
+    options = options_of(listing, raw).where(is_property("option") & key_matches("key", include=family))
+    counts = options.groupBy("key").agg(F.count("*").alias("n"))
+    return options.distinct().join(counts, "key")
+
+
+def properties_to_sync(lines: DataFrame, line: str, exclude: str) -> DataFrame:
+    """``name, value`` of system property tags outside an excluded family; both must be set."""
+    tags = where_key(lines.where(F.col(line).contains("<system-property ")), line, exclude=exclude)
+    found = tags.select(attribute(line, "name").alias("name"), attribute(line, "value").alias("value"))
+    return found.where((F.col("name") != "") & (F.col("value") != ""))
+
+
+def find_template(templates: DataFrame, asked: str, id_col: str = "id", name_col: str = "name") -> DataFrame:
+    """Templates by number or by name. A number stands for the name behind it."""
+    if asked.isdigit():
+        return templates.join(templates.where(F.col(id_col) == int(asked)).select(name_col).distinct(), name_col, "left_semi")
+    # compared as a value, never spliced into a statement
+    return templates.where(F.col(name_col) == strip_unsafe(F.lit(asked)))
+
+
 def index_consistency(db: DataFrame, index: DataFrame, key: str, db_rules: dict[str, Column], index_rules: dict[str, Column]) -> dict[str, DataFrame]:
     """Counts with verdicts, and the keys that only one side knows."""
     return {

@@ -79,7 +79,7 @@ def resolution_backfill(reports: DataFrame, account: str, base_url: str, last_do
 def usage_check(headers: DataFrame, report: DataFrame, metric: str, day: str) -> dict[str, DataFrame]:
     """Check of a usage report: the reports ending on ``day``, totals, empty records, the alert."""
     found = where_path(headers, "report-header/reporting-period/end-date", day).select("id")
-    summary = usage_summary(report, "performance", metric)
+    summary = usage_summary(report, "performance", metric, "part" if "part" in report.columns else None)
     return {
         "found": found,
         "summary": summary.withColumn("alert", (F.col("n") != 0) & (F.col("without_entries") > 0)),

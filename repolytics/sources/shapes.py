@@ -140,6 +140,31 @@ def folder_edges(region: DataFrame, nation: DataFrame, customer: DataFrame) -> D
     )
 
 
+def folder_indexes(region: DataFrame, nation: DataFrame, customer: DataFrame) -> DataFrame:
+    """Index lines ``folder, line``: regions and nations are folders, customers files."""
+    def folder(df, parent, name):
+        line = F.concat(F.lit('<a href="/api/datasets/1/dirindex/?folder='), F.replace(name, F.lit("_"), F.lit("%20")), F.lit('">'), name, F.lit("</a>"))
+        return df.select(parent.alias("folder"), line.alias("line"))
+
+    r = region.select("r_regionkey", "r_name")
+    n = nation.join(r, nation["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+    c = customer.select("c_custkey", "c_name", "c_nationkey").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    file = F.concat(F.lit('<a href="/api/access/datafile/'), F.col("c_custkey"), F.lit('">'), F.col("c_name"), F.lit(".txt</a>"))
+    return (
+        folder(r, F.lit(""), F.col("r_name"))
+        .unionByName(folder(n, F.col("r_name"), F.col("n_name")))
+        .unionByName(c.select(F.replace("n_name", F.lit("_"), F.lit(" ")).alias("folder"), file.alias("line")))
+    )
+
+
+def property_lines(part: DataFrame) -> DataFrame:
+    """Lines of a server configuration; every fifth holds no property tag."""
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 3 == 0, "storage.S3.").otherwise("site."), F.replace("p_name", F.lit(" "), F.lit(".")))
+    tag = F.concat(F.lit('<system-property description="d" name="'), name, F.lit('" value="'), F.when(k % 4 == 0, "").otherwise(F.col("p_brand")), F.lit('"></system-property>'))
+    return part.select("p_partkey", F.when(k % 5 == 0, F.concat(F.lit("<jvm-options>"), name)).otherwise(tag).alias("line"))
+
+
 def dataset_rows(part: DataFrame) -> DataFrame:
     """Spreadsheet rows; only even parts have a link target."""
     return part.select(
