@@ -122,7 +122,7 @@ def field_coverage(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def joined_names(df: DataFrame, keys: list[str], col: str, size: int = LIST_SIZE) -> DataFrame:
     """Comma-joined distinct names per key, in parts of ``size`` names."""
-    names = bounded_lists(df.select(*keys, col).distinct(), keys, [col], F.col(col), "__names", size)
+    names = bounded_lists(df.select(*keys, col).distinct(), keys, [], F.col(col), "__names", size)
     return names.select(*keys, "part", F.array_join("__names", ",").alias("names"))
 
 

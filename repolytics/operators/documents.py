@@ -161,6 +161,8 @@ def export_description(datasets: DataFrame, files: DataFrame, key: str, order: l
     files) instead of one oversized document.
     """
     columns = [c for c in files.columns if c != key]
+    # an order that the entries begin with is their own order already
+    order = [] if columns[: len(order)] == order else order
     lists = bounded_lists(files, [key], order, F.struct(*[F.col(f"`{c}`") for c in columns]), "distribution", part_size)
     bare = datasets.join(lists.select(key).distinct(), key, "left_anti")
     empty = F.array().cast(lists.schema["distribution"].dataType)
