@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.shapes import daily_counts, state_events
 from ..streaming import operators as S
-from ..streaming.runner import file_stream, run_append, run_updates
+from ..streaming.runner import drain_append, file_stream, run_append, run_updates
 from .ordered import STABLE_SQL, STALL_SQL, STATE_SQL
 from .registry import query
 
@@ -16,14 +16,15 @@ def event_stream(t):
     return file_stream(t.spark, t.folder, t.events.schema, glob="events.parquet")
 
 
-def sample_stream(t):
-    """Daily samples landed as two sets of files, the earlier days first."""
-    path = scratch_path(t.spark, "samples")
+def drained_samples(t, name, operator):
+    """Daily samples that arrive in two halves; the second run continues from the state of the first."""
+    path, sink = scratch_path(t.spark, f"{name}-in"), scratch_path(t.spark, name)
     samples = S.as_event_time(daily_counts(t.events))
     middle = F.lit("2024-01-15").cast("timestamp")
-    samples.where(F.col("ts") < middle).coalesce(1).write.mode("append").parquet(path)
-    samples.where(F.col("ts") >= middle).coalesce(1).write.mode("append").parquet(path)
-    return file_stream(t.spark, path, samples.schema, files_per_batch=1)
+    for half in (F.col("ts") < middle, F.col("ts") >= middle):
+        samples.where(half).write.mode("append").parquet(path)
+        drain_append(operator(file_stream(t.spark, path, samples.schema)), sink, f"{sink}-state")
+    return t.spark.read.parquet(sink)
 
 
 @query("stm_01_incremental", "SELECT event_id, user_id, event_type FROM events")
@@ -40,13 +41,13 @@ def stm_01(t):
 
 @query("stm_02_stable", STABLE_SQL)
 def stm_02(t):
-    found = run_append(S.stream_stable(sample_stream(t), 2), "stable")
+    found = drained_samples(t, "stable", lambda samples: S.stream_stable(samples, 2))
     return found.select("series", F.date_format("stable_ts", "yyyy-MM-dd").alias("stable_day"), "stable_value")
 
 
 @query("stm_03_stall", STALL_SQL)
 def stm_03(t):
-    found = run_append(S.stream_stall(sample_stream(t), 172800), "stall").where("kind = 'sample'")
+    found = drained_samples(t, "stall", lambda samples: S.stream_stall(samples, 172800)).where("kind = 'sample'")
     return found.select("series", F.date_format("ts", "yyyy-MM-dd").alias("day"), "idle_seconds")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import growth_percent, percent, share
 from .filters import in_month, is_empty
+from .joins import keyed_join
 from .ordered import LIST_SIZE, bounded_lists, number_rows
 
 
@@ -106,7 +107,7 @@ def consistency_class(kind: Column, discrepancy: Column) -> Column:
 def duplicate_keys(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows of every key that occurs more than once, with the number of occurrences."""
     repeated = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) & F.col(key).isNotNull())
-    return df.select(key, value).join(repeated, key)
+    return keyed_join(df.select(key, value), repeated, key)
 
 
 def pattern_counts(df: DataFrame, line: Column | str, patterns: dict[str, str]) -> DataFrame:

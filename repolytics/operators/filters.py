@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_bounds
 from ..functions.text import _c
+from .joins import distinct_keys, keyed_join
 
 
 def in_month(df: DataFrame, ts: str, month: str) -> DataFrame:
@@ -69,7 +70,7 @@ def not_builtin(df: DataFrame, col: str, builtins: list[str] | DataFrame) -> Dat
     A short list is a literal condition; a table of names (same column) is an anti join.
     """
     if isinstance(builtins, DataFrame):
-        return df.where(F.col(col).isNotNull()).join(builtins.select(col).distinct(), col, "left_anti")
+        return keyed_join(df.where(F.col(col).isNotNull()), distinct_keys(builtins, col), col, "left_anti")
     return df.where(~F.col(col).isin(builtins))
 
 

@@ -3,11 +3,14 @@
 No size hint is given anywhere: which side is broadcast is left to the optimizer and to
 adaptive execution, which decide on measured sizes and fall back to a (skew-split) sort-merge
 join. Sides used only for membership are reduced to distinct keys first, so a hot key never
-multiplies and only ever sits on the side that adaptive execution can split.
+multiplies and only ever sits on the side that adaptive execution can split (``keyed_join``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +22,37 @@ def distinct_keys(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.select(*cols).distinct()
 
 
+def keyed_join(rows: DataFrame, side: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Join rows, whose keys may be hot, to a side with each key at most once.
+
+    Adaptive execution splits a hot key only where both inputs are shuffled for the join. A
+    side that was just grouped by the key would keep that partitioning and prevent it, so keys
+    are compared null-safe: both inputs are then shuffled anew (the side is one slim row per
+    key). Null keys of the side are dropped, so null still matches nothing.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    others = [c for c in side.columns if c not in keys]
+    known = side.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    renamed = known.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *others)
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    joined = rows.join(renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__key_{k}" for k in keys])
+
+
 def related_distinct(left: DataFrame, link: DataFrame, target: DataFrame, left_on: tuple[str, str], link_on: tuple[str, str], out: list[str]) -> DataFrame:
     """Distinct target columns reachable from ``left`` through ``link``.
 
     ``left_on`` and ``link_on`` are (from, to) column pairs. Only existence counts, so both
     steps are semi joins and no row is ever multiplied.
     """
-    reached = link.join(distinct_keys(left, F.col(left_on[0]).alias(left_on[1])), left_on[1], "left_semi")
+    reached = keyed_join(link, distinct_keys(left, F.col(left_on[0]).alias(left_on[1])), left_on[1], "left_semi")
     ids = distinct_keys(reached, F.col(link_on[0]).alias(link_on[1]))
     return target.join(ids, link_on[1], "left_semi").select(*out).distinct()
 
 
-def with_parent(child: DataFrame, parent: DataFrame, on: Column | str | list[str]) -> DataFrame:
+def with_parent(child: DataFrame, parent: DataFrame, on: str | list[str]) -> DataFrame:
     """Children with their parent's columns; children without a parent stay."""
-    return child.join(parent, on, "left")
+    return keyed_join(child, parent, on, "left")
 
 
 def with_children(parent: DataFrame, child: DataFrame, on: str) -> DataFrame:
@@ -77,14 +97,14 @@ def effective_levels(parents: DataFrame, fields: DataFrame, overrides: DataFrame
 def exclude_denied(df: DataFrame, deny: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of sources that are not denied, and the number of dropped rows (one row, ``dropped``)."""
     deny = distinct_keys(deny, key)
-    kept = df.join(deny, key, "left_anti")
-    return kept, df.join(deny, key, "left_semi").agg(F.count("*").alias("dropped"))
+    kept = keyed_join(df, deny, key, "left_anti")
+    return kept, keyed_join(df, deny, key, "left_semi").agg(F.count("*").alias("dropped"))
 
 
 def pending(items: DataFrame, manifest: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Items still to be fetched: those not both recorded and present."""
     done = distinct_keys(manifest, key).join(distinct_keys(present, key), key, "left_semi")
-    return items.join(done, key, "left_anti")
+    return keyed_join(items, done, key, "left_anti")
 
 
 def options_of(df: DataFrame, col: str, *keep: str) -> DataFrame:
@@ -96,7 +116,7 @@ def options_of(df: DataFrame, col: str, *keep: str) -> DataFrame:
 def missing_options(a: DataFrame, b: DataFrame, exclude: str | None = None) -> DataFrame:
     """Options of ``a`` whose key does not occur in ``b``; an excluded family is left out."""
     wanted = a if exclude is None else a.where(~F.col("key").rlike(exclude))
-    return wanted.join(distinct_keys(b, "key"), "key", "left_anti")
+    return keyed_join(wanted, distinct_keys(b, "key"), "key", "left_anti")
 
 
 def retype(files: DataFrame, names: DataFrame, file_id: str, type_col: str, label: str, when_type: str, pattern: str, new: str) -> DataFrame:
@@ -200,7 +220,7 @@ def table_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def apply_changes(df: DataFrame, name: str, value: str, upserts: DataFrame, deletes: list[str] = (), delete_like: list[str] = ()) -> DataFrame:
     """Update or insert the given pairs; blank values and listed or LIKE-matched names are deleted."""
-    kept = df.join(distinct_keys(upserts, name), name, "left_anti").select(name, value)
+    kept = keyed_join(df, distinct_keys(upserts, name), name, "left_anti").select(name, value)
     new = upserts.select(name, value).where(F.col(value).isNotNull() & (F.col(value) != ""))
     gone = F.col(name).isin(list(deletes)) if deletes else F.lit(False)
     for pattern in delete_like:

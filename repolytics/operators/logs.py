@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Message patterns of a deployment run, compared without case.
+# Message patterns of a deployment run, compared without case. Narrower forms of
+# a pattern that is listed anyway add nothing and are left out.
 MIGRATION = [
     "column.*does not exist",
     "relation.*does not exist.*migration",

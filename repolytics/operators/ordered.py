@@ -82,8 +82,9 @@ class OrderedSeries:
             side = F.broadcast(side)
         # null keys form a series of their own, hence the null-safe comparison
         on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-        # equal rows are told apart by their place in the input, so that even copies are spread
-        rows = df.withColumn(_TIE, F.monotonically_increasing_id()).join(side, on, "left_semi")
+        # equal rows are told apart by their place in a written table, so that even copies are
+        # spread, and a task that runs again gives every row the place it had
+        rows = materialize(df.join(side, on, "left_semi")).withColumn(_TIE, F.monotonically_increasing_id())
         # as many chunks as keep each one the size of a short series
         ranged = rows.repartitionByRange(-(-n_rows // long_series), *keys, *order, _TIE)
         ranged = ranged.withColumn(_CHUNK, F.spark_partition_id())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_index
 from ..functions.text import lines_of
+from .joins import keyed_join
 from .ordered import LONG_SERIES, OrderedSeries, Running
 
 
@@ -117,7 +118,7 @@ def after_flag(lines: DataFrame, keys: list[str], pos: str, flag: Column, target
     minimum replaces an ordered pass.
     """
     first = lines.where(flag).groupBy(*keys).agg(F.min(pos).alias("__flag_pos"))
-    return lines.where(target).join(first, keys).where(F.col(pos) > F.col("__flag_pos")).drop("__flag_pos")
+    return keyed_join(lines.where(target), first, keys).where(F.col(pos) > F.col("__flag_pos")).drop("__flag_pos")
 
 
 def contiguous_months(df: DataFrame, keys: list[str], day: str) -> DataFrame:

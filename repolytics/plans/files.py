@@ -9,7 +9,7 @@ from ..functions.json import registration_record
 from ..functions.markup import folder_of, is_file_link, is_folder_link, last_link_label, last_link_target
 from ..functions.text import base_name, safe_name
 from ..operators.filters import bad_response, split_valid
-from ..operators.joins import pending
+from ..operators.joins import distinct_keys, pending
 from ..operators.trees import expand_tree
 
 # How uploaded files are registered.
@@ -45,12 +45,14 @@ def listing_entries(lines: DataFrame, key: str, line: str, base_folder: Column |
 
 
 def download_plan(entries: DataFrame, manifest: DataFrame, present: DataFrame, statuses: DataFrame, key: str, ignore_forbidden: bool) -> DataFrame:
-    """What to do with each file still to be fetched: ``fetch``, ``skip`` (forbidden and ignored) or ``fail``."""
-    todo = pending(entries, manifest, present, key).join(statuses.select(key, "status").distinct(), key, "left")
-    forbidden = F.coalesce(F.col("status") == 403, F.lit(False))
-    return todo.withColumn(
-        "action", F.when(forbidden, F.lit("skip" if ignore_forbidden else "fail")).otherwise("fetch")
-    )
+    """What to do with each file still to be fetched: ``fetch``, ``skip`` (forbidden and ignored) or ``fail``.
+
+    A file is forbidden when any of its answers had status 403.
+    """
+    forbidden = distinct_keys(statuses.where(F.col("status") == 403), key).withColumn("__forbidden", F.lit(True))
+    action = F.when(F.col("__forbidden"), F.lit("skip" if ignore_forbidden else "fail")).otherwise("fetch")
+    todo = pending(entries, manifest, present, key).join(forbidden, key, "left")
+    return todo.withColumn("action", action).drop("__forbidden")
 
 
 def listing_tree(indexes: DataFrame, folder: str, line: str, root: str = "") -> DataFrame:

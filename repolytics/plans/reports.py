@@ -12,7 +12,7 @@ from ..functions.markup import failure_items
 from ..functions.text import landing_url
 from ..operators.aggregates import details, hits, usage_summary
 from ..operators.filters import is_empty, site_month, where_path
-from ..operators.joins import exclude_denied
+from ..operators.joins import exclude_denied, keyed_join
 from ..operators.ordering import positioned_ci, rank_hits
 from ..operators.projections import display, project_nested, unpivot_record
 
@@ -73,7 +73,7 @@ def due_months(last_done: str | None, as_of: dt.date, available: DataFrame) -> D
 def resolution_backfill(reports: DataFrame, account: str, base_url: str, last_done: str | None, as_of: dt.date) -> DataFrame:
     """Failures of all report months that are due."""
     due = due_months(last_done, as_of, reports.select("report_month"))
-    return resolution_failures(reports.join(due, "report_month", "left_semi"), account, base_url)
+    return resolution_failures(keyed_join(reports, due, "report_month", "left_semi"), account, base_url)
 
 
 def usage_check(headers: DataFrame, report: DataFrame, metric: str, day: str) -> dict[str, DataFrame]:

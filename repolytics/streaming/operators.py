@@ -54,7 +54,9 @@ def stream_stable(df: DataFrame, n: int) -> DataFrame:
     """First sample per series that repeats its predecessor for the ``n``-th time.
 
     Samples ``series, ts, doc_count`` must not arrive later than the batch of their
-    successors; inside a batch any order will do. Only samples of one batch are in memory.
+    successors; inside a batch any order will do. A task holds the samples that one series
+    has in one batch. Series are sampled at fixed intervals, so that is the time span of a
+    batch over the interval; ``files_per_batch`` of the source bounds a backlog.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from repolytics.operators import aggregates, joins, ordering, sequence
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,3 +40,47 @@ def test_number_of_shuffles(spark, name, shuffles):
 def test_no_python_in_the_plan(spark, name):
     text = plan(spark, name)
     assert "Python" not in text and "Arrow" not in text
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Thresholds of adaptive execution scaled down to the size of a test."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_rows(spark, n=300_000):
+    """A third of the rows on one key."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000)
+    return spark.range(0, n, 1, 16).select(key.alias("k"), F.col("id").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda df, keys: joins.with_children(keys, df, "k"),
+        lambda df, keys: joins.exclude_denied(df, keys.where("k % 2 = 1 and k <> 7"), "k")[0],
+        lambda df, keys: joins.pending(df, keys.where("k < 5"), keys.where("k < 3"), "k"),
+        lambda df, keys: aggregates.duplicate_keys(df, "k", "pad"),
+        lambda df, keys: sequence.after_flag(df, ["k"], "v", F.col("v") < 5000, F.col("v") > 100),
+    ],
+    ids=["with_children", "exclude_denied", "pending", "duplicate_keys", "after_flag"],
+)
+def test_joins_split_a_hot_key(spark, small_partitions, make):
+    df = hot_rows(spark)
+    result = make(df, spark.range(5000).select(F.col("id").alias("k")))
+    assert result.collect()
+    assert "skew=true" in result._jdf.queryExecution().executedPlan().toString()
+
