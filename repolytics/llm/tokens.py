@@ -74,16 +74,16 @@ class Encoder:
 
     def _find(self, pieces: list[str]) -> np.ndarray:
         """Slots of pieces; the ids of those not met before are added in one go."""
-        slots = self.slots
-        found = [slots.get(p, -1) for p in pieces]
+        slots, found = self.slots, []
         ids, lengths = [], []
-        for k, slot in enumerate(found):
-            if slot < 0:
-                piece = pieces[k]
+        for piece in pieces:
+            slot = slots.get(piece)
+            if slot is None:
                 own = self._piece(piece) if piece else []
-                found[k] = slots[piece] = len(slots)
+                slot = slots[piece] = len(slots)
                 ids += own
                 lengths.append(len(own))
+            found.append(slot)
         if lengths:
             sizes = np.array(lengths, np.int64)
             self.starts.append(self.used + np.cumsum(sizes) - sizes)
