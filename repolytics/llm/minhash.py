@@ -6,10 +6,11 @@ pair is confirmed on the whole shingle sets, and links close to components.
 
 * Equal sets form one class first; only classes are banded.
 * A bucket does not emit its pairs. Its members are compared with the bucket's *hub*, the
-  class that shares most buckets with others. Members whose component then equals the hub's are settled.
-  Members in another component are compared, inside the task, with chunks of bounded size of
-  the bucket's other members by signature and size; what passes is confirmed as well. No pair
-  is left out, and no group is ever gathered in one place.
+  class that shares most buckets with others. Members whose component then equals the hub's
+  are settled. The others are compared with the bucket's members block against block inside
+  the tasks, blocks being bounded in count and bytes; only links that join components leave a
+  task. No pair is left out and no group is gathered in one place. What this
+  costs grows with the number of members that stay apart, times the bucket's size.
 
 Defined results: null and empty texts, and texts without a word, have an empty set and link
 with nothing; rows without id are returned unlinked (component null, kept); rows that share
@@ -30,7 +31,7 @@ from . import kernel
 from .components import components
 
 BANDS, ROWS = 32, 4
-CHUNK = 64
+CHUNK, BLOCK_BYTES = 64, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -126,41 +127,92 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _remaining(rows: DataFrame, comps: DataFrame, classes: DataFrame, spec: NearDup) -> DataFrame:
-    """Pairs of one bucket in different components that signature and size do not rule out."""
-    percent, least = spec.percent, int(2 * spec.permutations * (spec.percent / 100 - 0.2))
+def _blocks(rows: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
+    """Members of buckets that hold several components, in blocks of bounded count and bytes.
+
+    A block's members share the bucket, a size class and whether they belong to the bucket's
+    largest component; each comes with its signature and its whole shingle set.
+    """
     now = rows.join(comps, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     by_comp = now.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    buckets = by_comp.groupBy("band").agg(F.max_by("comp", "n").alias("main"), F.sum("n").alias("size"), F.count("*").alias("comps")).where("comps > 1")
-    undecided = written(now.join(buckets, "band").join(classes, "rep").select("band", "rep", "comp", "main", "size", "n_shingles", "sig"))
-    piece = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / CHUNK))
-    member = F.struct("rep", "comp", "n_shingles", "sig")
-    chunks = undecided.groupBy("band", piece.alias("piece")).agg(F.collect_list(member).alias("members"))
-    probes = undecided.where("comp != main").select("band", "rep", "comp", "main", "n_shingles", "sig")
+    buckets = by_comp.groupBy("band").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("band", "main")
+    # sizes that differ by more than one class cannot be similar enough
+    klass = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / spec.percent))).alias("klass")
+    open_rows = now.join(buckets, "band").join(classes, "rep").select("band", "rep", "comp", (F.col("comp") == F.col("main")).alias("main"), klass, "n_shingles")
+    open_rows = written(open_rows)
+    group = ["band", "main", "klass"]
+    many = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES))
+    numbered = open_rows.join(open_rows.groupBy(*group).agg(many.alias("blocks")), group)
+    wanted = texts.join(open_rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    width = spec.width
+
+    def sets(batches):
+        for batch in batches:
+            for first, data, offsets in kernel.doc_slices(batch, "t"):
+                hashes, at = kernel.words(data, offsets)
+                found = [kernel.shingle_set(hashes[at[i] : at[i + 1]], width).tobytes() for i in range(len(offsets) - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(found)), pa.array(found, pa.binary())], ["rep", "shingles"])
+
+    whole = wanted.select("id", "t").mapInArrow(sets, "rep bigint, shingles binary").join(classes.select("rep", "sig"), "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    members = numbered.select(*group, block.alias("block"), "rep", "comp").join(whole, "rep")
+    return written(members.groupBy(*group, "block").agg(F.collect_list(F.struct("rep", "comp", "sig", "shingles")).alias("members")))
+
+
+def _between_components(blocks: DataFrame, spec: NearDup) -> DataFrame:
+    """Links between components of one bucket, found block against block inside the tasks.
+
+    Pairs are never emitted: signatures and sizes rule most out, the rest are compared on their
+    whole sets, and of the links a block pair finds only those that join components leave it.
+    """
+    percent, least = spec.percent, int(2 * spec.permutations * (spec.percent / 100 - 0.15))
 
     def run(batches):
         for batch in batches:
             found = set()
             for row in batch.to_pylist():
-                sig = np.frombuffer(row["sig"], np.uint32)
-                own = _bands(sig)
-                here = int(np.flatnonzero(own == row["band"])[0])
-                others = [m for m in row["members"] if m["comp"] != row["comp"] and (m["comp"] == row["main"] or m["rep"] > row["rep"])]
-                if not others:
-                    continue
-                sigs = np.frombuffer(b"".join(m["sig"] for m in others), np.uint32).reshape(len(others), -1)
-                sizes = np.array([m["n_shingles"] for m in others])
-                equal = sigs == sig
-                # a pair that meets in several buckets is proposed in the first of them
-                first = equal.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                fits = 100 * np.minimum(sizes, row["n_shingles"]) >= percent * np.maximum(sizes, row["n_shingles"])
-                good = (equal.sum(axis=1) >= least) & fits & (first == here)
-                found.update((min(row["rep"], others[i]["rep"]), max(row["rep"], others[i]["rep"])) for i in np.flatnonzero(good))
+                found.update(_compare(row["band"], row["one"], row["two"], row["same"], percent, least))
             found = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    joined = probes.join(chunks, "band").select("band", "rep", "comp", "main", "n_shingles", "sig", "members")
-    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
+    place = F.struct("main", "klass", "block")
+    one = blocks.select("band", place.alias("pa"), F.col("members").alias("one"))
+    two = blocks.select("band", place.alias("pb"), F.col("members").alias("two"))
+    near = (F.abs(F.col("pa.klass") - F.col("pb.klass")) <= 1) & ~(F.col("pa.main") & F.col("pb.main")) & (F.col("pa") <= F.col("pb"))
+    return one.join(two, "band").where(near).select("band", "one", "two", (F.col("pa") == F.col("pb")).alias("same")).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _compare(band: int, one: list[dict], two: list[dict], same: bool, percent: int, least: int):
+    sigs = np.frombuffer(b"".join(m["sig"] for m in two), np.uint32).reshape(len(two), -1)
+    sets = [np.frombuffer(m["shingles"], np.uint64) for m in two]
+    sizes = np.array([len(x) for x in sets])
+    comps = np.array([m["comp"] for m in two])
+    root: dict[int, int] = {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for i, m in enumerate(one):
+        sig, own = np.frombuffer(m["sig"], np.uint32), np.frombuffer(m["shingles"], np.uint64)
+        equal = sigs == sig
+        good = (equal.sum(axis=1) >= least) & (comps != m["comp"]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+        if same:
+            good[: i + 1] = False
+        if not good.any():
+            continue
+        here = int(np.flatnonzero(_bands(sig) == band)[0])
+        # a pair that meets in several buckets is compared in the first of them
+        first = equal.reshape(len(two), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        for k in np.flatnonzero(good & (first == here)).tolist():
+            a, b = find(m["comp"]), find(int(comps[k]))
+            if a == b:
+                continue
+            common = len(np.intersect1d(own, sets[k], assume_unique=True))
+            if 100 * common >= percent * (len(own) + len(sets[k]) - common):
+                root[max(a, b)] = min(a, b)
+                yield min(m["rep"], two[k]["rep"]), max(m["rep"], two[k]["rep"])
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spec: NearDup = NearDup()) -> DataFrame:
@@ -196,9 +248,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spe
     texts = written(texts)
     links = written(_confirm(star, texts, spec))
     comps = components(links)
-    tried = star.join(links, ["a", "b"], "left_anti")
-    more = _remaining(ranked.select("band", "rep"), comps, classes.select("rep", "n_shingles", "sig"), spec).join(tried, ["a", "b"], "left_anti")
-    comps = components(links.unionByName(_confirm(more, texts, spec)))
+    more = _between_components(_blocks(ranked.select("band", "rep"), comps, classes, texts, spec), spec)
+    comps = components(links.unionByName(more))
     # back from classes to rows
     of_class = member.join(classes.select("set_hash", "rep"), "set_hash").join(comps, F.col("rep") == F.col("node"), "left")
     of_id = of_class.select("id", F.coalesce("component", "rep").alias("component_id"))
