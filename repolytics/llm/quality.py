@@ -107,7 +107,8 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 10, batch
         return m
     seen_w, seen_v, seen_b = np.full(SIZE, 1e-2), np.full((SIZE, FACTORS), 1e-2), 1e-2
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    # small samples are passed through more often
+    for _ in range(max(epochs, -(-600 * batch // len(texts)))):
         turn = rng.permutation(len(texts))
         for i in range(0, len(turn), batch):
             rows = [texts[k] for k in turn[i : i + batch]]

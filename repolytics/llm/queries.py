@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, minhash, packing, quality, toxicity, wavelet
+from . import decontam, exact_dedup, licenses, lm, minhash, packing, quality, quotes, toxicity, wavelet
 from .registry import llm_query, table
 
 
@@ -25,6 +25,16 @@ def op2(spark, folder):
     return packing.pack(table(spark, folder, "documents"), vocabulary(), end=0, window=1024)
 
 
+@llm_query("op3_license_passages")
+def op3(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@llm_query("op4_deleted_interpolation")
+def op4(spark, folder):
+    return lm.lm_scores(table(spark, folder, "documents"))
+
+
 @llm_query("op5_wavelet_shards")
 def op5(spark, folder):
     docs = table(spark, folder, "documents")
@@ -58,3 +68,21 @@ def op8(spark, folder):
 )
 def op9(spark, folder):
     return exact_dedup.mark_duplicates(table(spark, folder, "documents"))
+
+
+def quoted_messages(turns):
+    """The conversations as a mailing list keeps them: every turn after the first quotes the turn
+    before it, and below that, one level deeper, the turn before that one."""
+    text = turns.groupBy("conv_id", "turn").agg(F.max(F.coalesce("text", F.lit(""))).alias("q"))
+    quote = lambda c, mark: F.concat(F.regexp_replace(c, r"(?m)^", mark), F.lit("\n"))
+    one = text.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("q").alias("q1"))
+    two = text.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("q").alias("q2"))
+    joined = turns.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
+    quoted = F.concat(F.coalesce(quote(F.col("q1"), "> "), F.lit("")), F.coalesce(quote(F.col("q2"), "> > "), F.lit("")))
+    return joined.select("conv_id", "turn", F.concat(quoted, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@llm_query("op10_quotation_links")
+def op10(spark, folder):
+    linked = quotes.conversations(quoted_messages(table(spark, folder, "conversations")), "conv_id", "turn", "text")
+    return linked.withColumnsRenamed({"thread": "conv_id", "position": "turn", "body": "text"})

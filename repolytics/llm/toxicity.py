@@ -84,10 +84,11 @@ def _start(place: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int, least:
     return np.where(z >= least, np.log((a + 0.5) / (n - a + 0.5) * (1 - share) / share), 0.0)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 60, rate: float = 0.4, sure: float = 3.0) -> Bags:
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 60, settle: int = 30, rate: float = 0.4, sure: float = 3.0) -> Bags:
     """Gradient ascent on the noisy-or likelihood. ``bags``: buckets, first words, label.
 
-    Starts from the words that toxic texts hold far more often. A word's weight then moves only by the part of its gradient beyond ``sure`` standard errors of
+    Starts from the words that toxic texts hold far more often and lets the bias settle, so that
+    common words are neither blamed nor excused for it. A word's weight then moves only by the part of its gradient beyond ``sure`` standard errors of
     the sentence gradients it sums: at first the blame for a toxic text is spread over all its
     sentences, and only words blamed by several texts and not excused by clean ones stand out.
     """
@@ -103,18 +104,20 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 60, rate:
     which, place = np.unique(bucket, return_inverse=True)
     line = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(bucket)]])))
     w, seen, seen_bias = _start(place, owner[line], y, len(which)), np.zeros(len(which)), 0.0
-    for _ in range(rounds):
+    for k in range(settle + rounds):
         p = _sigmoid(m.bias + np.bincount(line, w[place], minlength=len(first)))
         toxic = np.maximum(-np.expm1(np.bincount(owner, _safe(p), minlength=len(bags))), 1e-9)
         blame = p * np.where(y == 1, (1 - toxic) / toxic, -1.0)[owner]
+        seen_bias += blame.sum() ** 2
+        m.bias += 0.5 * blame.sum() / np.sqrt(max(seen_bias, 1e-12))
+        if k < settle:
+            continue
         each = blame[line]
         pull = np.bincount(place, each, minlength=len(which))
         doubt = sure * np.sqrt(np.bincount(place, each * each, minlength=len(which)))
         step = np.sign(pull) * np.maximum(np.abs(pull) - doubt, 0)
         seen += step * step
-        w += rate * step / np.sqrt(np.maximum(seen, 1e-12))
-        seen_bias += blame.sum() ** 2
-        m.bias += 0.5 * blame.sum() / np.sqrt(max(seen_bias, 1e-12))
+        w += rate * step / np.sqrt(1 + seen)
     m.weights[which] = w
     return m
 
