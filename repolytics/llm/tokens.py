@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 from . import kernel
 
-MOST_PIECES = 600_000
-BLOCK = 8 << 20
+MOST_PIECES = 250_000
+BLOCK = 4 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # a space beside white space of any kind: such texts are cut by the careful pattern
 _BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -58,18 +58,24 @@ class Encoder:
         self.used = 0
 
     def _part(self, part: str) -> list[int]:
+        slot = self.slots.get(part)
+        if slot is not None and slot < len(self.starts[0]):
+            at = int(self.starts[0][slot])
+            return self.ids[0][at : at + int(self.lengths[0][slot])].tolist()
         ids = self.known.get(part)
         if ids is None:
-            name = part.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.whole.model.tokenize(name)]
-            self.known[part] = ids
+            ids = self.known[part] = self._merge(part)
         return ids
 
+    def _merge(self, part: str) -> list[int]:
+        name = part.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.whole.model.tokenize(name)]
+
     def _piece(self, piece: str) -> list[int]:
         if self.special is not None and self.special.search(piece):
             return self.whole.encode(piece, add_special_tokens=False).ids
         if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self._part(piece)
+            return self._merge(piece)
         return [i for part in self.parts.findall(piece) for i in self._part(part)]
 
     def _find(self, pieces: list[str]) -> np.ndarray:
