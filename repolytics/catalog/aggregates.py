@@ -164,23 +164,24 @@ def agg_13(t):
     return run_verdict(deploy_log(t.spread("events")), ["run"], "pos", "line")
 
 
-def year_counts(t, year):
-    start, end = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
-    rows = t.orders.where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))
-    return rows.groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
+def month_counts(t, years_back):
+    month = F.date_format(F.add_months("o_orderdate", 12 * years_back), "yyyy-MM").alias("month")
+    return t.orders.groupBy(month).agg(F.count("*").alias("n"))
 
 
 @query(
     "agg_14_compare_baseline",
-    """WITH y AS (SELECT month(o_orderdate) AS month, count(*) FILTER (year(o_orderdate) = 1997) AS now, count(*) FILTER (year(o_orderdate) = 1996) AS base
-         FROM orders GROUP BY 1)
-       SELECT CAST(month AS INTEGER) AS month, now, base, now >= base * 90 // 100 AS floor_ok,
+    """WITH a AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS now FROM orders GROUP BY 1),
+         b AS (SELECT strftime(o_orderdate + INTERVAL 1 YEAR, '%Y-%m') AS month, count(*) AS base FROM orders GROUP BY 1)
+       SELECT month, now, base, CASE WHEN base IS NULL THEN 'now_only' WHEN now IS NULL THEN 'base_only' ELSE 'both' END AS status,
+         now >= base * 90 // 100 AS floor_ok,
          CASE WHEN now >= base * 95 // 100 AND now <= base * 120 // 100 THEN 'ok' WHEN now < base * 80 // 100 THEN 'warning' ELSE 'info' END AS range,
          now > base * 5 // 100 AS started, now * 100 // base AS percent_done, trunc((now - base) * 1000.0 / base) / 10.0 AS growth
-       FROM y WHERE now > 0 AND base > 0""",
+       FROM a FULL JOIN b USING (month)""",
 )
 def agg_14(t):
-    return A.compare_baseline(year_counts(t, 1997), year_counts(t, 1996), "month", "n")
+    """Orders of every month against those of the same month a year before."""
+    return A.compare_baseline(month_counts(t, 0), month_counts(t, 1), "month", "n")
 
 
 @query(

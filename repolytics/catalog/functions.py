@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import dates as D
 from ..functions import json as J
 from ..functions import markup as M
 from ..functions import numbers as N
 from ..functions import text as X
+from ..operators.ordering import with_position
 from ..plans.reports import resolution_failures
 from ..sources.shapes import BASE_URL, iso_day, launch_options, link_lines, resolution_reports, usage_report
 from .registry import query
@@ -170,14 +170,11 @@ def str_15(t):
 @query(
     "str_16_keyword_search",
     r"""WITH h AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w IN ('the', 'la', 'und'))) AS hits FROM documents)
-        SELECT row_number() OVER (ORDER BY hits DESC, doc_id) AS position, doc_id, hits FROM h WHERE hits > 0
-        QUALIFY position <= 20""",
+        SELECT row_number() OVER (ORDER BY hits DESC, doc_id) AS position, doc_id, hits FROM h WHERE hits > 0""",
 )
 def str_16(t):
     scored = t.spread("documents").select("doc_id", X.term_hits("text", ["the", "la", "und"]).alias("hits")).where("hits > 0")
-    # the first page of a ranked search: the window sees its twenty rows only
-    page = scored.orderBy(F.desc("hits"), "doc_id").limit(20)
-    return page.withColumn("position", F.row_number().over(Window.orderBy(F.desc("hits"), "doc_id")).cast("bigint"))
+    return with_position(scored, F.desc("hits"), F.col("doc_id"))
 
 
 @query(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import _c, percent_decode
 
+# The addresses of the directory index. The question mark is itself, not a quantifier.
 FILE_LINK = 'href="/api/access/datafile/'
-FOLDER_LINK = 'href="/api/datasets/[0-9]*/dirindex/?.*folder='
+FOLDER_LINK = 'href="/api/datasets/[0-9]*/dirindex/\\?.*folder='
 
 
 def last_link_target(line: Column | str) -> Column:

@@ -131,12 +131,14 @@ def compare_baseline(now: DataFrame, base: DataFrame, metric: str, value: str) -
     """Current against baseline counts per metric: the floor test, the range and the progress.
 
     Fixed limits: metadata at 90 % of the base, index between 95 % and 120 %, warning below
-    80 %, reindexing under way above 5 %.
+    80 %, reindexing under way above 5 %. ``status`` tells whether a metric is on both sides
+    or on one only; what needs both sides is then null.
     """
     n, b = F.col("now"), F.col("base")
-    joined = now.select(metric, F.col(value).alias("now")).join(base.select(metric, F.col(value).alias("base")), metric)
+    joined = now.select(metric, F.col(value).alias("now")).join(base.select(metric, F.col(value).alias("base")), metric, "full_outer")
     return joined.withColumns(
         {
+            "status": F.when(b.isNull(), "now_only").when(n.isNull(), "base_only").otherwise("both"),
             "floor_ok": n >= share(b, 90),
             "range": F.when((n >= share(b, 95)) & (n <= share(b, 120)), "ok")
             .when(n < share(b, 80), "warning")

@@ -114,7 +114,10 @@ def whole_days_before(ts: Column | str, as_of: dt.datetime | str) -> Column:
 
 def expired(df: DataFrame, ts: str, days: int, name: str, pattern: str, as_of: dt.datetime | str) -> DataFrame:
     """Entries more than ``days`` whole days old whose name matches a LIKE pattern."""
-    return df.where((whole_days_before(ts, as_of) > days) & F.col(name).like(pattern))
+    # whole days since ts exceed ``days`` once ts is a day more than that ago; a plain bound
+    # on the column reaches the scan
+    bound = (F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days + 1))).cast(df.schema[ts].dataType)
+    return df.where((F.col(ts) <= bound) & F.col(name).like(pattern))
 
 
 def not_allowed(df: DataFrame, col: str, allowed: list[str]) -> DataFrame:

@@ -145,8 +145,9 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str, ri
     """Each left row with the latest right row of its key at (or, when strict, before) its time.
 
     Both sides are put in one ordered series and the latest right row is carried forward, so
-    no pair but the wanted one is ever formed.
+    no pair but the wanted one is ever formed. A null key matches nothing.
     """
+    right = right.where(F.col(key).isNotNull())
     values = [c for c in right.columns if c != key]
     side_right = 1 if strict else 0
     lrows = left.select(key, F.col(lt).alias("__t"), F.lit(1 - side_right).alias("__side"), F.struct(*left.columns).alias("__l"))
@@ -189,14 +190,19 @@ def verify_checksums(files: DataFrame, expected: DataFrame, key: str, actual: st
     return files.join(expected.select(key, wanted), key, "left").withColumn("status", status)
 
 
-def missing_required(df: DataFrame, name: str, required: list[str], group: str) -> DataFrame:
+def missing_required(df: DataFrame, name: str, required: list[str], group: str, groups: DataFrame | None = None) -> DataFrame:
     """Required names that a group lacks, one row each.
 
-    Present names are collected as a set that can hold no more than the required list.
+    Present names are collected as a set that can hold no more than the required list. With a
+    table of ``groups`` a group without any row lacks everything.
     """
     present = F.collect_set(F.when(F.col(name).isin(required), F.col(name)))
     wanted = F.array(*[F.lit(r) for r in required])
-    return df.groupBy(group).agg(present.alias("__p")).select(group, F.explode(F.array_except(wanted, "__p")).alias(name))
+    found = df.groupBy(group).agg(present.alias("__p"))
+    if groups is not None:
+        found = groups.select(group).distinct().join(found, group, "left")
+    lacking = F.array_except(wanted, F.coalesce("__p", F.array().cast("array<string>")))
+    return found.select(group, F.explode(lacking).alias(name))
 
 
 def has_all_required(df: DataFrame, name: str, required: list[str]) -> DataFrame:
@@ -225,4 +231,4 @@ def apply_changes(df: DataFrame, name: str, value: str, upserts: DataFrame, dele
     gone = F.col(name).isin(list(deletes)) if deletes else F.lit(False)
     for pattern in delete_like:
         gone = gone | F.col(name).like(pattern)
-    return kept.where(~gone).unionByName(new)
+    return kept.where(~F.coalesce(gone, F.lit(False))).unionByName(new)

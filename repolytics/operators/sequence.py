@@ -37,14 +37,16 @@ def context_lines(lines: DataFrame, file: str, line_no: str, hit: Column, before
 
 def context_of_text(text: Column, pattern: str, before: int = 2, after: int = 2) -> Column:
     """The same for a text held in one row: ``array<struct<line_no,line>>``, no shuffle at all."""
-    lines = lines_of(text)
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    hits = F.transform(F.filter(numbered, lambda s: s["line"].rlike(pattern)), lambda s: s["line_no"])
-    wanted = F.array_distinct(
-        F.flatten(F.transform(hits, lambda n: F.sequence(F.greatest(n - before, F.lit(1)), n + after)))
-    )
-    wanted = F.array_sort(F.filter(wanted, lambda n: n <= F.size(lines)))
-    return F.transform(wanted, lambda n: F.struct(n.alias("line_no"), F.get(lines, n - 1).alias("line")))
+
+    def around(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+        hits = F.transform(F.filter(numbered, lambda s: s["line"].rlike(pattern)), lambda s: s["line_no"])
+        wanted = F.array_distinct(F.flatten(F.transform(hits, lambda n: F.sequence(F.greatest(n - before, F.lit(1)), n + after))))
+        wanted = F.array_sort(F.filter(wanted, lambda n: n <= F.size(lines)))
+        return F.transform(wanted, lambda n: F.struct(n.alias("line_no"), F.get(lines, n - 1).alias("line")))
+
+    # as the variable of an outer function the text is split once, not once for each hit
+    return F.transform(F.array(lines_of(text)), around)[0]
 
 
 def unchanged_runs(samples: DataFrame, keys: list[str], ts: str, value: str, reset: str = "change", skip_empty: bool = True, long_series: int = LONG_SERIES) -> DataFrame:

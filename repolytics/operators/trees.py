@@ -14,26 +14,26 @@ def children(df: DataFrame, parent: str, value) -> DataFrame:
     return df.where(F.col(parent) == value)
 
 
-def expand_tree(edges: DataFrame, root: str, max_depth: int = 64, sep: str = "/") -> DataFrame:
+def expand_tree(edges: DataFrame, root: str, sep: str = "/") -> DataFrame:
     """All nodes below ``root`` with depth and full path. ``edges`` has ``parent, child, name``.
 
     One join per level. Each level is written to the reliable checkpoint, so a level is
-    computed once and the plan stays flat however deep the tree is. A tree deeper than
-    ``max_depth`` (or one with a cycle) is an error, never a cut result.
+    computed once and the plan stays flat however deep the tree is. The edges are written once
+    as well. A cycle is an error: every row carries the nodes above it.
     """
-    edges = edges.select("parent", "child", "name")
+    edges = materialize(edges.select("parent", "child", "name"))
     level = edges.where(F.col("parent") == root).select(
-        F.col("child").alias("node"), F.lit(1).alias("depth"), F.col("name").alias("path")
+        F.col("child").alias("node"), F.lit(1).alias("depth"), F.col("name").alias("path"), F.array("parent", "child").alias("above")
     )
     levels = []
     while True:
         level = materialize(level)
         if level.isEmpty():
             break
-        if len(levels) == max_depth:
-            raise ValueError(f"tree is deeper than {max_depth} levels or has a cycle")
-        levels.append(level)
+        if not level.where(F.size(F.array_distinct("above")) < F.size("above")).isEmpty():
+            raise ValueError("the tree has a cycle")
+        levels.append(level.drop("above"))
         level = level.join(edges, F.col("node") == F.col("parent")).select(
-            F.col("child").alias("node"), F.col("depth") + 1, F.concat_ws(sep, "path", "name").alias("path")
-        ).toDF("node", "depth", "path")
-    return reduce(DataFrame.unionByName, levels) if levels else level
+            F.col("child").alias("node"), F.col("depth") + 1, F.concat_ws(sep, "path", "name").alias("path"), F.array_append("above", F.col("child"))
+        ).toDF("node", "depth", "path", "above")
+    return reduce(DataFrame.unionByName, levels) if levels else level.drop("above")

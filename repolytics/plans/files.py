@@ -24,11 +24,13 @@ def registration_manifest(files: DataFrame, responses: DataFrame, path: str, con
 
     ``files`` has path and content, ``responses`` path, storage identifier and status.
     """
-    answered = files.join(responses.select(path, storage, status), path, "left")
+    # hashed where the bytes are read: contents never travel through the join
+    hashed = files.select(path, F.sha1(content).alias("__sha1"))
+    answered = hashed.join(responses.select(path, storage, status), path, "left")
     good, refused = split_valid(answered, bad_response(storage, status))
     name = base_name(path)
     record = registration_record(
-        F.col(storage), name, F.sha1(content), F.lit(UPLOAD_MIME), UPLOAD_DESCRIPTION, UPLOAD_FOLDER, UPLOAD_CATEGORY
+        F.col(storage), name, F.col("__sha1"), F.lit(UPLOAD_MIME), UPLOAD_DESCRIPTION, UPLOAD_FOLDER, UPLOAD_CATEGORY
     )
     return good.select(path, name.alias("file_name"), record.alias("record")), refused.select(path, "reason")
 

@@ -31,7 +31,8 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, on_bad: str =
     in ``_corrupt_record`` (null on good lines)."""
     options = {"sep": "\t", "header": True, "quote": "", "enforceSchema": True}
     if on_bad == "fail":
-        return spark.read.options(**options).schema(schema).csv(path, mode="FAILFAST")
+        # a line is only known to be ragged when all its fields are parsed, whatever is selected
+        return spark.read.options(**options, columnPruning=False).schema(schema).csv(path, mode="FAILFAST")
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return spark.read.options(**options).schema(wide).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
 

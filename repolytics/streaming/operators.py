@@ -41,9 +41,9 @@ def stream_state(df: DataFrame, keys: list[str], order: list[str], action: str)
     return df.groupBy(*keys).agg(F.max_by(F.col(action), F.struct(*order)).alias("state"), F.count("*").alias("n_actions"))
 
 
-def stream_once(df: DataFrame, key: str, ts: str = "ts", delay: str = DEFAULT_LATENESS) -> DataFrame:
-    """Each key once; state is kept for ``delay`` only."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key]).select(key)
+def stream_once(df: DataFrame, key: str) -> DataFrame:
+    """Each key once, however long ago it was first seen: every key is kept as state."""
+    return df.select(key).dropDuplicates([key])
 
 
 STABLE_OUT = "series bigint, stable_ts timestamp, stable_value bigint"
@@ -104,6 +104,8 @@ def stream_stall(df: DataFrame, seconds: int, late: str = "0 seconds") -> DataFr
         else:
             batch = pd.concat(list(frames)).sort_values("ts")
             for ts, count in zip(batch["ts"], batch["doc_count"]):
+                if pd.isna(count):
+                    continue
                 now_us = int(ts.value // 1000) if hasattr(ts, "value") else int(pd.Timestamp(ts).value // 1000)
                 if last is not None and count > last:
                     increased = now_us
