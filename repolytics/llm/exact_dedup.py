@@ -79,6 +79,9 @@ def drop_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     keyed = docs.withColumn(_FULL, content_hash(text))
     on = F.col(f"`{id}`").eqNullSafe(F.col("__mid")) & (F.col(_FULL) == F.col("__mfull"))
     clear = keyed.join(marked, on, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    if marked.where("__stays").isEmpty():
+        # no id holds the same text twice: whole rows are not shuffled a second time for ties
+        return clear
     tied = keyed.join(marked.where("__stays"), on, "left_semi")
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     one = tied.groupBy(F.col(f"`{id}`").alias("__k"), _FULL).agg(F.max(row).alias("__r"))
