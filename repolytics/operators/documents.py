@@ -85,24 +85,30 @@ def build_metadata(rows: DataFrame, key: str, contact: tuple[str, str]) -> DataF
     )
 
 
+def _entries(df: DataFrame, keep: list[str], entries: Column | str, *names: str) -> DataFrame:
+    """One row for each entry of an array or map, as ``explode`` gives them.
+
+    An inner generator adds a filter on its input, which builds and parses the documents a
+    second time; the outer form with the place tested afterwards parses them once.
+    """
+    return df.select(*keep, F.posexplode_outer(entries).alias("__at", *names)).where(F.col("__at").isNotNull()).drop("__at")
+
+
 def flatten_metadata(df: DataFrame, key: str, document: str) -> DataFrame:
     """Long rows ``(key, block, type_name, type_class, idx, subfield, value)`` of metadata documents.
 
     A field's value is text, an array of texts, or an array of maps of subfields; it is parsed
     once as a variant and taken apart by its shape.
     """
-    return _flatten_fields(
-        df.select(key, F.from_json(document, METADATA).alias("__d"))
-        .select(key, F.explode("__d.datasetVersion.metadataBlocks").alias("block", "__b"))
-        .select(key, "block", F.explode("__b.fields").alias("__f")),
-        [key, "block"],
-    )
+    parsed = df.select(key, F.from_json(document, METADATA).alias("__d"))
+    blocks = _entries(parsed, [key], "__d.datasetVersion.metadataBlocks", "block", "__b")
+    return _flatten_fields(_entries(blocks, [key, "block"], "__b.fields", "__f"), [key, "block"])
 
 
 def flatten_edit(df: DataFrame, key: str, body: str, block: str = "citation") -> DataFrame:
     """Long rows of an edit body; its fields carry no class."""
     parsed = df.select(key, F.lit(block).alias("block"), F.from_json(body, f"struct<fields: array<{FIELD}>>").alias("__d"))
-    return _flatten_fields(parsed.select(key, "block", F.explode("__d.fields").alias("__f")), [key, "block"])
+    return _flatten_fields(_entries(parsed, [key, "block"], "__d.fields", "__f"), [key, "block"])
 
 
 def _flatten_fields(fields: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,9 +136,8 @@ def _flatten_fields(fields: DataFrame, keys: list[str]) -> DataFrame:
         .when(shape.startswith("ARRAY"), listed.cast(entry))
         .otherwise(single.cast(entry))
     )
-    return base.select(*keys, "type_name", "type_class", F.explode(parts).alias("__p")).select(
-        *keys, "type_name", "type_class", "__p.*"
-    )
+    named = [*keys, "type_name", "type_class"]
+    return _entries(base, named, parts, "__p").select(*named, "__p.*")
 
 
 def merge_edit(rows: DataFrame, edit: DataFrame, key: str, mode: str = "replace") -> DataFrame:
@@ -188,7 +193,7 @@ def parse_description(df: DataFrame, key: str, document: str) -> tuple[DataFrame
     datasets = parsed.select(
         key, "__d.name", "__d.url", "__d.version", "__d.license", F.size("__d.distribution").cast("bigint").alias("n_files")
     )
-    files = parsed.select(key, F.explode("__d.distribution").alias("__f")).select(
+    files = _entries(parsed, [key], "__d.distribution", "__f").select(
         key,
         F.col("__f.@id").alias("file_id"),
         F.col("__f.name").alias("file_name"),
