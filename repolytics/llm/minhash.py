@@ -5,6 +5,10 @@ maximum, so half as many permutations are evaluated. Bands of four values propos
 pair is confirmed on the whole shingle sets, and links close to components.
 
 * Equal sets form one class first; only classes are banded.
+* Signatures rule out candidates before any text moves: of a bucket's pairs only those are
+  confirmed whose signatures agree in all but 0.2 of the wanted similarity, and only members with
+  such a partner have their whole sets brought to the blocks below. A pair of similarity 0.8 fails
+  this once in ten million.
 * A bucket does not emit its pairs. Its members are compared with the bucket's *hub*, the
   class that shares most buckets with others. Members whose component then equals the hub's
   are settled. The others are compared with the bucket's members block against block inside
@@ -49,6 +53,11 @@ class NearDup:
     def permutations(self) -> int:
         return BANDS * ROWS // 2
 
+    @property
+    def least_equal(self) -> int:
+        """Signature values a linked pair has in common, 5.6 deviations below what is expected."""
+        return int(2 * self.permutations * (self.percent / 100 - 0.2))
+
 
 def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
@@ -100,6 +109,28 @@ def sketches(docs: DataFrame, id: str, text: str, spec: NearDup) -> DataFrame:
     return slim.mapInArrow(run, "id bigint, n_shingles bigint, set_hash binary, sig binary")
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, spec: NearDup) -> DataFrame:
+    """Pairs ``a, b`` whose sizes and signatures allow a link; one byte of each value is compared."""
+    percent, least = spec.percent, spec.least_equal
+
+    def brief(batches):
+        for batch in batches:
+            short = [np.frombuffer(s, np.uint32).astype(np.uint8).tobytes() for s in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(short, pa.binary())], ["rep", "n", "s"])
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            good = pa.array((one == two).sum(axis=1) >= least, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+    short = classes.select("rep", "n_shingles", "sig").mapInArrow(brief, "rep bigint, n bigint, s binary")
+    one = short.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    two = short.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
     """Pairs ``a, b`` linked on their whole shingle sets."""
     width, percent = spec.width, spec.percent
@@ -127,45 +158,75 @@ def _confirm(pairs: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _blocks(rows: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, spec: NearDup) -> DataFrame:
-    """Members of buckets that hold several components, in blocks of bounded count and bytes.
+def _dealt(rows: DataFrame, each) -> DataFrame:
+    """``rows`` of ``band, main, klass, rep, ..., n_shingles`` with their ``block`` of the group, a
+    member taking ``each`` bytes."""
+    group = ["band", "main", "klass"]
+    many = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(each) / BLOCK_BYTES))
+    numbered = rows.join(rows.groupBy(*group).agg(many.alias("blocks")), group)
+    return numbered.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks")
+
+
+def _open_members(rows: DataFrame, comps: DataFrame, classes: DataFrame, spec: NearDup) -> DataFrame:
+    """Members of buckets that hold several components: ``band, main, klass, rep, comp, sig, n_shingles``.
 
-    A block's members share the bucket, a size class and whether they belong to the bucket's
-    largest component; each comes with its signature and its whole shingle set.
+    ``main`` tells whether a member belongs to the bucket's largest component, ``klass`` is its
+    class of sizes.
     """
     now = rows.join(comps, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     by_comp = now.groupBy("band", "comp").agg(F.count("*").alias("n"))
     buckets = by_comp.groupBy("band").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("band", "main")
     # sizes that differ by more than one class cannot be similar enough
     klass = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / spec.percent))).alias("klass")
-    open_rows = now.join(buckets, "band").join(classes, "rep").select("band", "rep", "comp", (F.col("comp") == F.col("main")).alias("main"), klass, "n_shingles")
-    open_rows = written(open_rows)
-    group = ["band", "main", "klass"]
-    many = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES))
-    numbered = open_rows.join(open_rows.groupBy(*group).agg(many.alias("blocks")), group)
-    wanted = texts.join(open_rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    width = spec.width
+    open_rows = now.join(buckets, "band").join(classes, "rep")
+    return open_rows.select("band", (F.col("comp") == F.col("main")).alias("main"), klass, "rep", "comp", "sig", "n_shingles")
+
 
-    def sets(batches):
+def _blocks(members: DataFrame, *more: str) -> DataFrame:
+    """Members of one block in one row; blocks are bounded in count and bytes."""
+    return written(members.groupBy("band", "main", "klass", "block").agg(F.collect_list(F.struct("rep", "comp", "sig", "n_shingles", *more)).alias("members")))
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """``band, one, two, same``: the blocks of a bucket that can hold linked members."""
+    place = F.struct("main", "klass", "block")
+    one = blocks.select("band", place.alias("pa"), F.col("members").alias("one"))
+    two = blocks.select("band", place.alias("pb"), F.col("members").alias("two"))
+    near = (F.abs(F.col("pa.klass") - F.col("pb.klass")) <= 1) & ~(F.col("pa.main") & F.col("pb.main")) & (F.col("pa") <= F.col("pb"))
+    return one.join(two, "band").where(near).select("band", "one", "two", (F.col("pa") == F.col("pb")).alias("same"))
+
+
+def _active(blocks: DataFrame, spec: NearDup) -> DataFrame:
+    """``band, rep`` of members that agree with one of another component by their signatures."""
+    percent, least = spec.percent, spec.least_equal
+
+    def run(batches):
         for batch in batches:
-            for first, data, offsets in kernel.doc_slices(batch, "t"):
-                hashes, at = kernel.words(data, offsets)
-                found = [kernel.shingle_set(hashes[at[i] : at[i + 1]], width).tobytes() for i in range(len(offsets) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(found)), pa.array(found, pa.binary())], ["rep", "shingles"])
+            for row in batch.to_pylist():
+                found = set()
+                for i, partners in _candidates(row["band"], row["one"], row["two"], row["same"], percent, least):
+                    found.add(row["one"][i]["rep"])
+                    found.update(row["two"][k]["rep"] for k in partners)
+                yield pa.RecordBatch.from_arrays([pa.array([row["band"]] * len(found), pa.int64()), pa.array(list(found), pa.int64())], ["band", "rep"])
 
-    whole = wanted.select("id", "t").mapInArrow(sets, "rep bigint, shingles binary").join(classes.select("rep", "sig"), "rep")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    members = numbered.select(*group, block.alias("block"), "rep", "comp").join(whole, "rep")
-    return written(members.groupBy(*group, "block").agg(F.collect_list(F.struct("rep", "comp", "sig", "shingles")).alias("members")))
+    return _block_pairs(blocks).mapInArrow(run, "band bigint, rep bigint").distinct()
 
 
-def _between_components(blocks: DataFrame, spec: NearDup) -> DataFrame:
+def _between_components(members: DataFrame, docs: DataFrame, spec: NearDup) -> DataFrame:
     """Links between components of one bucket, found block against block inside the tasks.
 
-    Pairs are never emitted: signatures and sizes rule most out, the rest are compared on their
-    whole sets, and of the links a block pair finds only those that join components leave it.
+    Pairs are never emitted: signatures tell first which members can have a link at all; only
+    their whole sets are moved and compared, and of the links a block pair finds only those that
+    join components leave it.
     """
-    percent, least = spec.percent, int(2 * spec.permutations * (spec.percent / 100 - 0.15))
+    members = written(members)
+    signature_bytes = F.lit(2 * spec.permutations * 4)
+    active = written(_active(_blocks(_dealt(members, signature_bytes)), spec))
+    wanted = active.select(F.col("rep").alias("id")).distinct()
+    whole = _shingle_sets(docs.join(wanted, "id", "left_semi"), spec)
+    dealt = _dealt(members.join(active, ["band", "rep"]).select(*members.columns), F.col("n_shingles") * 8)
+    blocks = _blocks(dealt.join(whole, "rep"), "shingles")
+    percent, least = spec.percent, spec.least_equal
 
     def run(batches):
         for batch in batches:
@@ -175,18 +236,45 @@ def _between_components(blocks: DataFrame, spec: NearDup) -> DataFrame:
             found = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    place = F.struct("main", "klass", "block")
-    one = blocks.select("band", place.alias("pa"), F.col("members").alias("one"))
-    two = blocks.select("band", place.alias("pb"), F.col("members").alias("two"))
-    near = (F.abs(F.col("pa.klass") - F.col("pb.klass")) <= 1) & ~(F.col("pa.main") & F.col("pb.main")) & (F.col("pa") <= F.col("pb"))
-    return one.join(two, "band").where(near).select("band", "one", "two", (F.col("pa") == F.col("pb")).alias("same")).mapInArrow(run, "a bigint, b bigint").distinct()
+    return _block_pairs(blocks).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _compare(band: int, one: list[dict], two: list[dict], same: bool, percent: int, least: int):
+def _shingle_sets(texts: DataFrame, spec: NearDup) -> DataFrame:
+    """``rep, shingles`` of every id, the set as 64-bit values."""
+    width = spec.width
+
+    def run(batches):
+        for batch in batches:
+            for first, data, offsets in kernel.doc_slices(batch, "t"):
+                hashes, at = kernel.words(data, offsets)
+                found = [kernel.shingle_set(hashes[at[i] : at[i + 1]], width).tobytes() for i in range(len(offsets) - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(found)), pa.array(found, pa.binary())], ["rep", "shingles"])
+
+    return texts.select("id", "t").mapInArrow(run, "rep bigint, shingles binary")
+
+
+def _candidates(band: int, one: list[dict], two: list[dict], same: bool, percent: int, least: int):
+    """For each member of ``one``: its place and the places in ``two`` it may be linked with."""
     sigs = np.frombuffer(b"".join(m["sig"] for m in two), np.uint32).reshape(len(two), -1)
-    sets = [np.frombuffer(m["shingles"], np.uint64) for m in two]
-    sizes = np.array([len(x) for x in sets])
+    sizes = np.array([m["n_shingles"] for m in two])
     comps = np.array([m["comp"] for m in two])
+    for i, m in enumerate(one):
+        sig, own = np.frombuffer(m["sig"], np.uint32), m["n_shingles"]
+        equal = sigs == sig
+        good = (equal.sum(axis=1) >= least) & (comps != m["comp"]) & (100 * np.minimum(sizes, own) >= percent * np.maximum(sizes, own))
+        if same:
+            good[: i + 1] = False
+        if good.any():
+            here = int(np.flatnonzero(_bands(sig) == band)[0])
+            # a pair that meets in several buckets is compared in the first of them
+            first = equal.reshape(len(two), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            partners = np.flatnonzero(good & (first == here)).tolist()
+            if partners:
+                yield i, partners
+
+
+def _compare(band: int, one: list[dict], two: list[dict], same: bool, percent: int, least: int):
+    sets = [np.frombuffer(m["shingles"], np.uint64) for m in two]
     root: dict[int, int] = {}
 
     def find(c):
@@ -194,19 +282,10 @@ def _compare(band: int, one: list[dict], two: list[dict], same: bool, percent: i
             c = root[c]
         return c
 
-    for i, m in enumerate(one):
-        sig, own = np.frombuffer(m["sig"], np.uint32), np.frombuffer(m["shingles"], np.uint64)
-        equal = sigs == sig
-        good = (equal.sum(axis=1) >= least) & (comps != m["comp"]) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
-        if same:
-            good[: i + 1] = False
-        if not good.any():
-            continue
-        here = int(np.flatnonzero(_bands(sig) == band)[0])
-        # a pair that meets in several buckets is compared in the first of them
-        first = equal.reshape(len(two), BANDS, ROWS).all(axis=2).argmax(axis=1)
-        for k in np.flatnonzero(good & (first == here)).tolist():
-            a, b = find(m["comp"]), find(int(comps[k]))
+    for i, partners in _candidates(band, one, two, same, percent, least):
+        m, own = one[i], np.frombuffer(one[i]["shingles"], np.uint64)
+        for k in partners:
+            a, b = find(m["comp"]), find(two[k]["comp"])
             if a == b:
                 continue
             common = len(np.intersect1d(own, sets[k], assume_unique=True))
@@ -219,8 +298,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spe
     """One row per row of ``docs``: ``id, n_shingles, component_id, kept``."""
     rows = written(sketches(docs, id, text, spec))
     filled = rows.where("n_shingles > 0 and id is not null")
-    member = filled.select("id", "set_hash").distinct()
-    # an id whose rows have different sets links them, which takes numbered rows
+    member = filled.select("id", "set_hash")
+    # an id on several rows links their sets, which takes numbered rows
     if not member.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return _with_shared_ids(docs, id, text, spec)
     classes = filled.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -239,16 +318,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spe
     popular = placed.groupBy("rep").agg(F.sum("n").alias("pop"))
     ranked = written(placed.select("band", "rep").join(popular, "rep"))
     hubs = ranked.groupBy("band").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("h")).select("band", (-F.col("h.r")).alias("hub"))
-    slim = classes.select("rep", "n_shingles")
     star = ranked.join(hubs, "band").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    sized = star.join(slim.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na")), "a").join(slim.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb")), "b")
-    star = sized.where(100 * F.least("na", "nb") >= spec.percent * F.greatest("na", "nb")).select("a", "b")
-    wanted = ranked.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).join(wanted, "id", "left_semi")
-    texts = written(texts)
-    links = written(_confirm(star, texts, spec))
+    star = written(_alike(star, classes, spec))
+    wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    slim = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
+    links = written(_confirm(star, written(slim.join(written(wanted), "id", "left_semi")), spec))
     comps = components(links)
-    more = _between_components(_blocks(ranked.select("band", "rep"), comps, classes, texts, spec), spec)
+    more = _between_components(_open_members(ranked.select("band", "rep"), comps, classes, spec), slim, spec)
     comps = components(links.unionByName(more))
     # back from classes to rows
     of_class = member.join(classes.select("set_hash", "rep"), "set_hash").join(comps, F.col("rep") == F.col("node"), "left")
