@@ -35,7 +35,7 @@ from . import kernel
 from .components import components
 
 BANDS, ROWS = 32, 4
-CHUNK, BLOCK_BYTES = 64, 1 << 20
+CHUNK, BLOCK_BYTES = 256, 1 << 20
 
 
 @dataclass(frozen=True)
