@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, licenses, lm, minhash, packing, quality, quotes, toxicity, wavelet
+from . import centroids, decontam, exact_dedup, licenses, lm, minhash, packing, quality, quotes, toxicity, wavelet
 from .registry import llm_query, table
 
 
@@ -86,3 +86,8 @@ def quoted_messages(turns):
 def op10(spark, folder):
     linked = quotes.conversations(quoted_messages(table(spark, folder, "conversations")), "conv_id", "turn", "text")
     return linked.withColumnsRenamed({"thread": "conv_id", "position": "turn", "body": "text"})
+
+
+@llm_query("op11_bisector_clusters", centroids.clusters_sql())
+def op11(spark, folder):
+    return centroids.clusters(table(spark, folder, "embeddings"))
