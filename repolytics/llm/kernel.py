@@ -1,7 +1,7 @@
 """Vectorised work on Arrow text columns inside tasks: words, hashes, byte classes.
 
-Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D`` (A-Z lower-cased) or, with
-``PLAIN``, runs of letters, digits and non-ASCII bytes. Texts are handled in blocks of a few
+Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D`` (A-Z lower-cased, or unchanged with
+``AS_IS``) or, with ``PLAIN``, runs of letters, digits and non-ASCII bytes. Texts are handled in blocks of a few
 megabytes, so that memory follows the block and not the batch; null texts count as empty.
 """
 
@@ -17,6 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 PLAIN = np.ones(256, dtype=bool)
@@ -56,7 +57,7 @@ def slices(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def _block(data: np.ndarray, cuts: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, cuts: np.ndarray, separator: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words of one block; no word crosses a cut."""
     inside = ~separator[data]
     begins = inside.copy()
@@ -75,11 +76,11 @@ def _block(data: np.ndarray, cuts: np.ndarray, separator: np.ndarray) -> tuple[n
     within = where - np.repeat(starts, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    total = np.add.reduceat((_LOWER[data[where]].astype(np.uint64) + np.uint64(1)) * powers[within], first)
+    total = np.add.reduceat((letters[data[where]].astype(np.uint64) + np.uint64(1)) * powers[within], first)
     return starts, ends, mix(total + lengths.astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE, spans: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE, spans: bool = False, letters: np.ndarray = _LOWER):
     """Hashes of all words in order and ``len + 1`` word offsets of the texts.
 
     With ``spans`` also the byte starts and ends of the words. Blocks are cut at separators,
@@ -91,7 +92,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE,
         while hi < size and not separator[data[hi]]:
             hi += 1
         i, j = np.searchsorted(offsets, [lo, hi])
-        starts, ends, hashes = _block(data[lo:hi], offsets[i:j] - lo, separator)
+        starts, ends, hashes = _block(data[lo:hi], offsets[i:j] - lo, separator, letters)
         found.append((starts + lo, ends + lo, hashes))
         lo = hi
     starts, ends, hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import centroids, decontam, exact_dedup, licenses, lm, minhash, packing, quality, quotes, toxicity, wavelet
+from . import centroids, decontam, exact_dedup, licenses, lm, minhash, packing, quality, quotes, repeats, toxicity, wavelet
 from .registry import llm_query, table
 
 
@@ -91,3 +91,8 @@ def op10(spark, folder):
 @llm_query("op11_bisector_clusters", centroids.clusters_sql())
 def op11(spark, folder):
     return centroids.clusters(table(spark, folder, "embeddings"))
+
+
+@llm_query("op13_seeded_repeats")
+def op13(spark, folder):
+    return repeats.without_repeats(table(spark, folder, "documents"))

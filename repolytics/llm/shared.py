@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -17,6 +17,21 @@ def written(df: DataFrame, name: str = "llm") -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage: Spark's cleaner then removes the shuffle files of
+    plans that are gone, which otherwise stay until the driver's heap happens to fill."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more, once their successor is written."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    clean_up(tables[0].sparkSession)
+
+
 def fold(id: Column, folds: int) -> Column:
     """Remainder of the crc32 of the id's text; null for a null id."""
     return F.crc32(id.cast("string").cast("binary")) % folds
