@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import centroids, decontam, exact_dedup, licenses, lm, minhash, packing, quality, quotes, repeats, toxicity, wavelet
+from . import alignment, centroids, decontam, exact_dedup, licenses, lm, minhash, packing, quality, quotes, repeats, toxicity, wavelet
 from .registry import llm_query, table
 
 
@@ -93,6 +93,13 @@ def op11(spark, folder):
     return centroids.clusters(table(spark, folder, "embeddings"))
 
 
+@llm_query("op12_fragment_alignment")
+def op12(spark, folder):
+    import public_tokenizers
+
+    return alignment.align(table(spark, folder, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @llm_query("op13_seeded_repeats")
 def op13(spark, folder):
     return repeats.without_repeats(table(spark, folder, "documents"))
