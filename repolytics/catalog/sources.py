@@ -52,30 +52,36 @@ def src_03(t):
     return R.read_tsv(t.spark, path, schema)
 
 
+def rotated(df, key, size, order, text, path, **options):
+    """Text files of ``size`` keys each, as a rotated log; rows of a file are in order."""
+    rotation = F.floor(F.col(key) / size).alias("rotation")
+    files = df.select(rotation, order, F.coalesce(text, F.lit("")).alias("value")).repartition("rotation")
+    files.sortWithinPartitions("rotation", order).drop(order).write.partitionBy("rotation").text(path, lineSep="\n", **options)
+    return path
+
+
+def rotation_of(path):
+    return F.regexp_extract(path, "rotation=([0-9]+)", 1).cast("bigint").alias("rotation")
+
+
 @query(
     "src_04_gzip_documents",
-    """SELECT count(*) AS n_lines, count(*) FILTER (contains(line, '<li>')) AS n_list_lines
-       FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages)""",
+    """SELECT page_id // 500 AS rotation, row_number() OVER (PARTITION BY page_id // 500 ORDER BY page_id, i) AS line_no, line
+       FROM (SELECT page_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT page_id, string_split(coalesce(html, ''), chr(10)) AS ls FROM pages))""",
 )
 def src_04(t):
-    path = scratch_path(t.spark, "gzip")
-    # whole files are read by one task each, so their size is bounded when they are written
-    t.pages.select("html").write.option("maxRecordsPerFile", 5000).text(path, compression="gzip", lineSep="\n")
-    lines = R.lines(R.read_text_docs(t.spark, path), "path", "text")
-    return lines.agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").contains("<li>")).alias("n_list_lines"))
+    path = rotated(t.pages, "page_id", 500, "page_id", F.col("html"), scratch_path(t.spark, "gzip"), compression="gzip")
+    return R.read_log(t.spark, path, ordered=True).select(rotation_of("path"), "line_no", "line")
 
 
 @query(
     "src_05_log_lines",
-    """SELECT count(*) AS n_lines, count(*) FILTER (contains(line, '|')) AS n_hits
-       FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)""",
+    """SELECT doc_id // 2000 AS rotation, row_number() OVER (PARTITION BY doc_id // 2000 ORDER BY doc_id, i) AS line_no, line
+       FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))""",
 )
 def src_05(t):
-    path = scratch_path(t.spark, "log")
-    t.documents.select("text").write.text(path, lineSep="\n")
-    return R.read_log(t.spark, path).agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("line").contains("|")).alias("n_hits")
-    )
+    path = rotated(t.documents, "doc_id", 2000, "doc_id", F.col("text"), scratch_path(t.spark, "log"))
+    return R.read_log(t.spark, path, ordered=True).select(rotation_of("path"), "line_no", "line")
 
 
 @query("src_06_file_inventory", "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
@@ -94,12 +100,17 @@ def src_07(t):
 
 @query(
     "src_08_dataset_rows",
-    """SELECT CAST(p_partkey AS VARCHAR) AS row_key, p_name AS title, p_type AS description, p_brand AS agency, p_type AS link_name,
+    """SELECT CAST(p_partkey AS VARCHAR) AS row_key, p_name AS title,
+       CASE WHEN p_partkey % 3 = 0 THEN p_type || chr(10) || '"' || p_brand || '",' || chr(10) || chr(10) || 'end' ELSE p_type END AS description,
+       p_brand AS agency, p_type AS link_name,
        CASE WHEN p_partkey % 2 = 0 THEN 'https://data.example.org/source/' || p_partkey END AS link_url FROM part""",
 )
 def src_08(t):
     path = scratch_path(t.spark, "rows")
-    dataset_rows(t.part).write.csv(path, header=True, quote='"', escape='"')
+    # every third description holds line breaks, quotes and a comma
+    broken = F.concat("p_type", F.lit('\n"'), "p_brand", F.lit('",\n\nend'))
+    description = F.when(F.col("p_partkey") % 3 == 0, broken).otherwise(F.col("p_type"))
+    dataset_rows(t.part, description).write.csv(path, header=True, quote='"', escape='"')
     return R.read_dataset_rows(t.spark, path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import lines_of
+from .splits import numbered_lines, read_records
 
 CORRUPT = "_corrupt_record"
 
@@ -48,10 +49,8 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """Log lines. Without order files are split freely; with order each (rotated) file is read whole."""
-    if ordered:
-        return lines(read_text_docs(spark, path), "path", "text")
-    return spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"))
+    """Log lines: ``line``, or with order ``path, line_no`` from 1, ``line``. Files are split either way."""
+    return numbered_lines(spark, path) if ordered else spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"))
 
 
 def file_inventory(spark: SparkSession, folder: str, glob: str = "*", content: bool = False) -> DataFrame:
@@ -73,9 +72,10 @@ DATASET_ROW = "row_key string, title string, description string, agency string,
 def read_dataset_rows(spark: SparkSession, path: str) -> DataFrame:
     """Spreadsheet rows landed as headered CSV: a key, four values and a link target.
 
-    Quotes are doubled inside values, so any cell text survives; an empty cell is null.
+    Quotes are doubled inside values, so any cell text survives, line breaks included; an empty
+    cell is null. Large files are split.
     """
-    return spark.read.schema(DATASET_ROW).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return read_records(spark, path, DATASET_ROW)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

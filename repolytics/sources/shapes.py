@@ -165,12 +165,12 @@ def property_lines(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", F.when(k % 5 == 0, F.concat(F.lit("<jvm-options>"), name)).otherwise(tag).alias("line"))
 
 
-def dataset_rows(part: DataFrame) -> DataFrame:
+def dataset_rows(part: DataFrame, description: Column | str = "p_type") -> DataFrame:
     """Spreadsheet rows; only even parts have a link target."""
     return part.select(
         F.col("p_partkey").alias("row_key"),
         F.col("p_name").alias("title"),
-        F.col("p_type").alias("description"),
+        (F.col(description) if isinstance(description, str) else description).alias("description"),
         F.col("p_brand").alias("agency"),
         F.col("p_type").alias("link_name"),
         F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(f"{BASE_URL}/source/"), F.col("p_partkey"))).alias("link_url"),

@@ -13,7 +13,7 @@ LOG = T.StructType([T.StructField(c, T.StringType()) for c in ("pid", "uri", "me
 
 def put(path, text):
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as f:
+    with open(path, "w", newline="") as f:
         f.write(text)
     return str(path)
 
@@ -100,3 +100,59 @@ def test_snapshot(spark, tmp_path):
     df = spark.createDataFrame([("2024-01", 3), ("2024-02", None)], "month string, n bigint")
     path = W.write_snapshot(df, f"{tmp_path}/s")
     assert sorted(map(str, W.read_snapshot(spark, path, df.schema).collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut every 40 bytes."""
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    yield
+    spark.conf.set(key, old)
+
+
+def test_ordered_log_of_many_splits(spark, tmp_path, small_splits):
+    texts = {"a.log": [f"line {i} " + "x" * (i % 90) for i in range(300)], "b.log": ["", "one", ""], "c.log": ["y" * 500]}
+    for name, lines in texts.items():
+        put(f"{tmp_path}/logs/{name}", "\n".join(lines) + "\n")
+    assert spark.read.text(f"{tmp_path}/logs/a.log").rdd.getNumPartitions() > 100
+    got = R.read_log(spark, f"{tmp_path}/logs", ordered=True).collect()
+    by = {}
+    for r in got:
+        by.setdefault(os.path.basename(r["path"]), []).append((r["line_no"], r["line"]))
+    assert {k: sorted(v) for k, v in by.items()} == {k: list(enumerate(v, 1)) for k, v in texts.items()}
+
+
+def test_ordered_log_reads_no_whole_file(spark, tmp_path):
+    path = put(f"{tmp_path}/one.log", "a\nb\n")
+    plan = R.read_log(spark, path, ordered=True)._jdf.queryExecution().toString()
+    assert "wholetext" not in plan.lower() and "Sort" not in plan.split("== Physical Plan ==")[0]
+
+
+def sheet(rows):
+    cell = lambda v: "" if v is None else '"' + v.replace('"', '""') + '"'
+    head = "row_key,title,description,agency,link_name,link_url"
+    return "\n".join([head, *(",".join(map(cell, r)) for r in rows)]) + "\n"
+
+
+def test_records_with_line_breaks_of_many_splits(spark, tmp_path, small_splits):
+    cells = ["plain", 'say "this"', "two\nlines", '\n"\n\n', "a,b", None, 'odd " quote\nnext', "long\n" * 60, "é – ’"]
+    rows = [tuple([str(i), *(cells[(i * k + k) % len(cells)] for k in range(1, 6))]) for i in range(200)]
+    put(f"{tmp_path}/rows/a.csv", sheet(rows))
+    put(f"{tmp_path}/rows/b.csv", sheet(rows[:1]))
+    put(f"{tmp_path}/rows/c.csv", sheet([]))
+    got = R.read_dataset_rows(spark, f"{tmp_path}/rows")
+    whole = spark.read.schema(R.DATASET_ROW).csv(f"{tmp_path}/rows", header=True, quote='"', escape='"', multiLine=True)
+    key = lambda r: tuple(v or "" for v in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(rows + rows[:1], key=key) == sorted(map(tuple, whole.collect()), key=key)
+
+
+def test_windows_line_ends_and_open_quote(spark, tmp_path):
+    path = put(f"{tmp_path}/w/w.csv", 'h1,h2,h3,h4,h5,h6\r\n1,"a\r\nb",c,d,e,f\r\n\r\n2,x,y,z,u,v\r\n')
+    with open(path, newline="") as f:
+        assert "\r\n" in f.read()
+    assert sorted(tuple(r) for r in R.read_dataset_rows(spark, path).collect()) == [("1", "a\r\nb", "c", "d", "e", "f"), ("2", "x", "y", "z", "u", "v")]
+    bad = put(f"{tmp_path}/bad/bad.csv", 'h1,h2,h3,h4,h5,h6\n1,"never,closed,c,d,e\n2,x,y,z,u,v\n')
+    with pytest.raises(Exception, match="quote without end"):
+        R.read_dataset_rows(spark, bad).collect()
