@@ -49,16 +49,17 @@ def context_of_text(text: Column, pattern: str, before: int = 2, after: int = 2)
     return F.transform(F.array(lines_of(text)), around)[0]
 
 
-def unchanged_runs(samples: DataFrame, keys: list[str], ts: str, value: str, reset: str = "change", skip_empty: bool = True, long_series: int = LONG_SERIES) -> DataFrame:
+def unchanged_runs(samples: DataFrame, keys: list[str], ts: str, value: str, reset: str = "change", skip_empty: bool = True, long_series: int = LONG_SERIES, carried: str | None = None) -> DataFrame:
     """Adds ``run``: how many samples in a row repeated their predecessor, and ``changes`` so far.
 
     ``reset="change"`` starts over at any change, ``reset="increase"`` only when the count grew.
-    Missing and zero samples are no samples when ``skip_empty``.
+    Missing and zero samples are no samples when ``skip_empty``. ``carried`` names a column that
+    is null but on a first row that stands for the samples before: it holds their ``run``.
     """
     v, prev = F.col(value), F.col("__prev")
     rows = samples.where(v.isNotNull() & (v != 0)) if skip_empty else samples
     flags = {
-        "__same": F.coalesce((v == prev).cast("bigint"), F.lit(0)),
+        "__same": F.coalesce(*([] if carried is None else [F.col(carried)]), (v == prev).cast("bigint"), F.lit(0)),
         "__changed": F.coalesce((v != prev).cast("bigint"), F.lit(0)),
         "__start": (v != prev) if reset == "change" else (v > prev),
     }
@@ -100,17 +101,22 @@ def stable_at(
     )
 
 
-def stalls(samples: DataFrame, keys: list[str], ts: str, value: str, seconds: int, long_series: int = LONG_SERIES) -> DataFrame:
-    """Samples taken more than ``seconds`` after the last increase of their series."""
+def idle_times(samples: DataFrame, keys: list[str], ts: str, value: str, long_series: int = LONG_SERIES, carried: str | None = None) -> DataFrame:
+    """Adds ``last_increase`` and ``idle_seconds``, the time since. ``carried`` names a column that
+    is null but on a first row that stands for the samples before: it holds their last increase."""
     grew = F.when(F.col(value) > F.col("__prev"), F.col(ts))
     rows = (
         OrderedSeries.of(samples, keys, [ts], long_series)
         .add({"__prev": Running("last", F.col(value), before=True)})
-        .add({"last_increase": Running("max", grew)})
+        .add({"last_increase": Running("max", grew if carried is None else F.coalesce(F.col(carried), grew))})
         .result()
     )
-    idle = F.timestamp_diff("SECOND", F.col("last_increase"), F.col(ts))
-    return rows.withColumn("idle_seconds", idle).where(F.col("idle_seconds") > seconds).drop("__prev")
+    return rows.withColumn("idle_seconds", F.timestamp_diff("SECOND", F.col("last_increase"), F.col(ts))).drop("__prev")
+
+
+def stalls(samples: DataFrame, keys: list[str], ts: str, value: str, seconds: int, long_series: int = LONG_SERIES) -> DataFrame:
+    """Samples taken more than ``seconds`` after the last increase of their series."""
+    return idle_times(samples, keys, ts, value, long_series).where(F.col("idle_seconds") > seconds)
 
 
 def after_flag(lines: DataFrame, keys: list[str], pos: str, flag: Column, target: Column) -> DataFrame:

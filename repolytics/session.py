@@ -49,6 +49,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/repolytics/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint and return a frame that reads it back.
 

@@ -2,9 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
+from ..session import remove_path, scratch_path
+
+
+@dataclass(frozen=True)
+class BatchOperator:
+    """A stateful operator made of batch plans: ``step(batch, state)`` returns rows and new state.
+
+    ``state`` is a DataFrame with one row for each key, the one returned for the batch before. A
+    step may sort, split and join like any batch plan, so one key may own a whole batch.
+    """
+
+    source: DataFrame
+    step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+    schema: str
+    state_schema: str
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.source.sparkSession
+
+
+def drain_steps(op: BatchOperator, sink: str, checkpoint: str) -> None:
+    """Rows of every batch go below a folder of their own, and so does the state after it.
+
+    A batch that is run again reads the state of the batch before once more and overwrites its
+    own folders. Only the states of the last two batches are kept.
+    """
+    spark, states = op.sparkSession, f"{checkpoint}/keyed-state"
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(op.state_schema).parquet(f"{states}/{batch_id - 1}") if batch_id else session.createDataFrame([], op.state_schema)
+        rows, state = op.step(batch, before)
+        state.write.mode("overwrite").parquet(f"{states}/{batch_id}")
+        rows.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        remove_path(session, f"{states}/{batch_id - 2}")
+
+    # an empty source leaves an empty, readable sink
+    spark.createDataFrame([], op.schema).write.mode("append").parquet(f"{sink}/batch=-1")
+    query = op.source.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -16,8 +59,10 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     return reader.parquet(folder)
 
 
-def drain_append(df: DataFrame, sink: str, checkpoint: str) -> None:
+def drain_append(df: DataFrame | BatchOperator, sink: str, checkpoint: str) -> None:
     """Process everything available and stop. The file sink commits each batch once."""
+    if isinstance(df, BatchOperator):
+        return drain_steps(df, sink, checkpoint)
     query = (
         df.writeStream.format("parquet")
         .outputMode("append")
@@ -49,12 +94,13 @@ def drain_updates(df: DataFrame, sink: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def run_append(df: DataFrame, name: str) -> DataFrame:
+def run_append(df: DataFrame | BatchOperator, name: str) -> DataFrame:
     spark = df.sparkSession
     sink = scratch_path(spark, name)
     schema = df.schema
     drain_append(df, sink, f"{sink}-state")
-    return spark.read.schema(schema).parquet(sink)
+    # the batch folders of an operator add no column
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(sink)
 
 
 def run_updates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
