@@ -13,7 +13,7 @@ A cut inside a stretch that neither tokenizer can be cut in, longer than ``stret
 
 Tokens come from *units*: a single space between two characters that are not white space starts a
 part of A's pattern, and no piece of B holds a space behind another character, so both end tokens there.
-Units repeat; each is tokenised and aligned once per block of texts and looked up afterwards.
+Units repeat; each is tokenised and aligned once per block of texts, all of a block together.
 With a vocabulary B that has such pieces, whole texts are the units.
 
 A block sends each id pair once with its count; pairs are added up by Spark and come back to
@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import uuid
 from dataclasses import dataclass
 
@@ -44,9 +43,8 @@ from .shared import written
 
 CHUNK = 1 << 16
 STRETCH = 1 << 12
-BLOCK = 4 << 20
+BLOCK = 6 << 20
 FAN = 16
-MOST_UNIT_BYTES = 24 << 20
 _TEXT = pa.large_string()
 
 
@@ -110,8 +108,33 @@ def group_text(group: tuple) -> str:
     return ",".join(str(t) for t, _ in group[0]) + "|" + ",".join(str(t) for t, _ in group[1])
 
 
+@dataclass
+class Stream:
+    """Tokens of units laid one after the other: ids, byte ends, and how many lie before each unit."""
+
+    sound: np.ndarray
+    ends: np.ndarray
+    a: np.ndarray
+    a_ends: np.ndarray
+    a_at: np.ndarray
+    b: np.ndarray
+    b_ends: np.ndarray
+    b_at: np.ndarray
+
+
+@dataclass
+class Units:
+    """What each unit adds: ``n_a, n_b, n_groups, n_links``, its groups as text, its pairs."""
+
+    sound: np.ndarray
+    counts: np.ndarray
+    texts: list[str]
+    pair_at: np.ndarray
+    pairs: np.ndarray
+
+
 class Aligner:
-    """Both tokenizers and the units met so far. One object lives as long as its Python worker."""
+    """Both tokenizers. One object lives as long as its Python worker."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -123,71 +146,88 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.letters = tokens._byte_letters()
+        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        byte_of = {letter: byte for byte, letter in tokens._byte_letters().items()}
+        self.a_bytes = [bytes(byte_of.get(c, 32) for c in n) for n in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.pieces = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.held = 0
-        self.sound: list[bool] = []
-        self.texts: list[str] = []
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.pairs: list[np.ndarray] = []
-
-    def units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Units without their leading space, and where each text's begin and end."""
+        # an id with what follows it: inside its side of a group, and at the end of the side
+        marks = ((len(names), ","), (len(names), "|"), (len(pieces), ","), (len(pieces), ";"))
+        self.parts = np.array([f"{i}{mark}" for n, mark in marks for i in range(n)], object)
+        self.part_size = np.array([len(x) for x in self.parts], np.int64)
+
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Units without their leading space, where each text's begin and end, and the order of
+        the texts in which they come."""
         if not self.cuts:
-            return texts, np.arange(len(texts) + 1)
+            return np.arange(len(texts)), texts, np.arange(len(texts) + 1)
         edge = pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))
-        careful = np.asarray(pc.or_(pc.match_substring_regex(texts, tokens._BESIDE), edge))
-        if not careful.any():
-            lists = pc.split_pattern(texts, " ")
-            return lists.values, np.asarray(lists.offsets).astype(np.int64)
-        rows = [tokens._CUT.split(t) if c else t.split(" ") for t, c in zip(texts.to_pylist(), careful.tolist())]
-        return pa.array([u for r in rows for u in r], _TEXT), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-
-    def tokens(self, units: list[str]) -> list[tuple[bool, list, list]]:
-        """Whether both give the bytes back, and both lists of ``(id, end)``, ends from the space on."""
-        out = []
-        coded = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
-        for unit, a, b in zip(units, coded, self.b.encode(units, num_threads=1)):
-            raw = (" " + unit).encode()
-            own = [self.pieces[i] for i in b]
-            # a byte-level token has one letter for each byte
-            sound = "".join(a.tokens) == raw.decode("latin-1").translate(self.letters) and b"".join(own) == raw
-            ends = np.cumsum([len(t) for t in a.tokens]).tolist()
-            out.append((sound, list(zip(a.ids, ends)), list(zip(b, np.cumsum([len(p) for p in own]).tolist()))))
-        return out
-
-    def find(self, units: list[str]) -> np.ndarray:
-        """Slots of units; new ones are tokenised and aligned."""
-        new = [u for u in units if u not in self.slots]
-        for unit, (sound, a, b) in zip(new, self.tokens(new) if new else []):
-            fragment = EDGE + Fragment.of(a, b) if sound else EDGE
-            pairs = [p for g in fragment.groups for p in links(g)]
-            self.slots[unit] = len(self.slots)
-            self.held += len(unit) + 200
-            self.sound.append(sound)
-            self.texts.append(";".join(map(group_text, fragment.groups)))
-            self.counts.append((len(a), len(b), len(fragment.groups), len(pairs)))
-            self.pairs.append(np.array([x << 32 | y for x, y in pairs], np.int64))
-        return np.array([self.slots[u] for u in units], np.int64)
+        careful = pc.or_(pc.match_substring_regex(texts, tokens._BESIDE), edge)
+        plain = pc.split_pattern(texts.filter(pc.invert(careful)), " ")
+        rest = pa.array([tokens._CUT.split(t) for t in texts.filter(careful).to_pylist()], pa.large_list(_TEXT))
+        lists = [x.cast(pa.large_list(_TEXT)) for x in (plain, rest)]
+        sizes = np.concatenate([np.diff(np.asarray(x.offsets)) for x in lists])
+        flat = pa.concat_arrays([x.flatten() for x in lists])
+        return np.argsort(np.asarray(careful), kind="stable"), flat, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        return a, self.b.encode(units, num_threads=1)
+
+    def stream(self, units: list[str]) -> Stream:
+        """Tokens of the units that both tokenizers give back byte for byte; the others have none."""
+        raw = [(" " + u).encode() for u in units]
+        a, b = self._ids(units) if units else ([], [])
+        flat = [np.array([i for ids in side for i in ids], np.int64) for side in (a, b)]
+        whole = b"".join(raw)
+        sound = np.ones(len(units), bool)
+        if any(b"".join([names[i] for i in ids.tolist()]) != whole for names, ids in zip((self.a_bytes, self.b_bytes), flat)) or self._loose(a, b, raw):
+            sound = np.array([b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw)], bool)
+            a, b, raw = ([v if good else v[:0] for v, good in zip(side, sound)] for side in (a, b, raw))
+            flat = [np.array([i for ids in side for i in ids], np.int64) for side in (a, b)]
+        before = [np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int64) for side in (a, b, raw)]
+        return Stream(sound, np.cumsum([len(r) for r in raw]).astype(np.int64), flat[0], np.cumsum(self.a_size[flat[0]]), before[0], flat[1], np.cumsum(self.b_size[flat[1]]), before[1])
+
+    def _loose(self, a: list, b: list, raw: list) -> bool:
+        """Whether some unit's tokens do not end where it does."""
+        ends = np.cumsum([len(r) for r in raw])
+        for side, size in ((a, self.a_size), (b, self.b_size)):
+            at = np.cumsum([len(x) for x in side])
+            total = np.concatenate([[0], np.cumsum(size[np.array([i for x in side for i in x], np.int64)])])
+            if (total[at.astype(np.int64)] != ends).any():
+                return True
+        return False
+
+    def align(self, units: list[str]) -> Units:
+        """All units at once: between two neighbouring ends of either side lies one link."""
+        s = self.stream(units)
+        common = np.intersect1d(s.a_ends, s.b_ends, assume_unique=True)
+        ends = np.union1d(s.a_ends, s.b_ends)
+        pairs = s.a[np.searchsorted(s.a_ends, ends)] << 32 | s.b[np.searchsorted(s.b_ends, ends)] if len(ends) else np.zeros(0, np.int64)
+        pair_at = np.concatenate([[0], np.searchsorted(ends, s.ends, "right")])
+        group_at = np.concatenate([[0], np.searchsorted(common, s.ends, "right")])
+        counts = np.stack([np.diff(x) for x in (s.a_at, s.b_at, group_at, pair_at)], axis=1)
+        if not len(ends):
+            return Units(s.sound, counts, [""] * len(units), pair_at, pairs)
+        of_a, of_b = np.searchsorted(common, s.a_ends), np.searchsorted(common, s.b_ends)
+        n_a, n_b = len(self.a_size), len(self.b_size)
+        codes = np.concatenate([s.a + n_a * (common[of_a] == s.a_ends), 2 * n_a + s.b + n_b * (common[of_b] == s.b_ends)])
+        codes = codes[np.argsort(np.concatenate([of_a * 2, of_b * 2 + 1]), kind="stable")]
+        text = "".join(self.parts[codes].tolist())
+        cut = np.concatenate([[0], np.cumsum(self.part_size[codes])])[s.a_at + s.b_at].tolist()
+        # the mark behind the last id of a unit is left out
+        return Units(s.sound, counts, [text[i : max(i, j - 1)] for i, j in zip(cut, cut[1:])], pair_at, pairs)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
-    """The worker's aligner; its units are given up when they hold too much."""
     if (path_a, path_b) not in _ALIGNERS:
         _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
-    found = _ALIGNERS[path_a, path_b]
-    if found.held > MOST_UNIT_BYTES:
-        found._clear()
-    return found
+    return _ALIGNERS[path_a, path_b]
 
 
 _BLOCK_ARRAYS = {"key": "string", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups": "string"}
@@ -198,13 +238,12 @@ def _block_schema(kind: str) -> str:
     return f"block bigint, ids array<{kind}>, {arrays}, unit_at array<bigint>, codes binary, pair_at array<bigint>, pair_of array<int>, pairs array<bigint>, weights array<bigint>"
 
 
-def _block(ids: pa.Array, key: list, numbers: np.ndarray, groups: list, at: np.ndarray, codes: np.ndarray, unit_pairs: list[np.ndarray]) -> dict:
+def _block(ids: pa.Array, key: list, numbers: np.ndarray, groups: list, at: np.ndarray, codes: np.ndarray, pair_at: np.ndarray, unit_pairs: np.ndarray) -> dict:
     """A block row: texts as runs of units, units as lists of pairs, pairs with their counts.
 
     ``numbers`` has a row ``n_a, n_b, n_groups, n_links`` for each text."""
-    sizes = np.array([len(p) for p in unit_pairs], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *unit_pairs])
-    pairs, pair_of = np.unique(flat, return_inverse=True)
+    pairs, pair_of = np.unique(unit_pairs, return_inverse=True)
+    sizes = np.diff(pair_at)
     times = np.repeat(np.bincount(codes, minlength=len(sizes)), sizes)
     weights = np.zeros(len(pairs), np.int64)
     np.add.at(weights, pair_of, times)
@@ -216,7 +255,7 @@ def _block(ids: pa.Array, key: list, numbers: np.ndarray, groups: list, at: np.n
         "groups": groups,
         "unit_at": at,
         "codes": codes.astype("<u2" if len(sizes) < 1 << 16 else "<u4").tobytes(),
-        "pair_at": np.concatenate([[0], np.cumsum(sizes)]),
+        "pair_at": pair_at,
         "pair_of": pair_of.astype(np.int32),
         "pairs": pairs,
         "weights": weights,
@@ -225,26 +264,21 @@ def _block(ids: pa.Array, key: list, numbers: np.ndarray, groups: list, at: np.n
 
 def _texts_block(own: Aligner, ids: pa.Array, texts: pa.Array, whole: bool) -> dict:
     """The block of short texts; unsound ones have no units."""
-    units, at = own.units(texts)
+    order, units, at = own.units(texts)
     coded = units.dictionary_encode()
-    slots = own.find(coded.dictionary.to_pylist())
+    table = own.align(coded.dictionary.to_pylist())
     codes = np.asarray(coded.indices).astype(np.int64)
-    sound = np.array([own.sound[s] for s in slots], bool)
-    bad = np.zeros(len(texts), bool)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    bad[row[~sound[codes]]] = True
-    bad |= np.asarray(pc.binary_length(texts)) == 0
-    codes, counts = codes[~bad[row]], np.where(bad, 0, np.diff(at))
-    at = np.concatenate([[0], np.cumsum(counts)])
-    each = np.array([own.counts[s] for s in slots], np.int64).reshape(-1, 4)
-    before = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(each[codes], axis=0)])
-    names = [own.texts[s] for s in slots]
-    listed = codes.tolist()
+    bad = np.asarray(pc.binary_length(texts.take(pa.array(order)))) == 0
+    bad[row[~table.sound[codes]]] = True
+    codes, sizes = codes[~bad[row]], np.where(bad, 0, np.diff(at))
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    before = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(table.counts[codes], axis=0)])
     groups = []
     for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-        text = ";".join([names[c] for c in listed[i:j]])
+        text = ";".join([table.texts[c] for c in codes[i:j].tolist()])
         groups.append(text if whole else hashlib.sha256(text.encode()).hexdigest() if i < j else "")
-    return _block(ids, [None] * len(texts), before[at[1:]] - before[at[:-1]], groups, at, codes, [own.pairs[s] for s in slots])
+    return _block(ids.take(pa.array(order)), [None] * len(texts), before[at[1:]] - before[at[:-1]], groups, at, codes, table.pair_at, table.pairs)
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -276,7 +310,7 @@ def _pieces(own: Aligner, text: str, chunk: int, stretch: int) -> list[dict]:
 
     Offsets count from the added space; ``text`` leaves the space of its first unit out.
     """
-    units, _ = own.units(pa.array([text], _TEXT))
+    _, units, _ = own.units(pa.array([text], _TEXT))
     sizes = np.asarray(pc.binary_length(units)).astype(np.int64) + 1
     ends = np.cumsum(sizes)
     cuts = np.arange(chunk, ends[-1], chunk)
@@ -307,18 +341,15 @@ def _numbers(groups: tuple) -> tuple[list[int], list[int]]:
 
 def _range(own: Aligner, piece: dict) -> tuple[bool, Fragment]:
     """The fragment of one byte range: the tokens that end in it."""
-    units, _ = own.units(pa.array([piece["piece"]], _TEXT))
-    listed = units.to_pylist()
-    known = dict(zip(names := list(dict.fromkeys(listed)), own.tokens(names)))
-    a, b, at = [], [], piece["at"]
-    for unit in listed:
-        sound, x, y = known[unit]
-        if not sound:
-            return False, NOTHING
-        for side, found in ((a, x), (b, y)):
-            side += [(t, at + end) for t, end in found if piece["low"] < at + end <= piece["high"]]
-        at += len(unit.encode()) + 1
-    return True, (EDGE if piece["low"] == 0 else NOTHING) + Fragment.of(a, b)
+    _, units, _ = own.units(pa.array([piece["piece"]], _TEXT))
+    s = own.stream(units.to_pylist())
+    if not s.sound.all():
+        return False, NOTHING
+    sides = []
+    for ids, ends in ((s.a, s.a_ends + piece["at"]), (s.b, s.b_ends + piece["at"])):
+        inside = (ends > piece["low"]) & (ends <= piece["high"])
+        sides.append(list(zip(ids[inside].tolist(), ends[inside].tolist())))
+    return True, (EDGE if piece["low"] == 0 else NOTHING) + Fragment.of(*sides)
 
 
 def _compose(rows: list[dict]) -> dict:
@@ -392,7 +423,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str, chunk
                 numbers, pairs = _numbers(f.groups)
                 row = {"id": piece["id"], "text_key": piece["text_key"], "part": piece["part"], "sound": sound, "cut": f.cut, "head": _flat(f.head), "tail": _flat(f.tail)}
                 row |= {"closed": ";".join(map(group_text, f.groups)), "made": [], "made_n": [0, 0, 0, 0]}
-                own = _block(pa.array([piece["id"]], arrow2.field("ids").type.value_type), [piece["text_key"]], np.array([numbers]), [""], np.array([0, 1]), np.zeros(1, np.int64), [np.array(pairs, np.int64)])
+                own = _block(pa.array([piece["id"]], arrow2.field("ids").type.value_type), [piece["text_key"]], np.array([numbers]), [""], np.array([0, 1]), np.zeros(1, np.int64), np.array([0, len(pairs)]), np.array(pairs, np.int64))
                 yield _batch([own | row], arrow2)
 
     # a task for each piece's neighbours in hash order: the pieces of one text go to many tasks
@@ -404,7 +435,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str, chunk
         for batch in batches:
             for r in batch.to_pylist():
                 groups = r["closed"] if whole else hashlib.sha256(r["closed"].encode()).hexdigest()
-                yield _batch([_block(pa.array([r["id"]], arrow2.field("ids").type.value_type), [r["key"]], np.array([r["made_n"]]), [groups], np.array([0, 1]), np.zeros(1, np.int64), [np.array(r["made"], np.int64)])], arrow3)
+                yield _batch([_block(pa.array([r["id"]], arrow2.field("ids").type.value_type), [r["key"]], np.array([r["made_n"]]), [groups], np.array([0, 1]), np.zeros(1, np.int64), np.array([0, len(r["made"])]), np.array(r["made"], np.int64))], arrow3)
 
     arrow3 = _arrow(spark.createDataFrame([], _block_schema(kind)).schema)
     good = composed.where("sound")

@@ -10,6 +10,7 @@ from cases import documents, empty, texts
 from repolytics.llm import alignment
 from repolytics.llm.alignment import EDGE, NOTHING, Fragment
 from repolytics.llm.queries import vocabulary
+from repolytics.llm.tokens import _byte_letters
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -25,7 +26,7 @@ def whole_text(own, text):
         return [], []
     raw = (" " + text).encode()
     a = own.a.encode(" " + text, add_special_tokens=False)
-    back = {c: b for b, c in own.letters.items()}
+    back = {c: b for b, c in _byte_letters().items()}
     sides = [(a.ids, [bytes(back[c] for c in t) for t in a.tokens])]
     b = own.b.encode(text)
     sides.append((b, [bytes([int(p[3:5], 16)]) if own.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(b, map(own.b.id_to_piece, b))]))
@@ -86,18 +87,25 @@ def test_units_give_the_tokens_of_whole_texts(own):
     import pyarrow as pa
 
     for text in awkward(3, 3000):
-        units, at = own.units(pa.array([text], pa.large_string()))
-        at_byte, a, b, sound = 0, [], [], True
-        for unit in units.to_pylist():
-            good, x, y = own.tokens([unit])[0]
-            sound &= good
-            a += [(t, at_byte + e) for t, e in x]
-            b += [(t, at_byte + e) for t, e in y]
-            at_byte += len(unit.encode()) + 1
+        _, units, _ = own.units(pa.array([text], pa.large_string()))
+        found = own.stream(units.to_pylist())
         want = whole_text(own, text)
-        assert sound == bool(want[0]), repr(text)
-        if sound:
-            assert (a, b) == tuple([(t, e) for t, _, e in side] for side in want), repr(text)
+        assert found.sound.all() == bool(want[0]), repr(text)
+        if want[0]:
+            sides = [list(zip(ids.tolist(), ends.tolist())) for ids, ends in ((found.a, found.a_ends), (found.b, found.b_ends))]
+            assert sides == [[(t, e) for t, _, e in side] for side in want], repr(text)
+
+
+def test_units_of_a_block_equal_single_units(own):
+    units = sorted({u for t in awkward(4, 400) for u in t.split(" ") if u})
+    table = own.align(units)
+    for k, unit in enumerate(units):
+        s = own.stream([unit])
+        fragment = EDGE + Fragment.of(list(zip(s.a.tolist(), s.a_ends.tolist())), list(zip(s.b.tolist(), s.b_ends.tolist())))
+        numbers, pairs = alignment._numbers(fragment.groups)
+        assert table.sound[k] == s.sound[0] and table.counts[k].tolist() == numbers, unit
+        assert table.pairs[table.pair_at[k] : table.pair_at[k + 1]].tolist() == pairs
+        assert table.texts[k] == ";".join(map(alignment.group_text, fragment.groups))
 
 
 def test_fragments_compose_associatively():
