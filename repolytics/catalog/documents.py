@@ -90,7 +90,7 @@ def descriptions(t):
     return O.export_description(datasets, files, "o_orderkey", ["@id", "contentSize"])
 
 
-@query("doc_04_export_description", f"WITH {DESCRIPTIONS} SELECT o_orderkey, CAST(part AS INTEGER) AS part, document FROM descriptions")
+@query("doc_04_export_description", f"WITH {DESCRIPTIONS} SELECT o_orderkey, place, fragment FROM descriptions")
 def doc_04(t):
     return descriptions(t)
 
@@ -100,7 +100,7 @@ def doc_04(t):
     f"WITH {FILES} SELECT o_orderkey, name AS file_id, name AS file_name, bytes, encoding, md5(name) AS md5 FROM files WHERE o_orderkey IN (SELECT o_orderkey FROM orders)",
 )
 def doc_05(t):
-    return O.parse_description(descriptions(t), "o_orderkey", "document")[1]
+    return O.parse_fragments(descriptions(t), "o_orderkey")[1]
 
 
 @query(
@@ -110,9 +110,7 @@ def doc_05(t):
         FROM orders o LEFT JOIN files f ON f.o_orderkey = o.o_orderkey GROUP BY o.o_orderkey""",
 )
 def doc_05_datasets(t):
-    parsed = O.parse_description(descriptions(t), "o_orderkey", "document")[0]
-    # a dataset of many parts is one dataset again
-    return parsed.groupBy("o_orderkey", "name", "url", "version", "license").agg(F.sum("n_files").alias("n_files"))
+    return O.parse_fragments(descriptions(t), "o_orderkey")[0]
 
 
 @query("doc_06_children", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")

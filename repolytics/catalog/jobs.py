@@ -74,7 +74,7 @@ def job_02(t):
 @query(
     "job_03_usage_check",
     """WITH e AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
-       s AS (SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'A')
+       s AS (SELECT CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'A')
        SELECT total, n, (SELECT count(*) FROM e WHERE n > 0) AS with_entries, (SELECT count(*) FROM e WHERE n = 0) AS without_entries,
               n <> 0 AND (SELECT count(*) FROM e WHERE n = 0) > 0 AS alert FROM s""",
 )

@@ -79,20 +79,22 @@ files AS (
 )"""
 
 DESCRIPTIONS = FILES + """,
-numbered AS (
-  SELECT *, CAST((row_number() OVER (PARTITION BY o_orderkey ORDER BY name, CAST(bytes AS VARCHAR), l_partkey, encoding) - 1) // 1000 AS INTEGER) AS part FROM files
-), lists AS (
-  SELECT o_orderkey, part, string_agg('{"@id":"' || name || '","contentSize":"' || bytes || '","contentUrl":"https://data.example.org/api/access/datafile/'
-      || l_partkey || '","encodingFormat":"' || encoding || '","md5":"' || md5(name) || '","name":"' || name || '"}', ','
-      ORDER BY name, CAST(bytes AS VARCHAR), encoding) AS distribution
-  FROM numbered GROUP BY o_orderkey, part
+entries AS (
+  SELECT o_orderkey, name, CAST(bytes AS VARCHAR) AS size,
+    '{"@id":"' || name || '","contentSize":"' || bytes || '","contentUrl":"https://data.example.org/api/access/datafile/'
+      || l_partkey || '","encodingFormat":"' || encoding || '","md5":"' || md5(name) || '","name":"' || name || '"}' AS entry
+  FROM files WHERE o_orderkey IN (SELECT o_orderkey FROM orders)
 ), descriptions AS (
-  SELECT o.o_orderkey, coalesce(part, 0) AS part,
-    '{"@type":"sc:Dataset","creator":[{"@type":"Person","name":"Customer, ' || o_custkey || '"}],"distribution":['
-    || coalesce(distribution, '') || '],"keywords":["' || o_orderpriority
+  SELECT o_orderkey, CAST(0 AS BIGINT) AS place, '{"@type":"sc:Dataset","creator":[{"@type":"Person","name":"Customer, ' || o_custkey || '"}],"distribution":[' AS fragment
+  FROM orders
+  UNION ALL
+  SELECT o_orderkey, row_number() OVER w, CASE WHEN row_number() OVER w > 1 THEN ',' ELSE '' END || entry
+  FROM entries WINDOW w AS (PARTITION BY o_orderkey ORDER BY name, size, entry)
+  UNION ALL
+  SELECT o.o_orderkey, 1 + (SELECT count(*) FROM files f WHERE f.o_orderkey = o.o_orderkey), '],"keywords":["' || o_orderpriority
     || '"],"license":"http://creativecommons.org/publicdomain/zero/1.0","name":"Order ' || o.o_orderkey
-    || '","url":"https://doi.org/10.5072/' || o.o_orderkey || '","version":"1.0"}' AS document
-  FROM orders o LEFT JOIN lists l ON l.o_orderkey = o.o_orderkey
+    || '","url":"https://doi.org/10.5072/' || o.o_orderkey || '","version":"1.0"}'
+  FROM orders o
 )"""
 
 FLAT_FIELDS = """

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import file_name_of, lines_of
+from ..functions.text import export_name, lines_of
 from ..operators.aggregates import monthly_counts
 from ..operators.documents import export_description
+from ..operators.joins import keyed_join
 from ..plans.reports import FailedIdentifiers
 from ..session import scratch_path
 from ..sources import readers as R
@@ -33,8 +34,8 @@ def src_01(t):
 
 @query(
     "src_02_rows_at_key",
-    """SELECT CAST(o_orderkey AS VARCHAR) AS uri, l_returnflag AS metric, CAST(l_quantity AS BIGINT) AS n
-       FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS uri, l_returnflag AS metric, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n
+       FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, l_returnflag""",
 )
 def src_02(t):
     nested = usage_report(t.orders, t.lineitem).select("uri", F.get("performance", F.lit(0))["instance"].alias("instance"))
@@ -153,14 +154,14 @@ def snk_01_details(t):
 
 @query(
     "snk_02_documents",
-    f"WITH {DESCRIPTIONS} SELECT 'doi_10.5072_' || o_orderkey || '_' || part AS doc_name, document FROM descriptions",
+    f"""WITH {DESCRIPTIONS} SELECT 'croissant_doi_10.5072_' || o_orderkey || strftime(o_orderdate, '_%Y%m%d_%H%M%S') || '.json' AS doc_name, place, fragment
+        FROM descriptions JOIN orders USING (o_orderkey)""",
 )
 def snk_02(t):
     datasets, files = description_tables(t.orders, t.lineitem)
-    docs = export_description(datasets, files, "o_orderkey", ["@id", "contentSize"])
-    pid = F.concat(F.lit(PID_PREFIX), F.col("o_orderkey"), F.lit("/"), F.col("part"))
-    named = docs.select(file_name_of(pid).alias("doc_name"), "document")
-    return W.read_documents(t.spark, W.write_documents(named, scratch_path(t.spark, "documents"), "doc_name", "document"))
+    names = t.orders.select("o_orderkey", export_name(F.concat(F.lit(PID_PREFIX), "o_orderkey"), "o_orderdate").alias("doc_name"))
+    named = keyed_join(export_description(datasets, files, "o_orderkey", ["@id", "contentSize"]), names, "o_orderkey")
+    return W.read_documents(t.spark, W.write_documents(named, scratch_path(t.spark, "documents"), "doc_name"))
 
 
 @query(

@@ -24,6 +24,11 @@ def file_name_of(pid: Column | str) -> Column:
     return F.translate(_c(pid), ":/", "__")
 
 
+def export_name(pid: Column | str, time: Column | str, prefix: str = "croissant") -> Column:
+    """File name of an export: prefix, identifier and the time to the second."""
+    return F.concat(F.lit(f"{prefix}_"), file_name_of(pid), F.lit("_"), F.date_format(_c(time), "yyyyMMdd_HHmmss"), F.lit(".json"))
+
+
 def folder_name_of(pid: Column | str, version: Column | str | None = None) -> Column:
     """Identifier as a folder name: only slashes change; a version is appended when given."""
     name = F.translate(_c(pid), "/", "_")

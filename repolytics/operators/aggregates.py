@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import growth_percent, percent, share
 from .filters import in_month, is_empty
 from .joins import keyed_join
-from .ordered import LIST_SIZE, bounded_lists, number_rows
+from .fragments import fragments
+from .ordered import LONG_SERIES, number_rows
 
 
 def count_in_month(df: DataFrame, ts: str, month: str) -> DataFrame:
@@ -48,16 +49,13 @@ def usage_totals(df: DataFrame, performance: str, metric: str) -> DataFrame:
     )
 
 
-def usage_summary(df: DataFrame, performance: str, metric: str, part: str | None = None) -> DataFrame:
+def usage_summary(df: DataFrame, performance: str, metric: str) -> DataFrame:
     """Totals of one metric and the number of records with and without entries, from one pass.
 
-    Each record is summed inside its row, so nothing is exploded below the record. ``part``
-    names the part number of records kept in parts; such a record is counted once.
+    Each record is summed inside its row, so nothing is exploded below the record.
     """
-    whole = F.lit(True) if part is None else F.col(part) == 0
     wanted = F.filter("instance", lambda x: x["metric-type"] == metric)
-    rows = df.select(whole.alias("whole"), F.explode(performance).alias("p")).select("whole", F.col("p.instance").alias("instance")).select(
-        "whole",
+    rows = df.select(F.explode(performance).alias("p")).select(F.col("p.instance").alias("instance")).select(
         "instance",
         F.coalesce(F.size(wanted), F.lit(0)).alias("n"),
         F.aggregate(wanted, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["count"], F.lit(0))).alias("total"),
@@ -65,8 +63,8 @@ def usage_summary(df: DataFrame, performance: str, metric: str, part: str | None
     return rows.agg(
         F.sum(F.when(F.col("n") > 0, F.col("total"))).alias("total"),
         F.sum("n").cast("bigint").alias("n"),
-        F.count_if(F.col("whole") & (F.size("instance") > 0)).alias("with_entries"),
-        F.count_if(F.col("whole") & is_empty("instance")).alias("without_entries"),
+        F.count_if(F.size("instance") > 0).alias("with_entries"),
+        F.count_if(is_empty("instance")).alias("without_entries"),
     )
 
 
@@ -121,10 +119,13 @@ def field_coverage(df: DataFrame, cols: list[str]) -> DataFrame:
     return counts.unpivot([], cols, "field", "records")
 
 
-def joined_names(df: DataFrame, keys: list[str], col: str, size: int = LIST_SIZE) -> DataFrame:
-    """Comma-joined distinct names per key, in parts of ``size`` names."""
-    names = bounded_lists(df.select(*keys, col).distinct(), keys, [], F.col(col), "__names", size)
-    return names.select(*keys, "part", F.array_join("__names", ",").alias("names"))
+def joined_names(df: DataFrame, keys: list[str], col: str, separator: str = ",", long_series: int = LONG_SERIES) -> DataFrame:
+    """Distinct names per key in order, as the fragments of a separated list: ``keys, place, fragment``.
+
+    ``whole_texts`` gives one text per key where the lists are short.
+    """
+    names = df.where(F.col(col).isNotNull()).select(*keys, col).distinct()
+    return fragments(names, keys, [], F.col(col).cast("string"), separator=separator, long_series=long_series)
 
 
 def compare_baseline(now: DataFrame, base: DataFrame, metric: str, value: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor, clean_cell
-from .ordered import LIST_SIZE, bounded_lists
+from .fragments import fragments
+from .ordered import LONG_SERIES
 
 FIELD = "struct<typeName: string, typeClass: string, multiple: boolean, value: variant>"
 METADATA = (
@@ -157,48 +158,54 @@ def merge_edit(rows: DataFrame, edit: DataFrame, key: str, mode: str = "replace"
     return kept.unionByName(classed.select(*rows.columns))
 
 
-def export_description(datasets: DataFrame, files: DataFrame, key: str, order: list[str], part_size: int = LIST_SIZE) -> DataFrame:
-    """Dataset rows and their files as dataset-description JSON.
+def _file_columns() -> list[Column]:
+    return [
+        F.col("__f.@id").alias("file_id"),
+        F.col("__f.name").alias("file_name"),
+        F.col("__f.contentSize").try_cast("bigint").alias("bytes"),
+        F.col("__f.encodingFormat").alias("encoding"),
+        F.col("__f.md5").alias("md5"),
+    ]
+
+
+def export_description(datasets: DataFrame, files: DataFrame, key: str, order: list[str], long_series: int = LONG_SERIES) -> DataFrame:
+    """Dataset rows and their files as dataset-description JSON: ``key, place, fragment``.
 
     ``datasets``: key, name, url, version, license, keyword, creator. ``files``: key, ``@id``,
-    contentSize, contentUrl, encodingFormat, md5, name. Files are sorted by ``order``; a
-    dataset with more than ``part_size`` files becomes several rows (part 0 holds the first
-    files) instead of one oversized document.
+    contentSize, contentUrl, encodingFormat, md5, name, sorted by ``order``. However many files a
+    dataset has, it is one document: fragment 0 opens it, each file is a fragment, the last one
+    closes it. Both tables are read once.
     """
-    columns = [c for c in files.columns if c != key]
-    # an order that the entries begin with is their own order already
-    order = [] if columns[: len(order)] == order else order
-    lists = bounded_lists(files, [key], order, F.struct(*[F.col(f"`{c}`") for c in columns]), "distribution", part_size)
-    bare = datasets.join(lists.select(key).distinct(), key, "left_anti")
-    empty = F.array().cast(lists.schema["distribution"].dataType)
-    joined = datasets.join(lists, key).unionByName(bare.withColumns({"part": F.lit(0), "distribution": empty}))
-    document = F.to_json(
-        F.struct(
-            F.lit("sc:Dataset").alias("@type"),
-            F.array(F.struct(F.lit("Person").alias("@type"), F.col("creator").alias("name"))).alias("creator"),
-            "distribution",
-            F.array("keyword").alias("keywords"),
-            "license",
-            "name",
-            "url",
-            "version",
-        )
+    opening = F.to_json(F.struct(F.lit("sc:Dataset").alias("@type"), F.array(F.struct(F.lit("Person").alias("@type"), F.col("creator").alias("name"))).alias("creator")))
+    closing = F.to_json(F.struct(F.array("keyword").alias("keywords"), "license", "name", "url", "version"))
+    head = F.concat(F.regexp_replace(opening, r"\}$", ""), F.lit(',"distribution":['))
+    tail = F.concat(F.lit("],"), F.regexp_replace(closing, r"^\{", ""))
+    frames = datasets.select(key, head.alias("head"), tail.alias("tail"))
+    entry = F.to_json(F.struct(*[F.col(f"`{c}`") for c in files.columns if c != key]))
+    return fragments(files, [key], order, entry, frames, long_series=long_series)
+
+
+def parse_fragments(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Dataset rows and file rows of fragments: the entries are parsed one by one, the dataset is
+    what stands around them."""
+    text = F.col("fragment")
+    around = (F.col("place") == 0) | text.startswith("]")
+    ends = rows.groupBy(key).agg(
+        F.max(F.when(F.col("place") == 0, text)).alias("head"),
+        F.max(F.when(text.startswith("]"), text)).alias("tail"),
+        F.count_if(~around).alias("n_files"),
     )
-    return joined.select(key, "part", document.alias("document"))
+    bare = ends.select(key, F.from_json(F.concat("head", "tail"), DESCRIPTION).alias("__d"), "n_files")
+    datasets = bare.select(key, "__d.name", "__d.url", "__d.version", "__d.license", "n_files")
+    entry = DESCRIPTION.split("distribution: array<", 1)[1][:-2]
+    parsed = rows.where(~around).select(key, F.from_json(F.regexp_replace("fragment", "^,", ""), entry).alias("__f"))
+    return datasets, parsed.select(key, *_file_columns())
 
 
 def parse_description(df: DataFrame, key: str, document: str) -> tuple[DataFrame, DataFrame]:
-    """Dataset rows and file rows of description documents; sizes become numbers."""
+    """Dataset rows and file rows of description documents held in one value each; sizes become numbers."""
     parsed = df.select(key, F.from_json(document, DESCRIPTION).alias("__d"))
     datasets = parsed.select(
         key, "__d.name", "__d.url", "__d.version", "__d.license", F.size("__d.distribution").cast("bigint").alias("n_files")
     )
-    files = _entries(parsed, [key], "__d.distribution", "__f").select(
-        key,
-        F.col("__f.@id").alias("file_id"),
-        F.col("__f.name").alias("file_name"),
-        F.col("__f.contentSize").try_cast("bigint").alias("bytes"),
-        F.col("__f.encodingFormat").alias("encoding"),
-        F.col("__f.md5").alias("md5"),
-    )
-    return datasets, files
+    return datasets, _entries(parsed, [key], "__d.distribution", "__f").select(key, *_file_columns())

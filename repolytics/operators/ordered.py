@@ -135,31 +135,3 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "p
     """Dense row numbers per series, starting at 1."""
     one = Running("sum", F.lit(1).cast("bigint"))
     return OrderedSeries.of(df, keys, order, long_series).add({name: one}).result()
-
-
-# Entries of one list.
-LIST_SIZE = 1000
-
-
-def bounded_lists(df: DataFrame, keys: list[str], order: list[str], entry: Column, name: str, size: int = LIST_SIZE, long_series: int = LONG_SERIES) -> DataFrame:
-    """Ordered lists of at most ``size`` entries per key: ``keys, part, <name>``.
-
-    Part 0 holds the first entries, part 1 the next ones; nothing is left out, and no list
-    outgrows a task however many entries a key has. Entries are sorted by the ``order``
-    columns and then by their own content; without ``order`` by their content alone.
-    """
-    if order:
-        sort = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(order)]
-        ranked, unwrap = F.struct(*sort, entry.alias("e")), lambda lst: F.transform(lst, lambda x: x["e"])
-        plain = F.col("__ranked.e")
-    else:
-        ranked, unwrap, plain = entry, lambda lst: lst, F.col("__ranked")
-    slim = df.select(*keys, ranked.alias("__ranked"))
-    if larger_than(df, keys, size).isEmpty():
-        # measured: every key fits one list, so no numbering is needed
-        lists = slim.groupBy(*keys).agg(F.sort_array(F.collect_list("__ranked")).alias("__l"))
-        return lists.select(*keys, F.lit(0).alias("part"), unwrap(F.col("__l")).alias(name))
-    numbered = number_rows(slim, keys, ["__ranked"], "__pos", long_series).select(*keys, "__pos", plain.alias("e"))
-    part = F.floor((F.col("__pos") - 1) / size).cast("int").alias("part")
-    lists = numbered.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct("__pos", "e"))).alias("__l"))
-    return lists.select(*keys, "part", F.transform("__l", lambda x: x["e"]).alias(name))

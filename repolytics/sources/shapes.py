@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import bounded_lists
 from ..session import materialize
 from .readers import spread
 
@@ -53,17 +52,16 @@ def failure_log(events: DataFrame) -> DataFrame:
 def usage_report(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Usage records ``uri, dataset-title, performance`` of every order.
 
-    The lines of an order form the instances of one performance entry, in parts of bounded
-    size: an order of any size becomes several records (``part`` 0, 1, …) rather than one. An
-    order without lines has one record with an empty instance list.
+    An order has one performance entry with an instance for each metric type that occurs: the
+    list is as long as the vocabulary of metric types, however many lines an order has. An
+    order without lines has an empty list.
     """
-    instance = F.struct(F.col("l_returnflag").alias("metric-type"), F.col("l_quantity").cast("bigint").alias("count"))
-    slim_lines = lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_quantity")
-    lines = bounded_lists(slim_lines, ["o_orderkey"], [], instance, "instance")
-    slim = orders.select("o_orderkey", "o_orderdate")
-    without = slim.join(lines.select("o_orderkey").distinct(), "o_orderkey", "left_anti")
-    empty = F.array().cast(lines.schema["instance"].dataType)
-    rows = slim.join(lines, "o_orderkey").unionByName(without.withColumns({"part": F.lit(0), "instance": empty}))
+    sums = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("n"))
+    instance = F.struct(F.col("l_returnflag").alias("metric-type"), F.col("n").alias("count"))
+    lists = sums.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(instance)).alias("instance"))
+    rows = orders.select("o_orderkey", "o_orderdate").join(lists, "o_orderkey", "left")
+    empty = F.array().cast(lists.schema["instance"].dataType)
+    rows = rows.withColumn("instance", F.coalesce("instance", empty))
     period = F.struct(
         F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd").alias("begin-date"),
         F.date_format(F.last_day("o_orderdate"), "yyyy-MM-dd").alias("end-date"),
@@ -73,7 +71,6 @@ def usage_report(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.concat(F.lit("Dataset "), F.col("o_orderkey")).alias("dataset-title"),
         F.array(F.struct(F.concat(F.lit(PID_PREFIX), F.col("o_orderkey")).alias("value"))).alias("dataset-id"),
         F.array(F.struct(period.alias("period"), F.col("instance"))).alias("performance"),
-        "part",
     )
 
 

@@ -25,21 +25,25 @@ def read_report(spark: SparkSession, path: str, ranked_schema, details_schema) -
     return read("ranked", ranked_schema), read("details", details_schema)
 
 
-def write_documents(df: DataFrame, path: str, name: str, document: str) -> str:
-    """JSON documents with their file names, as ``name<TAB>document`` lines.
+def write_documents(rows: DataFrame, path: str, name: str) -> str:
+    """Documents given as fragments (``name, place, fragment``), written as a stream of lines
+    ``name<TAB>place<TAB>fragment``.
 
-    One physical file per document would mean millions of tiny files; the lines of a task
-    share a file and stay addressable by name.
+    Lines are range-sorted by name and place over all files: the third fields of a name's lines,
+    read in the order of the files, are the document, of whatever length. One physical file
+    per document would mean millions of tiny files.
     """
-    df.select(F.concat_ws("\t", name, document).alias("value")).write.mode("overwrite").text(path)
+    line = F.concat_ws("\t", F.col(name), F.col("place").cast("string"), F.col("fragment"))
+    ordered = rows.repartitionByRange(name, "place").sortWithinPartitions(name, "place")
+    ordered.select(line.alias("value")).write.mode("overwrite").text(path)
     return path
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    value = F.col("value")
-    return spark.read.text(path).select(
-        F.substring_index(value, "\t", 1).alias("doc_name"), F.expr("substring(value, instr(value, '\t') + 1)").alias("document")
-    )
+    """``doc_name, place, fragment`` of written documents."""
+    # a fragment may hold tabs of its own: only the first two separate
+    parts = F.split("value", "\t", 3)
+    return spark.read.text(path, lineSep="\n").select(parts[0].alias("doc_name"), parts[1].cast("bigint").alias("place"), parts[2].alias("fragment"))
 
 
 def write_document_files(df: DataFrame, path: str, name: str, document: str) -> str:

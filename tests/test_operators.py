@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from repolytics.operators import aggregates as A
 from repolytics.operators import documents as D
 from repolytics.operators import filters as P
+from repolytics.operators import fragments
 from repolytics.operators import joins as J
 from repolytics.operators import logs as L
 from repolytics.operators import ordering as O
@@ -325,14 +327,36 @@ def test_edit_replaces_and_adds(spark):
     assert rows(added.select("idx", "value")) == [(0, "A"), (1, "B"), (2, "C")]
 
 
-def test_description_parts(spark):
+FILE = "id int, `@id` string, contentSize string, contentUrl string, encodingFormat string, md5 string, name string"
+
+
+def description_of(spark, n, long_series):
     datasets = spark.createDataFrame([(1, "n", "u", "1", "l", "k", "c"), (2, "m", "u", "1", "l", "k", "c")], "id int, name string, url string, version string, license string, keyword string, creator string")
-    files = spark.createDataFrame([(1, f"f{i:02d}", str(i) if i else "big", "u", "text/plain; charset=x", "m", "n") for i in range(25)], "id int, `@id` string, contentSize string, contentUrl string, encodingFormat string, md5 string, name string")
-    docs = D.export_description(datasets, files, "id", ["@id"], part_size=10)
-    assert rows(docs.select("id", "part")) == [(1, 0), (1, 1), (1, 2), (2, 0)]
-    parsed, back = D.parse_description(docs, "id", "document")
-    assert rows(parsed.select("id", "n_files")) == [(1, 10), (1, 10), (1, 5), (2, 0)]
-    assert rows(back.select("file_id", "bytes")) == [(f"f{i:02d}", i if i else None) for i in range(25)]
+    i = F.col("id")
+    files = spark.range(n).select(F.lit(1).alias("id"), F.format_string("f%06d", i).alias("@id"), F.when(i > 0, i.cast("string")).otherwise("big").alias("contentSize"), F.lit("u").alias("contentUrl"), F.lit("text/plain; charset=x").alias("encodingFormat"), F.lit("m").alias("md5"), F.lit("n").alias("name"))
+    orphan = spark.createDataFrame([(3, "x", "1", "u", "e", "m", "n")], FILE)
+    return D.export_description(datasets, files.unionByName(orphan), "id", ["@id"], long_series)
+
+
+@pytest.mark.parametrize("n, long_series", [(0, 10**6), (1, 10**6), (25, 10), (1001, 10**6), (1001, 100), (100_000, 20_000)])
+def test_one_description_of_any_length(spark, n, long_series):
+    docs = description_of(spark, n, long_series)
+    parsed, back = D.parse_fragments(docs, "id")
+    assert rows(parsed.select("id", "name", "n_files")) == [(1, "n", n), (2, "m", 0)]
+    assert back.count() == n and rows(back.where("bytes is null").select("file_id")) == [("f000000",)][:n]
+    whole = {r["id"]: json.loads(r["document"]) for r in fragments.whole_texts(docs, ["id"]).collect()}
+    assert set(whole) == {1, 2} and [f["@id"] for f in whole[1]["distribution"]] == [f"f{i:06d}" for i in range(n)]
+    assert whole[2]["distribution"] == [] and whole[1]["keywords"] == ["k"] and whole[1]["creator"] == [{"@type": "Person", "name": "c"}]
+    assert sorted(r["place"] for r in docs.where("id = 1").collect()) == list(range(n + 2))
+    # the same from whole documents
+    parsed, back = D.parse_description(fragments.whole_texts(docs, ["id"]), "id", "document")
+    assert rows(parsed.select("id", "n_files")) == [(1, n), (2, 0)] and back.count() == n
+
+
+def test_joined_names(spark):
+    df = spark.createDataFrame([(1, f"n{i:04d}") for i in range(1500)] * 2 + [(2, "b"), (2, None), (2, "a"), (None, "x")], "k int, name string")
+    listed = fragments.whole_texts(A.joined_names(df, ["k"], "name", long_series=400), ["k"], "names")
+    assert rows(listed) == [(1, ",".join(f"n{i:04d}" for i in range(1500))), (2, "a,b"), (None, "x")]
 
 
 def test_failed_identifiers(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolytics.operators import joins, ordering, sequence
-from repolytics.operators.ordered import OrderedSeries, Running, bounded_lists, number_rows
+from repolytics.operators.ordered import OrderedSeries, Running, number_rows
 
 
 @pytest.fixture(scope="module")
@@ -107,18 +107,6 @@ def test_copies_are_numbered_once_each(spark):
     assert sorted(r["position"] for r in got if r["k"] == 2) == [1, 2, 3]
 
 
-def test_bounded_lists(spark):
-    rows = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 7), (2, 3)], "k int, v int").repartition(8)
-    for limit in (10, 10**6):
-        got = {(r["k"], r["part"]): r["l"] for r in bounded_lists(rows, ["k"], ["v"], F.col("v"), "l", 10, limit).collect()}
-        assert got == {
-            (1, 0): list(range(10)),
-            (1, 1): list(range(10, 20)),
-            (1, 2): list(range(20, 25)),
-            (2, 0): [3, 7],
-        }
-
-
 def test_positions(spark):
     rows = spark.range(1000).select("id", (F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("same"))
     got = ordering.with_position(rows.repartition(8), F.col("same"), F.col("v")).collect()

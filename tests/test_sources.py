@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolytics.functions.text import export_name
 from repolytics.sources import readers as R
 from repolytics.sources import writers as W
 
@@ -85,13 +86,26 @@ def test_dataset_rows_keep_any_text(spark, tmp_path):
 
 
 def test_documents_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("a_1", '{"x":"1"}'), ("b", '{"y":"tab\\t"}')], "doc_name string, document string")
-    path = W.write_documents(df, f"{tmp_path}/docs", "doc_name", "document")
-    assert sorted(map(tuple, R_docs(spark, path))) == sorted(map(tuple, df.collect()))
-    W.write_document_files(df, f"{tmp_path}/files", "doc_name", "document")
+    """Fragments come back as they were, and the files read in their order are the documents."""
+    docs = {f"d{k}": [f'{{"n":"tab\\t{k}","l":[', *[f"{',' if i else ''}{i}" for i in range(k * 100)], "]}"] for k in range(6)}
+    rows = [(name, i, text) for name, parts in docs.items() for i, text in enumerate(parts)]
+    df = spark.createDataFrame(rows, "doc_name string, place bigint, fragment string").repartition(5)
+    path = W.write_documents(df, f"{tmp_path}/docs", "doc_name")
+    assert sorted(map(tuple, R_docs(spark, path))) == sorted(rows)
+    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    lines = [line.split("\t", 2) for f in files for line in open(f"{path}/{f}").read().splitlines()]
+    for name, parts in docs.items():
+        assert "".join(x[2] for x in lines if x[0] == name) == "".join(parts)
+    small = spark.createDataFrame([("a_1", '{"x":"1"}'), ("b", '{"y":"tab\\t"}')], "doc_name string, document string")
+    W.write_document_files(small, f"{tmp_path}/files", "doc_name", "document")
     assert {d for d in os.listdir(f"{tmp_path}/files") if d.startswith("doc_name=")} == {"doc_name=a_1", "doc_name=b"}
 
 
+def test_export_names_hold_the_time(spark):
+    df = spark.sql("SELECT 'doi:10.5072/FK2/X' AS pid, TIMESTAMP_NTZ '2024-03-05 07:08:09' AS t")
+    assert df.select(export_name("pid", "t")).first()[0] == "croissant_doi_10.5072_FK2_X_20240305_070809.json"
+
+
 def R_docs(spark, path):
     return W.read_documents(spark, path).collect()
 
