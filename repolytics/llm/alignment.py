@@ -43,7 +43,8 @@ from .shared import written
 
 CHUNK = 1 << 16
 STRETCH = 1 << 12
-BLOCK = 6 << 20
+BLOCK = 4 << 20
+SLICE = 4096
 FAN = 16
 _TEXT = pa.large_string()
 
@@ -172,33 +173,35 @@ class Aligner:
         flat = pa.concat_arrays([x.flatten() for x in lists])
         return np.argsort(np.asarray(careful), kind="stable"), flat, np.concatenate([[0], np.cumsum(sizes)])
 
-    def _ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
-        return a, self.b.encode(units, num_threads=1)
-
-    def stream(self, units: list[str]) -> Stream:
-        """Tokens of the units that both tokenizers give back byte for byte; the others have none."""
+    def _tokens(self, units: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of a few units: which are sound, bytes and numbers of tokens of each, ids of both sides."""
         raw = [(" " + u).encode() for u in units]
-        a, b = self._ids(units) if units else ([], [])
-        flat = [np.array([i for ids in side for i in ids], np.int64) for side in (a, b)]
-        whole = b"".join(raw)
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        parts = [[names[i] for ids in side for i in ids] for side, names in ((a, self.a_bytes), (b, self.b_bytes))]
         sound = np.ones(len(units), bool)
-        if any(b"".join([names[i] for i in ids.tolist()]) != whole for names, ids in zip((self.a_bytes, self.b_bytes), flat)) or self._loose(a, b, raw):
-            sound = np.array([b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw)], bool)
-            a, b, raw = ([v if good else v[:0] for v, good in zip(side, sound)] for side in (a, b, raw))
-            flat = [np.array([i for ids in side for i in ids], np.int64) for side in (a, b)]
-        before = [np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int64) for side in (a, b, raw)]
-        return Stream(sound, np.cumsum([len(r) for r in raw]).astype(np.int64), flat[0], np.cumsum(self.a_size[flat[0]]), before[0], flat[1], np.cumsum(self.b_size[flat[1]]), before[1])
-
-    def _loose(self, a: list, b: list, raw: list) -> bool:
-        """Whether some unit's tokens do not end where it does."""
         ends = np.cumsum([len(r) for r in raw])
-        for side, size in ((a, self.a_size), (b, self.b_size)):
+        whole = b"".join(raw)
+        for k, side in enumerate((a, b)):
             at = np.cumsum([len(x) for x in side])
-            total = np.concatenate([[0], np.cumsum(size[np.array([i for x in side for i in x], np.int64)])])
-            if (total[at.astype(np.int64)] != ends).any():
-                return True
-        return False
+            loose = np.cumsum([0, *map(len, parts[k])])[at] != ends
+            if loose.any() or b"".join(parts[k]) != whole:
+                names = (self.a_bytes, self.b_bytes)[k]
+                sound &= np.array([b"".join([names[i] for i in x]) == r for x, r in zip(side, raw)], bool)
+        if not sound.all():
+            a, b, raw = ([v if good else v[:0] for v, good in zip(side, sound)] for side in (a, b, raw))
+        sizes = [np.array([len(x) for x in side], np.int64) for side in (raw, a, b)]
+        return sound, sizes, [np.array([i for ids in side for i in ids], np.int64) for side in (a, b)]
+
+    def stream(self, units: list[str]) -> Stream:
+        """Tokens of the units that both tokenizers give back byte for byte; the others have none."""
+        # a few units at a time: the library's encodings are far larger than their ids
+        found = [self._tokens(units[i : i + SLICE]) for i in range(0, len(units), SLICE)] or [self._tokens([])]
+        sound = np.concatenate([f[0] for f in found])
+        size, n_a, n_b = (np.concatenate([f[1][k] for f in found]) for k in range(3))
+        a, b = (np.concatenate([f[2][k] for f in found]) for k in range(2))
+        at_a, at_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        return Stream(sound, np.cumsum(size), a, np.cumsum(self.a_size[a]), at_a, b, np.cumsum(self.b_size[b]), at_b)
 
     def align(self, units: list[str]) -> Units:
         """All units at once: between two neighbouring ends of either side lies one link."""
