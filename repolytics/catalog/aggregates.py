@@ -41,13 +41,14 @@ def agg_03(t):
 
 DETAILS_SQL = f"""WITH {FAILURE_LOG}
 SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY time, event_id) AS position,
-       method || ' ' || uri || ' from ' || ip AS line FROM kept"""
+       method || ' ' || uri || ' from ' || ip || ' at ' || strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS line FROM kept"""
 
 
 @query("agg_04_details", DETAILS_SQL)
 def agg_04(t):
-    line = F.concat("method", F.lit(" "), "uri", F.lit(" from "), "ip")
-    return A.details(kept_log(t), "pid", ["time", "uri"], line)
+    at = F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    line = F.concat("method", F.lit(" "), "uri", F.lit(" from "), "ip", F.lit(" at "), at)
+    return A.details(kept_log(t), "pid", ["time", "pos"], line)
 
 
 @query(

@@ -9,8 +9,9 @@ from ..functions import json as J
 from ..functions import markup as M
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators.ordering import with_position
+from ..operators.search import search, write_postings
 from ..plans.reports import resolution_failures
+from ..session import scratch_path
 from ..sources.shapes import BASE_URL, iso_day, launch_options, link_lines, resolution_reports, usage_report
 from .registry import query
 from .snippets import ANCHORS, LAUNCH_OPTIONS
@@ -167,14 +168,26 @@ def str_15(t):
     )
 
 
+def posted(t):
+    return write_postings(t.spread("documents"), "doc_id", "text", scratch_path(t.spark, "postings"))
+
+
 @query(
     "str_16_keyword_search",
     r"""WITH h AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w IN ('the', 'la', 'und'))) AS hits FROM documents)
         SELECT row_number() OVER (ORDER BY hits DESC, doc_id) AS position, doc_id, hits FROM h WHERE hits > 0""",
 )
 def str_16(t):
-    scored = t.spread("documents").select("doc_id", X.term_hits("text", ["the", "la", "und"]).alias("hits")).where("hits > 0")
-    return with_position(scored, F.desc("hits"), F.col("doc_id"))
+    return search(t.spark, posted(t), "doc_id", ["the", "la", "und"])
+
+
+@query(
+    "str_16_best_hits",
+    r"""WITH h AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w IN ('the', 'la', 'und'))) AS hits FROM documents)
+        SELECT row_number() OVER (ORDER BY hits DESC, doc_id) AS position, doc_id, hits FROM h WHERE hits > 0 ORDER BY position LIMIT 10""",
+)
+def str_16_best(t):
+    return search(t.spark, posted(t), "doc_id", ["the", "la", "und"], limit=10)
 
 
 @query(
@@ -252,14 +265,16 @@ def jsn_01(t):
 
 @query(
     "jsn_02_first_alternative",
-    """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN CAST(event_id AS VARCHAR) WHEN event_id % 2 = 1 THEN 'b' || event_id ELSE 'none' END AS value FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN CAST(event_id AS VARCHAR) WHEN event_id % 4 = 3 THEN 'false'
+         WHEN event_id % 2 = 1 THEN 'b' || event_id ELSE 'none' END AS value FROM events""",
 )
 def jsn_02(t):
     k = F.col("event_id")
     a = F.when(k % 3 == 0, "null").when(k % 3 == 1, "false").otherwise(k.cast("string"))
-    b = F.when(k % 2 == 0, "null").otherwise(F.concat(F.lit('"b'), k, F.lit('"')))
+    # the text "false" is a value, the boolean is none
+    b = F.when(k % 2 == 0, "null").when(k % 4 == 3, '"false"').otherwise(F.concat(F.lit('"b'), k, F.lit('"')))
     doc = F.concat(F.lit('{"a": '), a, F.lit(', "b": '), b, F.lit("}"))
-    return t.events.select("event_id", J.first_of(J.path(doc, "a"), J.path(doc, "b"), default="none").alias("value"))
+    return t.events.select("event_id", J.first_alternative(doc, "$.a", "$.b", default="none").alias("value"))
 
 
 @query(

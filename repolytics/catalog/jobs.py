@@ -7,11 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators.documents import build_metadata, flatten_metadata
+from ..operators.ordered import number_rows
 from ..plans import files as PF
 from ..plans import integrity as PI
 from ..plans import reports as PR
+from ..plans.backfill import ResolutionBackfill
 from ..session import scratch_path
-from ..sources.readers import read_dataset_rows
+from ..sources.readers import file_inventory, read_dataset_rows
 from ..sources.shapes import (
     BASE_URL,
     catalog,
@@ -32,6 +34,7 @@ from .documents import CONTACT
 from .joins import COVERAGE_SQL, LEVELS_SQL, denied, level_tables
 from .registry import query
 from .snippets import ANCHORS, DEPLOY_LOG, FAILURE_LOG, FLAT_FIELDS, LAUNCH_OPTIONS
+from .sources import rotated
 
 
 def failed(t):
@@ -41,7 +44,7 @@ def failed(t):
 
 @query(
     "job_01_failed_identifiers",
-    f"""WITH {FAILURE_LOG}, h AS (SELECT pid, count(*) AS hits, min(time) AS first_seen FROM kept GROUP BY pid)
+    f"""WITH {FAILURE_LOG}, h AS (SELECT pid, count(*) AS hits, min(ROW(time, event_id)) AS first_seen FROM kept GROUP BY pid)
         SELECT row_number() OVER (ORDER BY hits DESC, first_seen, pid) AS rank, hits, pid,
                'https://data.example.org/dataset.xhtml?persistentId=' || pid AS url FROM h""",
 )
@@ -52,10 +55,10 @@ def job_01(t):
 @query(
     "job_01_details",
     f"""WITH {FAILURE_LOG} SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY time, event_id) AS position,
-        split_part(method || ' ' || uri || ' from ' || ip || ' at ' || strftime(time, '%Y-%m-%d %H:%M:%S.%f'), '.', 1) AS line FROM kept""",
+        method || ' ' || uri || ' from ' || ip || ' at ' || strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS line FROM kept""",
 )
 def job_01_details(t):
-    return failed(t).details().withColumn("line", F.substring_index("line", ".", 1))
+    return failed(t).details()
 
 
 @query(
@@ -117,6 +120,82 @@ def job_05_levels(t):
     return PI.template_levels(*level_tables(t)).select("parent_name", "field", "include", "required")
 
 
+@query(
+    "job_02_saved_state",
+    """WITH a AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages),
+       i AS (SELECT page_id, unnest(range(0, len(l))) AS i FROM a WHERE page_id % 7 IN (1, 2, 3) )
+       SELECT '2024-0' || (page_id % 7 + 1) AS month, 'doi:10.5072/' || (page_id * 1000 + i) AS pid, i * 3 + page_id % 5 AS hits FROM i""",
+)
+def job_02_state(t):
+    """Gzip reports by month; May is missing. The first call does February, the second one goes on from there."""
+    reports = resolution_reports(t.pages).where("page_id % 7 <> 4")
+    name = F.concat(F.lit("resolutions_"), F.date_format("report_month", "MM_yyyy"), F.lit(".html.gz")).alias("report")
+    folder, home = scratch_path(t.spark, "reports"), scratch_path(t.spark, "backfill")
+    files = reports.select(name, "page_id", "html").repartition("report").sortWithinPartitions("report", "page_id").drop("page_id")
+    files.write.partitionBy("report").text(folder, compression="gzip", lineSep="\n")
+    for day in (dt.date(2024, 3, 5), dt.date(2024, 9, 10)):
+        backfill = ResolutionBackfill(t.spark, folder, home, "ACME.REPO", BASE_URL, glob="*.gz")
+        backfill.run(day)
+    return backfill.failures().select(F.date_format("report_month", "yyyy-MM").alias("month"), "pid", "hits")
+
+
+def catalog_tables(t):
+    """Catalog tables: templates are regions, owned by one of their nations; parents are nations, whose
+    default is their region's template; blocks are segments, field types part types."""
+    n = F.col("n_nationkey")
+    types = t.part.groupBy("p_type").agg(F.min("p_size").cast("bigint").alias("display_order"), F.min("p_brand").alias("brand"))
+    return {
+        "template": t.region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") != 3, F.col("r_regionkey") * 5).alias("owner_id")),
+        "parent": t.nation.select(n.alias("id"), F.col("n_name").alias("name"), F.when(n % 4 != 1, F.col("n_regionkey")).alias("default_template_id")),
+        "block": t.part.select(F.col("p_brand").alias("id"), F.concat(F.lit("block "), "p_brand").alias("name")).distinct(),
+        "enabled": t.supplier.join(t.part, F.col("s_suppkey") % 100 == F.col("p_partkey") % 100).select(F.col("s_nationkey").alias("parent_id"), F.col("p_brand").alias("block_id")).distinct(),
+        "template_field": t.part.select((F.col("p_partkey") % 5).alias("template_id"), F.col("p_type").alias("field_type_id")).distinct(),
+        "field_type": types.select(F.col("p_type").alias("id"), F.lower("p_type").alias("name"), F.col("brand").alias("block_id"), "display_order"),
+        "level": t.customer.groupBy(F.col("c_nationkey").alias("parent_id"), F.lit("PROMO").alias("field_type_id")).agg((F.count("*") % 2 == 0).alias("include"), F.lit(True).alias("required")),
+    }
+
+
+CATALOG_SQL = """template AS (SELECT r_regionkey AS id, r_name AS name, CASE WHEN r_regionkey <> 3 THEN r_regionkey * 5 END AS owner_id FROM region),
+  parent AS (SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 4 <> 1 THEN n_regionkey END AS default_template_id FROM nation),
+  enabled AS (SELECT DISTINCT s_nationkey AS parent_id, p_brand AS block_id FROM supplier JOIN part ON s_suppkey % 100 = p_partkey % 100),
+  field_type AS (SELECT p_type AS id, lower(p_type) AS name, min(p_size) AS display_order, min(p_brand) AS block_id FROM part GROUP BY 1),
+  template_field AS (SELECT DISTINCT p_partkey % 5 AS template_id, p_type AS field_type_id FROM part),
+  level AS (SELECT c_nationkey AS parent_id, 'PROMO' AS field_type_id, count(*) % 2 = 0 AS include, true AS required FROM customer GROUP BY 1),
+  users AS (SELECT t.id AS template_id, t.name AS template_name, p.id AS parent_id, p.name AS parent_name FROM template t JOIN parent p ON t.id = p.default_template_id
+            UNION SELECT t.id, t.name, p.id, p.name FROM template t JOIN parent p ON t.owner_id = p.id)"""
+
+
+@query(
+    "job_05_associations",
+    f"""WITH {CATALOG_SQL} SELECT t.id AS template_id, t.name AS template_name, p.id AS parent_id, p.name AS parent_name, p.default_template_id
+        FROM template t LEFT JOIN parent p ON t.owner_id = p.id""",
+)
+def job_05_associations(t):
+    return PI.TemplateCheck(catalog_tables(t)).associations().select("template_id", "template_name", "parent_id", "parent_name", "default_template_id")
+
+
+@query(
+    "job_05_check_coverage",
+    f"""WITH {CATALOG_SQL}, blocks AS (SELECT DISTINCT template_id, block_id FROM template_field JOIN field_type ON field_type_id = id)
+        SELECT row_number() OVER (ORDER BY u.template_id, parent_name, 'block ' || b.block_id, u.parent_id) AS position, template_name, parent_name,
+               'block ' || b.block_id AS block, CASE WHEN e.block_id IS NULL THEN 'MISSING' ELSE 'ENABLED' END AS status
+        FROM users u JOIN blocks b USING (template_id) LEFT JOIN enabled e ON e.parent_id = u.parent_id AND e.block_id = b.block_id""",
+)
+def job_05_check_coverage(t):
+    return PI.TemplateCheck(catalog_tables(t)).coverage()
+
+
+@query(
+    "job_05_check_levels",
+    f"""WITH {CATALOG_SQL} SELECT row_number() OVER (ORDER BY u.template_id, parent_name, display_order, f.name, u.parent_id) AS position, template_name, parent_name,
+               f.name AS field, coalesce(l.include, true) AS include, coalesce(l.required, false) AS required
+        FROM users u JOIN template_field tf USING (template_id) JOIN field_type f ON f.id = tf.field_type_id
+        LEFT JOIN level l ON l.parent_id = u.parent_id AND l.field_type_id = f.id""",
+)
+def job_05_check_levels(t):
+    return PI.TemplateCheck(catalog_tables(t)).levels()
+
+
 def drift(t):
     listing = launch_options(t.part)
     a, b = (listing.where(F.col("listing") == kind).select("pos", "raw") for kind in ("PROMO", "SMALL"))
@@ -226,6 +305,19 @@ def job_07_recent(t):
     return PI.index_errors(deploy_log(t.spread("events")), "line", LOG_PATTERNS, 3, "pos")["recent"]
 
 
+@query(
+    "job_07_error_surroundings",
+    f"""WITH {DEPLOY_LOG}, hits AS (SELECT run, pos FROM deploy_log WHERE regexp_matches(line, 'FATAL')),
+        n AS (SELECT run, pos, line, row_number() OVER (PARTITION BY run ORDER BY pos) AS line_no FROM deploy_log),
+        near AS (SELECT DISTINCT a.run, a.line_no, a.line FROM n a JOIN n h ON a.run = h.run AND a.line_no BETWEEN h.line_no - 2 AND h.line_no + 2 WHERE regexp_matches(h.line, 'FATAL')),
+        f AS (SELECT * FROM near WHERE regexp_matches(line, 'ERROR|FATAL') ORDER BY run, line_no LIMIT 5)
+        SELECT row_number() OVER (ORDER BY run, line_no) AS position, run, line_no, line FROM f""",
+)
+def job_07_surroundings(t):
+    numbered = number_rows(deploy_log(t.spread("events")), ["run"], ["pos"], "line_no")
+    return PI.error_surroundings(numbered, "run", "line_no", "line", "FATAL", "ERROR|FATAL", 5)
+
+
 def manifest(t):
     files, responses = upload_files(t.documents, t.labels)
     responses = files.select("doc_id", "path").join(responses, "doc_id").drop("doc_id")
@@ -252,6 +344,25 @@ def job_08_refused(t):
     return manifest(t)[1]
 
 
+@query(
+    "job_08_registered_folder",
+    """WITH f AS (SELECT doc_id // 50 AS k, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1)
+       SELECT k || '.nc' AS file_name, CASE WHEN k % 3 = 0 THEN NULL ELSE
+         '{"description":"NetCDF file upload.","directoryLabel":"data/netcdf","categories":["Data"],"restrict":"false","storageIdentifier":"s3://bucket:'
+         || k || '","fileName":"' || k || '.nc","mimeType":"application/x-netcdf","checksum":{"@type":"SHA-1","@value":"' || sha1(content) || '"}}' END AS record,
+         CASE WHEN k % 3 = 0 THEN 'missing' END AS reason FROM f""",
+)
+def job_08_folder(t):
+    """Files of 50 documents each; the upload of every third file gave no storage identifier."""
+    folder = rotated(t.documents, "doc_id", 50, "doc_id", F.col("text"), scratch_path(t.spark, "upload"))
+    key, name = (lambda c: F.regexp_extract(c, "rotation=([0-9]+)", 1)), F.concat(F.regexp_extract("path", "rotation=([0-9]+)", 1), F.lit(".nc"))
+    listed = file_inventory(t.spark, folder, "*.txt").select("path", key("path").alias("k"))
+    storage = F.when(F.col("k").cast("int") % 3 == 0, "null").otherwise(F.concat(F.lit("s3://bucket:"), "k"))
+    responses = listed.select("path", storage.alias("storage"), F.lit("OK").alias("status"))
+    good, refused = PF.register_folder(t.spark, folder, responses, "*.txt", name=name)
+    return good.select("file_name", "record", F.lit(None).cast("string").alias("reason")).unionByName(refused.select(name.alias("file_name"), F.lit(None).cast("string").alias("record"), "reason"))
+
+
 @query(
     "job_09_download_plan",
     f"""WITH {ANCHORS}, e AS (

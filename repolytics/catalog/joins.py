@@ -301,13 +301,13 @@ def set_01(t):
 
 
 def order_checks(t):
-    return [
-        S.check(t.orders, "status known", "error", ~F.col("o_orderstatus").isin("O", "F", "P")),
-        S.check(t.orders, "price below 1000", "warning", F.col("o_totalprice") < 1000),
-        S.check(t.lineitem, "discount high", "warning", F.col("l_discount") > 0.09),
-        S.check(t.lineitem, "quantity positive", "error", F.col("l_quantity") <= 0),
-        S.check(t.lineitem, "line number in order", "error", F.col("l_linenumber") > 6),
-    ]
+    orders = {"status known": ("error", ~F.col("o_orderstatus").isin("O", "F", "P")), "price below 1000": ("warning", F.col("o_totalprice") < 1000)}
+    lines = {
+        "discount high": ("warning", F.col("l_discount") > 0.09),
+        "quantity positive": ("error", F.col("l_quantity") <= 0),
+        "line number in order": ("error", F.col("l_linenumber") > 6),
+    }
+    return [S.checks(t.orders, orders), S.checks(t.lineitem, lines)]
 
 
 CHECKS_SQL = """checks AS (

@@ -136,11 +136,11 @@ def ord_01(t):
 
 @query(
     "ord_02_rank_hits",
-    f"""WITH {FAILURE_LOG}, h AS (SELECT pid, count(*) AS hits, min(time) AS first_seen FROM kept GROUP BY pid)
+    f"""WITH {FAILURE_LOG}, h AS (SELECT pid, count(*) AS hits, min(ROW(time, event_id)) AS first_seen FROM kept GROUP BY pid)
         SELECT row_number() OVER (ORDER BY hits DESC, first_seen, pid) AS rank, pid, hits FROM h""",
 )
 def ord_02(t):
-    return O.rank_hits(hits(kept_log(t), "pid", "time"), "pid").select("rank", "pid", "hits")
+    return O.rank_hits(hits(kept_log(t), "pid", "time", "pos"), "pid").select("rank", "pid", "hits")
 
 
 @query(

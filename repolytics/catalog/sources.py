@@ -47,7 +47,7 @@ def src_02(t):
     f"""WITH {FAILURE_LOG} SELECT pid, uri, method, ip, strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS time FROM failure_log""",
 )
 def src_03(t):
-    log = failure_log(t.events).withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    log = failure_log(t.events).drop("pos").withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     path = W.write_tsv(log, scratch_path(t.spark, "tsv"))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("pid", "uri", "method", "ip", "time")])
     return R.read_tsv(t.spark, path, schema)
@@ -85,11 +85,21 @@ def src_05(t):
     return R.read_log(t.spark, path, ordered=True).select(rotation_of("path"), "line_no", "line")
 
 
-@query("src_06_file_inventory", "SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
+FILES_OF_50 = """SELECT doc_id // 50 AS rotation, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS length,
+       sha1(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha1 FROM documents GROUP BY 1"""
+
+
+@query("src_06_file_inventory", FILES_OF_50)
 def src_06(t):
-    path = scratch_path(t.spark, "inventory")
-    t.documents.select("text").write.text(path, lineSep="\n")
-    return R.file_inventory(t.spark, path, "*.txt").agg(F.sum("length").alias("bytes"))
+    path = rotated(t.documents, "doc_id", 50, "doc_id", F.col("text"), scratch_path(t.spark, "inventory"))
+    t.region.select("r_name").write.text(f"{path}/rotation=-1", compression="gzip")  # outside the pattern
+    return R.hashed_files(t.spark, path, "*.txt")[0].select(rotation_of("path"), "length", "sha1")
+
+
+@query("src_06_refused_files", f"WITH f AS ({FILES_OF_50}) SELECT rotation, length, 'too large' AS reason FROM f WHERE length > 150000")
+def src_06_refused(t):
+    path = rotated(t.documents, "doc_id", 50, "doc_id", F.col("text"), scratch_path(t.spark, "inventory"))
+    return R.hashed_files(t.spark, path, "*.txt", most=150_000)[1].select(rotation_of("path"), "length", "reason")
 
 
 @query("src_07_csv_file", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
@@ -125,7 +135,7 @@ def written_report(t):
     report = FailedIdentifiers(failure_log(t.events), deny, BASE_URL)
     period = F.lit("2024-01").alias("period")
     ranked = report.ranked().select("rank", "hits", "pid", "url", period)
-    details = report.details().select("pid", "position", F.substring_index("line", " at ", 1).alias("line"), period)
+    details = report.details().select("pid", "position", "line", period)
     path = W.write_report(ranked, details, scratch_path(t.spark, "report"), "period")
     return W.read_report(
         t.spark, path, "rank bigint, hits bigint, pid string, url string, period string", "pid string, position bigint, line string, period string"
@@ -134,7 +144,7 @@ def written_report(t):
 
 @query(
     "snk_01_period_report",
-    f"""WITH {FAILURE_LOG}, h AS (SELECT pid, count(*) AS hits, min(time) AS first_seen FROM kept GROUP BY pid)
+    f"""WITH {FAILURE_LOG}, h AS (SELECT pid, count(*) AS hits, min(ROW(time, event_id)) AS first_seen FROM kept GROUP BY pid)
         SELECT '2024-01' AS period, row_number() OVER (ORDER BY hits DESC, first_seen, pid) AS rank, hits, pid,
                'https://data.example.org/dataset.xhtml?persistentId=' || pid AS url
         FROM h""",
@@ -146,7 +156,7 @@ def snk_01(t):
 @query(
     "snk_01_period_details",
     f"""WITH {FAILURE_LOG} SELECT '2024-01' AS period, pid, row_number() OVER (PARTITION BY pid ORDER BY time, event_id) AS position,
-        method || ' ' || uri || ' from ' || ip AS line FROM kept""",
+        method || ' ' || uri || ' from ' || ip || ' at ' || strftime(time, '%Y-%m-%d %H:%M:%S.%f') AS line FROM kept""",
 )
 def snk_01_details(t):
     return written_report(t)[1]

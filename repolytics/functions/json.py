@@ -21,6 +21,25 @@ def first_of(*candidates: Column, default: Column | str | None = None) -> Column
     return F.coalesce(*usable)
 
 
+def first_alternative(document: Column | str, *paths: str, default: Column | str | None = None) -> Column:
+    """Value at the first of the paths (``$.a.b``) that is neither null nor the boolean false, else
+    the default. The text ``"false"`` is a value. Texts come bare, other values as JSON; a
+    document that is no JSON has no values."""
+    parsed = F.try_parse_json(_c(document))
+
+    def usable(path: str) -> Column:
+        value = F.try_variant_get(parsed, path, "variant")
+        kind = F.schema_of_variant(value)
+        dropped = F.is_variant_null(value) | ((kind == "BOOLEAN") & ~F.coalesce(F.try_variant_get(parsed, path, "boolean"), F.lit(True)))
+        text = F.when(kind == "STRING", F.try_variant_get(parsed, path, "string")).otherwise(F.to_json(value))
+        return F.when(value.isNotNull() & ~dropped, text)
+
+    found = [usable(path) for path in paths]
+    if default is not None:
+        found.append(F.lit(default) if isinstance(default, str) else default)
+    return F.coalesce(*found)
+
+
 def listing_file_id(listing: Column | str, name: Column | str) -> Column:
     """File number behind a name in a ``{name: {dataFile: {id}}}`` listing; null when absent."""
     entries = F.from_json(_c(listing), "map<string, struct<dataFile: struct<id: bigint>>>")

@@ -21,9 +21,11 @@ def monthly_counts(df: DataFrame, ts: str) -> DataFrame:
     return df.groupBy(F.date_format(F.trunc(ts, "month"), "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
-def hits(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
-    """Hits per identifier, with first appearance when a time column is given."""
-    extra = [] if ts is None else [F.min(ts).alias("first_seen")]
+def hits(df: DataFrame, key: str, ts: str | None = None, *pos: str) -> DataFrame:
+    """Hits per identifier, with first appearance when a time column is given: the time, or the
+    time and the log position when that is given as well."""
+    first = F.struct(ts, *pos) if pos else F.col(ts) if ts else None
+    extra = [] if first is None else [F.min(first).alias("first_seen")]
     return df.groupBy(key).agg(F.count("*").alias("hits"), *extra)
 
 

@@ -22,6 +22,14 @@ def check(df: DataFrame, name: str, severity: str, offending: Column) -> DataFra
     )
 
 
+def checks(df: DataFrame, rules: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Many checks of one table from one scan: ``check, severity, offending`` for each of
+    ``name: (severity, offending rows)``."""
+    counted = df.agg(*[F.count_if(cond).alias(f"c{i}") for i, (_, cond) in enumerate(rules.values())])
+    rows = [F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.col(f"c{i}").alias("offending")) for i, (name, (severity, _)) in enumerate(rules.items())]
+    return counted.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def validation_report(checks: list[DataFrame]) -> DataFrame:
     """The checks that found something, stacked."""
     return reduce(lambda a, b: a.unionByName(b), checks).where(F.col("offending") > 0)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json import registration_record
 from ..functions.markup import folder_of, is_file_link, is_folder_link, last_link_label, last_link_target
 from ..functions.text import base_name, safe_name
 from ..operators.filters import bad_response, split_valid
-from ..operators.joins import distinct_keys, pending
+from ..operators.joins import distinct_keys, keyed_join, pending
 from ..operators.trees import expand_tree
+from ..sources.readers import MOST_FILE_BYTES, hashed_files
 
 # How uploaded files are registered.
 UPLOAD_DESCRIPTION = "NetCDF file upload."
@@ -25,16 +26,32 @@ def registration_manifest(files: DataFrame, responses: DataFrame, path: str, con
     ``files`` has path and content, ``responses`` path, storage identifier and status.
     """
     # hashed where the bytes are read: contents never travel through the join
-    hashed = files.select(path, F.sha1(content).alias("__sha1"))
+    return _manifest(files.select(path, F.sha1(content).alias("sha1")), responses, path, storage, status, base_name(path))
+
+
+def _manifest(hashed: DataFrame, responses: DataFrame, path: str, storage: str, status: str, name: Column) -> tuple[DataFrame, DataFrame]:
     answered = hashed.join(responses.select(path, storage, status), path, "left")
     good, refused = split_valid(answered, bad_response(storage, status))
-    name = base_name(path)
-    record = registration_record(
-        F.col(storage), name, F.col("__sha1"), F.lit(UPLOAD_MIME), UPLOAD_DESCRIPTION, UPLOAD_FOLDER, UPLOAD_CATEGORY
-    )
+    record = registration_record(F.col(storage), name, F.col("sha1"), F.lit(UPLOAD_MIME), UPLOAD_DESCRIPTION, UPLOAD_FOLDER, UPLOAD_CATEGORY)
     return good.select(path, name.alias("file_name"), record.alias("record")), refused.select(path, "reason")
 
 
+def register_folder(
+    spark: SparkSession, folder: str, responses: DataFrame, glob: str = "*.nc", storage: str = "storage", status: str = "status", name: Column | None = None, most: int = MOST_FILE_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """The flow from files: inventory by glob, hash of the bytes, registration records.
+
+    ``responses`` has path, storage identifier and status of the upload of each file. Returns
+    ``path, file_name, record`` and the refused files, ``path, reason``: an unusable response, none
+    at all, or a file too large to be read as one value. No file at all is an error.
+    """
+    hashed, large = hashed_files(spark, folder, glob, most)
+    if hashed.select("path").isEmpty() and large.isEmpty():
+        raise FileNotFoundError(f"no files {glob} in {folder}")
+    good, refused = _manifest(hashed, responses, "path", storage, status, base_name("path") if name is None else name)
+    return good, refused.unionByName(large.select("path", "reason"))
+
+
 def listing_entries(lines: DataFrame, key: str, line: str, base_folder: Column | None = None) -> DataFrame:
     """Files and folders of directory index lines ``key, line``: kind, target, local path."""
     base = F.lit("") if base_folder is None else base_folder
@@ -53,7 +70,7 @@ def download_plan(entries: DataFrame, manifest: DataFrame, present: DataFrame, s
     """
     forbidden = distinct_keys(statuses.where(F.col("status") == 403), key).withColumn("__forbidden", F.lit(True))
     action = F.when(F.col("__forbidden"), F.lit("skip" if ignore_forbidden else "fail")).otherwise("fetch")
-    todo = pending(entries, manifest, present, key).join(forbidden, key, "left")
+    todo = keyed_join(pending(entries, manifest, present, key), forbidden, key, "left")
     return todo.withColumn("action", action).drop("__forbidden")
 
 

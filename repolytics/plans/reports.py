@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import month_index
 from ..functions.markup import failure_items
@@ -18,21 +19,26 @@ from ..operators.projections import display, project_nested, unpivot_record
 
 
 class FailedIdentifiers:
-    """Failed-identifier report of a log ``pid, uri, method, ip, time`` without denied sources."""
+    """Failed-identifier report of a log ``pid, uri, method, ip, time`` without denied sources.
+
+    Lines of one moment follow their log position where the log has one (``pos``).
+    """
 
     def __init__(self, log: DataFrame, deny: DataFrame, base_url: str):
         self.base_url = base_url
         self.kept, self._dropped = exclude_denied(log, deny, "ip")
+        self.pos = ["pos"] if "pos" in log.columns else []
 
     def ranked(self) -> DataFrame:
-        """``rank, hits, pid, first_seen, url``, most hits first."""
-        return rank_hits(hits(self.kept, "pid", "time"), "pid").withColumn("url", landing_url(self.base_url, "pid"))
+        """``rank, hits, pid, first_seen, url``, most hits first, equal ones as they first appear."""
+        return rank_hits(hits(self.kept, "pid", "time", *self.pos), "pid").withColumn("url", landing_url(self.base_url, "pid"))
 
     def details(self) -> DataFrame:
         """``pid, position, line`` in log order."""
-        at = F.trim(F.col("time").cast("string"))
+        written = isinstance(self.kept.schema["time"].dataType, T.StringType)
+        at = F.trim("time") if written else F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         line = F.concat("method", F.lit(" "), "uri", F.lit(" from "), "ip", F.lit(" at "), at)
-        return details(self.kept, "pid", ["time", "uri"], line)
+        return details(self.kept, "pid", ["time", *(self.pos or ["uri"])], line)
 
     def dropped(self) -> DataFrame:
         """One row: log lines from denied sources."""

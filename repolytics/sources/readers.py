@@ -48,18 +48,35 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(lines_of(text)).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def read_log(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+def read_log(spark: SparkSession, path: str | list[str], ordered: bool = False) -> DataFrame:
     """Log lines: ``line``, or with order ``path, line_no`` from 1, ``line``. Files are split either way."""
     return numbered_lines(spark, path) if ordered else spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"))
 
 
 def file_inventory(spark: SparkSession, folder: str, glob: str = "*", content: bool = False) -> DataFrame:
-    """Files of a folder by glob with their size; bytes are read only when asked for."""
+    """Files of a folder by glob with their size; bytes are read only when asked for. Spark's file
+    sources list no files without bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     cols = ["path", "length", "content"] if content else ["path", "length"]
     return files.select(*cols)
 
 
+# Contents of files from this size on do not fit one value.
+MOST_FILE_BYTES = 2_000_000_000
+
+
+def hashed_files(spark: SparkSession, folder: str, glob: str = "*", most: int = MOST_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``path, length, sha1`` of the files of a folder by glob, and those refused: ``path, length, reason``.
+
+    Bytes are hashed where they are read, and only of files that are not too large: the limit on
+    the length reaches the source, which then leaves the contents unread. Files without bytes are
+    not listed (see ``file_inventory``).
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    good = files.where(F.col("length") <= most).select("path", "length", F.sha1("content").alias("sha1"))
+    return good, files.where(F.col("length") > most).select("path", "length", F.lit("too large").alias("reason"))
+
+
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """Headered comma-separated file; a given schema saves the pass that infers one."""
     reader = spark.read.option("header", True)

@@ -39,13 +39,15 @@ def iso_day(ts: Column | str) -> Column:
 
 
 def failure_log(events: DataFrame) -> DataFrame:
-    """Failed-identifier log: ``pid, uri, method, ip, time``."""
+    """Failed-identifier log: ``pid, uri, method, ip, time, pos``, ``pos`` being the place of a line
+    among those of one moment."""
     return events.select(
         F.concat(F.lit(PID_PREFIX), F.get_json_object("props", "$.k")).alias("pid"),
         F.concat(F.lit("/dataset/"), F.col("event_id")).alias("uri"),
         F.col("event_type").alias("method"),
         F.col("user_id").cast("string").alias("ip"),
         F.col("ts").alias("time"),
+        F.col("event_id").alias("pos"),
     )
 
 

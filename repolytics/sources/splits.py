@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 MOST_BLOCKS = 50_000
 
 
-def split_lines(spark: SparkSession, path: str) -> DataFrame:
+def split_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, __block, __at, line``: ``__at`` grows by one from line to line of a block."""
     return spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("path"),
@@ -53,7 +53,7 @@ def with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(blocks) if few else blocks, ["path", "__block"])
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, line_no, line`` of all files; numbers start at 1 in every file."""
     rows = split_lines(spark, path)
     placed = with_blocks(rows, block_table(rows))

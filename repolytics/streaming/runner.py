@@ -50,13 +50,13 @@ def drain_steps(op: BatchOperator, sink: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int | None = None, kind: str = "parquet") -> DataFrame:
+    reader = spark.readStream.format(kind).schema(schema)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.load(folder)
 
 
 def drain_append(df: DataFrame | BatchOperator, sink: str, checkpoint: str) -> None:
