@@ -3,7 +3,8 @@
 A byte-level BPE vocabulary splits texts by a pattern before merging. A single space between two
 characters that are not white space always starts a new part of that pattern, so texts are
 cut there, and the ids of a text are those of its pieces one after the other. Pieces repeat,
-hence each is encoded once and looked up afterwards; the memory of the look-up is bounded.
+hence each is encoded once and looked up afterwards. What is held for that, pieces and their
+parts alike, is counted in bytes and given up beyond ``MOST_BYTES``.
 Vocabularies of another kind are encoded text by text.
 """
 
@@ -17,7 +18,9 @@ import pyarrow.compute as pc
 
 from . import kernel
 
-MOST_PIECES = 250_000
+# Bytes that the looked-up pieces of one worker may hold; a block's pieces come on top.
+MOST_BYTES = 56 << 20
+_ENTRY = 160
 BLOCK = 4 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # a space beside white space of any kind: such texts are cut by the careful pattern
@@ -37,13 +40,14 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """``encode`` a text column to ids. One object lives as long as its Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_BYTES):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         kind = str(self.whole.pre_tokenizer)
         self.byte_level = kind.startswith("ByteLevel(") and "use_regex=True" in kind and "add_prefix_space=False" in kind and self.whole.normalizer is None
+        self.most = most
         self.parts = regex.compile(_PARTS)
         self.letters = _byte_letters()
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
@@ -54,6 +58,7 @@ class Encoder:
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.known: dict[str, list[int]] = {}
+        self.held = 0
         self.ids, self.starts, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.used = 0
 
@@ -65,6 +70,7 @@ class Encoder:
         ids = self.known.get(part)
         if ids is None:
             ids = self.known[part] = self._merge(part)
+            self.held += len(part) + 8 * len(ids) + _ENTRY
         return ids
 
     def _merge(self, part: str) -> list[int]:
@@ -87,6 +93,7 @@ class Encoder:
             if slot is None:
                 own = self._piece(piece) if piece else []
                 slot = slots[piece] = len(slots)
+                self.held += len(piece) + 4 * len(own) + _ENTRY
                 ids += own
                 lengths.append(len(own))
             found.append(slot)
@@ -106,7 +113,7 @@ class Encoder:
         at = np.asarray(lists.offsets).astype(np.int64)
         flat = lists.values.slice(at[0], at[-1] - at[0])
         at -= at[0]
-        if len(self.slots) > MOST_PIECES:
+        if self.held > self.most:
             self._clear()
         coded = flat.dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)

@@ -38,6 +38,8 @@ from .tokens import encoded, encoder
 
 MAGIC = b"WVMX1\n"
 SHARD_TOKENS = 4_000_000
+# Rows that share an id are put in ranges by this much of their texts, and by all of it inside.
+RANGE_CHARS = 48
 _RANK = 512
 
 
@@ -167,17 +169,26 @@ class Shard:
         return join_planes([np.unpackbits(self._plane(k)[1], bitorder="little", count=n).view(bool) for k in range(self.bits)])
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI: a plain path belongs to the cluster's default store, not to a task's disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open_store(folder: str):
-    """File system and path of a folder named by URI or plain path."""
+    """File system and path of a folder named by URI."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    # Hadoop writes file:/path, pyarrow wants file:///path
+    return fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
 
 def write_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end: int = 2, folder: str | None = None, most: int = SHARD_TOKENS) -> DataFrame:
     """Write all documents; the table of files: ``file, part, shard, tokens``, in order of (part, shard)."""
-    folder = folder or scratch_path(docs.sparkSession, "wavelet")
-    ordered = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("t")).repartitionByRange(F.col("id").asc_nulls_first(), F.col("t")).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
+    folder = _qualified(docs.sparkSession, folder or scratch_path(docs.sparkSession, "wavelet"))
+    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("t"))
+    # range bounds are sampled on the driver: they hold the beginnings of texts, not texts
+    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), F.substring("t", 1, RANGE_CHARS)).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
 
     def run(batches):
         store, root = _open_store(folder)

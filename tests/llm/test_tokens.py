@@ -93,3 +93,21 @@ def test_shards_round_trip(spark, encoder):
         at += len(ids)
     assert [tuple(r) for r in rows] == want
     assert wavelet.read_shards(spark, wavelet.write_shards(empty(spark), vocabulary())).count() == 0
+
+
+def test_memory_of_looked_up_pieces_is_bounded():
+    rng = random.Random(8)
+    small = Encoder(vocabulary(), most=20_000)
+    # texts without spaces: one piece each, of many parts
+    texts = ["".join(rng.choice("ab1.é") for _ in range(40)) for _ in range(400)]
+    for i in range(0, 400, 20):
+        ids, at = small.encode(pa.array(texts[i : i + 20]))
+        want = small.whole.encode_batch(texts[i : i + 20], add_special_tokens=False)
+        assert all(ids[at[k] : at[k + 1]].tolist() == want[k].ids for k in range(20))
+        assert len(small.known) + len(small.slots) < 800 and small.held < 120_000
+
+
+def test_a_plain_folder_belongs_to_the_default_store(spark, tmp_path):
+    assert wavelet._qualified(spark, str(tmp_path)).startswith("file:")
+    files = wavelet.write_shards(documents(spark), vocabulary(), folder=f"{tmp_path}/shards")
+    assert files.first()["folder"].startswith("file:/") and wavelet.read_shards(spark, files).count() == documents(spark).count()
