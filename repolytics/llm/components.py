@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import release, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # settled when every node points to one smaller node that itself points nowhere
         loose = after.select(F.col("a").alias("n")).join(after.select(F.col("b").alias("n")).distinct(), "n", "left_semi")
         many = after.groupBy("a").count().where("count > 1").select(F.col("a").alias("n"))
+        release(now)
         now = after
         if loose.unionByName(many).isEmpty():
             break

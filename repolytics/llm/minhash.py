@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
 from . import kernel
 from .components import components
+from .shared import release, written
 
 BANDS, ROWS = 32, 4
 CHUNK, BLOCK_BYTES = 256, 1 << 20
@@ -221,7 +221,9 @@ def _between_components(members: DataFrame, docs: DataFrame, spec: NearDup) -> D
     """
     members = written(members)
     signature_bytes = F.lit(2 * spec.permutations * 4)
-    active = written(_active(_blocks(_dealt(members, signature_bytes)), spec))
+    brief = _blocks(_dealt(members, signature_bytes))
+    active = written(_active(brief, spec))
+    release(brief)
     wanted = active.select(F.col("rep").alias("id")).distinct()
     whole = _shingle_sets(docs.join(wanted, "id", "left_semi"), spec)
     dealt = _dealt(members.join(active, ["band", "rep"]).select(*members.columns), F.col("n_shingles") * 8)
@@ -236,7 +238,9 @@ def _between_components(members: DataFrame, docs: DataFrame, spec: NearDup) -> D
             found = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
-    return _block_pairs(blocks).mapInArrow(run, "a bigint, b bigint").distinct()
+    links = written(_block_pairs(blocks).mapInArrow(run, "a bigint, b bigint").distinct())
+    release(members, active, blocks)
+    return links
 
 
 def _shingle_sets(texts: DataFrame, spec: NearDup) -> DataFrame:
@@ -295,15 +299,21 @@ def _compare(band: int, one: list[dict], two: list[dict], same: bool, percent: i
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spec: NearDup = NearDup()) -> DataFrame:
-    """One row per row of ``docs``: ``id, n_shingles, component_id, kept``."""
-    rows = written(sketches(docs, id, text, spec))
-    filled = rows.where("n_shingles > 0 and id is not null")
-    member = filled.select("id", "set_hash")
+    """One row per row of ``docs``: ``id, n_shingles, component_id, kept``.
+
+    Tables are removed as soon as the next one is written: signatures are held once, by class.
+    """
+    sketched = written(sketches(docs, id, text, spec))
+    filled = sketched.where("n_shingles > 0 and id is not null")
     # an id on several rows links their sets, which takes numbered rows
-    if not member.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if not filled.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        release(sketched)
         return _with_shared_ids(docs, id, text, spec)
     classes = filled.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = written(classes)
+    rows = written(sketched.select("id", "n_shingles", "set_hash"))
+    release(sketched)
+    member = rows.where("n_shingles > 0 and id is not null").select("id", "set_hash")
 
     def explode(batches):
         for batch in batches:
@@ -317,15 +327,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spe
     placed = written(banded.join(shared, "band"))
     popular = placed.groupBy("rep").agg(F.sum("n").alias("pop"))
     ranked = written(placed.select("band", "rep").join(popular, "rep"))
+    release(placed)
     hubs = ranked.groupBy("band").agg(F.max(F.struct("pop", (-F.col("rep")).alias("r"))).alias("h")).select("band", (-F.col("h.r")).alias("hub"))
     star = ranked.join(hubs, "band").where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     star = written(_alike(star, classes, spec))
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
+    wanted = written(wanted)
     slim = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
-    links = written(_confirm(star, written(slim.join(written(wanted), "id", "left_semi")), spec))
+    texts = written(slim.join(wanted, "id", "left_semi"))
+    links = written(_confirm(star, texts, spec))
+    release(star, wanted, texts)
     comps = components(links)
     more = _between_components(_open_members(ranked.select("band", "rep"), comps, classes, spec), slim, spec)
+    release(ranked)
     comps = components(links.unionByName(more))
+    release(links, more)
     # back from classes to rows
     of_class = member.join(classes.select("set_hash", "rep"), "set_hash").join(comps, F.col("rep") == F.col("node"), "left")
     of_id = of_class.select("id", F.coalesce("component", "rep").alias("component_id"))
