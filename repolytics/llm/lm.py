@@ -74,10 +74,10 @@ class Chunk:
             own = order[cuts[p] : cuts[p + 1]]
             yield p, own, keys[own], counts[own]
 
-    def totals(self, kind: int, replies: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    def totals(self, kind: int, replies: dict[tuple[int, int], bytes]) -> np.ndarray:
         out = np.zeros(len(self.words if kind == 0 else self.pairs), np.int64)
         for p, own, _, _ in self.keys(kind):
-            out[own] = replies[kind, p]
+            out[own] = _unpacked(replies[kind, p], len(own))
         return out
 
 
@@ -85,11 +85,21 @@ def _chunk(left: pa.Table, parts: int) -> Chunk:
     return Chunk(left.column("id").combine_chunks(), left.column("t"), np.asarray(left.column("held")), parts)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Counts as 4 bytes each, or 8 where one of them needs more."""
+    wide = len(values) > 0 and int(values.max()) >= 1 << 32
+    return values.astype(np.uint64 if wide else np.uint32).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint64 if n and len(data) == 8 * n else np.uint32).astype(np.int64)
+
+
 def _sum_part(table: pa.Table) -> pa.Table:
     """Totals of one part's keys, returned to every chunk in the order it sent them."""
     kind, chunk = np.asarray(table.column("kind")), table.column("chunk")
     keys = [np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(b, np.uint32) for b in table.column("counts").to_pylist()]
+    counts = [_unpacked(b, len(k)) for b, k in zip(table.column("counts").to_pylist(), keys)]
     replies: list[bytes] = [b""] * len(keys)
     tokens = distinct = 0
     for k in (0, 1):
@@ -97,12 +107,13 @@ def _sum_part(table: pa.Table) -> pa.Table:
         if not rows:
             continue
         uniq, place = np.unique(np.concatenate([keys[i] for i in rows]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([counts[i] for i in rows]), minlength=len(uniq)).astype(np.uint32)
+        # sums of doubles are exact up to 2^53
+        total = np.bincount(place, np.concatenate([counts[i] for i in rows]), minlength=len(uniq)).astype(np.int64)
         if k == 0:
             tokens, distinct = int(total.sum()), int(np.count_nonzero(total))
         at = 0
         for i in rows:
-            replies[i] = total[place[at : at + len(keys[i])]].tobytes()
+            replies[i] = _packed(total[place[at : at + len(keys[i])]])
             at += len(keys[i])
     part = table.column("part")
     first = np.arange(len(keys)) == 0
@@ -155,7 +166,7 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out:
 
     def ask(key, table):
         c = _chunk(table, parts)
-        rows = [(p, k, keys.tobytes(), np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()) for k in (0, 1) for p, _, keys, counts in c.keys(k)]
+        rows = [(p, k, keys.tobytes(), _packed(counts)) for k in (0, 1) for p, _, keys, counts in c.keys(k)]
         p, k, keys, counts = zip(*rows)
         return pa.table({"chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()), "part": pa.array(p, pa.int64()), "kind": pa.array(k, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
@@ -167,7 +178,7 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out:
 
     def open_chunk(left: pa.Table, right: pa.Table):
         c = _chunk(left, parts)
-        got = {(k, p): np.frombuffer(b, np.uint32).astype(np.int64) for k, p, b in zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("totals").to_pylist())}
+        got = dict(zip(zip(right.column("kind").to_pylist(), right.column("part").to_pylist()), right.column("totals").to_pylist()))
         word, pair = c.totals(0, got), c.totals(1, got)
         context = np.where(c.context >= 0, word[np.maximum(c.context, 0)], starts)
         return c, word[c.word], pair[c.pair], context

@@ -95,3 +95,14 @@ def test_classifiers_awkward_rows(spark):
     assert quality.keep_good(docs, none).columns == docs.columns
     extra = docs.withColumn("score", docs.n_chars).withColumn("given", docs.n_chars)
     assert quality.keep_good(extra, none).count() == docs.count()
+
+
+def test_counts_beyond_32_bits_add_up():
+    big = 2**32 - 10
+    keys = np.array([3, 8], np.uint64)
+    rows = [(c, 0, 0, keys.tobytes(), lm._packed(np.array([big, c + 1]))) for c in (0, 1)] + [(0, 0, 1, keys.tobytes(), lm._packed(np.array([2**40, 1])))]
+    chunk, part, kind, k, n = zip(*rows)
+    table = pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int64()), "kind": pa.array(kind, pa.int32()), "keys": pa.array(k, pa.binary()), "counts": pa.array(n, pa.binary())})
+    out = lm._sum_part(table).to_pylist()
+    assert [lm._unpacked(r["totals"], 2).tolist() for r in out] == [[2 * big, 3], [2 * big, 3], [2**40, 1]]
+    assert out[0]["tokens"] == 2 * big + 3 and out[0]["distinct"] == 2 and len(lm._packed(np.array([2**32 - 1]))) == 4
