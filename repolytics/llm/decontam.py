@@ -10,8 +10,8 @@ reordered item is found as well.
 The items are a stated query set. They are sent to the tasks in blocks of bounded size
 (``BLOCK_WORDS``), and all documents are read once for each block; no pair is built before a seed is shared.
 
-Defined results: items of fewer than ``least`` words (and null or empty ones) are never
-matched; null and empty texts match nothing; rows without id keep a null id; repeated rows
+Defined results: an item of fewer than ``least`` words is matched where it occurs as a whole;
+null and empty items are never matched; null and empty texts match nothing; rows without id keep a null id; repeated rows
 are reported once each; columns of any name may be present.
 """
 
@@ -42,9 +42,17 @@ class Items:
     seeds: np.ndarray = field(init=False)
     item: np.ndarray = field(init=False)
     maybe: np.ndarray = field(init=False)
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
 
     def __post_init__(self):
         grams = [np.unique(kernel.combine(w, self.least)) for w in self.words]
+        # items too short for a seed, by their number of words: sorted hashes of the whole item
+        self.short = {}
+        for n in sorted({len(w) for w in self.words if len(w) < self.least}):
+            own = np.array([i for i, w in enumerate(self.words) if len(w) == n])
+            hashes = np.array([kernel.combine(self.words[i], n)[0] for i in own], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[order], own[order]
         seeds = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], np.int64))
         order = np.argsort(seeds, kind="stable")
@@ -115,8 +123,25 @@ def tile(text: np.ndarray, test: np.ndarray, least: int = LEAST) -> list[tuple[i
         size = max(least, size // 2)
 
 
+def _short_matches(items: Items, hashes: np.ndarray, at: np.ndarray):
+    """The same for items shorter than a seed: the first place where the whole item occurs."""
+    for n, (wanted, which) in items.short.items():
+        grams = kernel.combine(hashes, n)
+        lo, hi = np.searchsorted(wanted, grams, "left"), np.searchsorted(wanted, grams, "right")
+        place = np.flatnonzero(hi > lo)
+        doc = np.searchsorted(at, place, "right") - 1
+        whole = place + n <= at[doc + 1]
+        found: dict[tuple[int, int], int] = {}
+        for p, d in zip(place[whole].tolist(), doc[whole].tolist()):
+            for i in which[lo[p] : hi[p]].tolist():
+                found.setdefault((d, i), p)
+        for (d, i), p in found.items():
+            yield d, i, n, [(p, 0, n)]
+
+
 def _matches(items: Items, hashes: np.ndarray, at: np.ndarray, coverage: float):
     """``(text number, item number, covered words, tiles)`` of one block of texts."""
+    yield from _short_matches(items, hashes, at)
     least = items.least
     grams = kernel.combine(hashes, least)
     maybe = np.flatnonzero(items.maybe[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -185,7 +210,7 @@ def _blocks(benchmark: DataFrame, item: str, item_text: str, least: int):
     for k in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).toArrow()
         hashes, at = kernel.words(*kernel.text_bytes(part.column("t")), kernel.PLAIN)
-        long = [i for i in range(len(at) - 1) if at[i + 1] - at[i] >= least]
+        long = [i for i in range(len(at) - 1) if at[i + 1] > at[i]]
         names = part.column("item").to_pylist()
         yield benchmark.sparkSession.sparkContext.broadcast(Items([names[i] for i in long], [hashes[at[i] : at[i + 1]] for i in long], least))
 

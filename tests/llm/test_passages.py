@@ -121,3 +121,12 @@ def test_quotes_repeated_rows_chains_and_empty(spark):
     assert len(got) == 62 and max(r["depth"] for r in got) == 59
     assert sorted(r["reply_order"] for r in got) == list(range(62))
     assert quotes.conversations(frame.where("n > 100"), "c", "n", "t").count() == 0
+
+
+def test_items_shorter_than_a_seed(spark):
+    docs = documents(spark, [(1, "so: the Quick brown, fox! runs. the quick brown fox"), (2, "the quick brown"), (3, "fox the quick"), (4, "brown fox"), (5, None), (6, "fox")])
+    items = spark.createDataFrame([(1, "The quick brown fox"), (2, "fox"), (3, ""), (4, None), (5, "quick brown"), (5, "quick brown")], "item_id bigint, text string")
+    found = decontam.contaminated(docs, items).collect()
+    got = sorted((r["doc_id"], r["item_id"], r["covered"], r["coverage"], r["tiles"][0]["text_word"]) for r in found)
+    assert got == [(1, 1, 4, 1.0, 1), (1, 2, 1, 1.0, 4), (1, 5, 2, 1.0, 2), (1, 5, 2, 1.0, 2), (2, 5, 2, 1.0, 1), (2, 5, 2, 1.0, 1), (3, 2, 1, 1.0, 0), (4, 2, 1, 1.0, 1), (6, 2, 1, 1.0, 0)]
+    assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, items.where("item_id = 1")).collect()) == [2, 3, 4, 5, 6]
