@@ -17,12 +17,10 @@ from .snippets import LAUNCH_OPTIONS, LINES, SHIPPED_PAIRS
 
 @query(
     "join_01_related_distinct",
-    """SELECT DISTINCT p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
-       WHERE o_orderpriority = '1-URGENT'""",
+    """SELECT DISTINCT p_brand FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey""",
 )
 def join_01(t):
-    urgent = t.orders.where(F.col("o_orderpriority") == "1-URGENT")
-    return J.related_distinct(urgent, t.lineitem, t.part, ("o_orderkey", "l_orderkey"), ("l_partkey", "p_partkey"), ["p_brand"])
+    return J.related_distinct(t.orders, t.lineitem, t.part, ("o_orderkey", "l_orderkey"), ("l_partkey", "p_partkey"), ["p_brand"])
 
 
 @query(

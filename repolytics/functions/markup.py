@@ -66,10 +66,14 @@ def account_section(html: Column | str, account: str) -> Column:
 
 
 def failure_items(html: Column | str, account: str) -> Column:
-    """``array<struct<pid,hits>>`` of the account's unresolved identifiers, in report order."""
+    """``array<struct<pid,hits>>`` of the account's unresolved identifiers, in report order. An anchor
+    without a count two lines below is an error."""
     section = account_section(html, account)
     item = r'(?m)^<a [^"\n]*"[^"\n]*doi\.org/([^"\n]*)"[^\n]*\n[^\n]*\n[^(\n]*\(([^()\n]*)\)'
-    pids = F.regexp_extract_all(section, F.lit(item), 1)
+    anchors = F.regexp_extract_all(section, F.lit(r'(?m)^<a [^"\n]*"[^"\n]*doi\.org/'), 0)
+    found = F.regexp_extract_all(section, F.lit(item), 1)
+    failure = F.raise_error(F.lit("a failed identifier has no count")).cast("array<string>")
+    pids = F.when(F.size(anchors) != F.size(found), failure).otherwise(found)
     hits = F.regexp_extract_all(section, F.lit(item), 2)
     return F.zip_with(
         pids,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,19 @@ def make_session(cores: int = 8, app: str = "repolytics", shuffle_partitions: in
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they need not find it on a
+    path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_repolytics_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # Spark's file server hands the archive out for as long as the application runs
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="repolytics-"), "repolytics"), "zip", os.path.dirname(package), os.path.basename(package))
+    sc.addPyFile(archive)
+    sc._repolytics_shipped = True
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
