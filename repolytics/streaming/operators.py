@@ -43,7 +43,8 @@ def stream_state(df: DataFrame, keys: list[str], order: list[str], action: str)
 
 
 def stream_once(df: DataFrame, key: str) -> DataFrame:
-    """Each key once, however long ago it was first seen: every key is kept as state."""
+    """Each key once, however long ago it was first seen: every key is kept as state (on disk,
+    see ``runner.disk_state``)."""
     return df.select(key).dropDuplicates([key])
 
 

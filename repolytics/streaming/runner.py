@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,18 +60,29 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str | None = Non
     return reader.load(folder)
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Fixed value: Spark's state store that keeps the keys on disk instead of the executors' heap.
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def disk_state(spark: SparkSession):
+    """Stateful queries started inside keep their state on disk: it may outgrow the memory."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, DISK_STATE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
 def drain_append(df: DataFrame | BatchOperator, sink: str, checkpoint: str) -> None:
     """Process everything available and stop. The file sink commits each batch once."""
     if isinstance(df, BatchOperator):
         return drain_steps(df, sink, checkpoint)
-    query = (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = df.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint)
+    with disk_state(df.sparkSession):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -84,13 +96,9 @@ def drain_updates(df: DataFrame, sink: str, checkpoint: str) -> None:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    query = (
-        df.writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = df.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    with disk_state(df.sparkSession):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
 
 

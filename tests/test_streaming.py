@@ -1,10 +1,11 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from repolytics.operators import sequence
 from repolytics.streaming import operators as S
-from repolytics.streaming.runner import drain_append, drain_updates, file_stream, latest_updates, run_append
+from repolytics.streaming.runner import DISK_STATE, PROVIDER, drain_append, drain_updates, file_stream, latest_updates, run_append
 
 START = dt.datetime(2024, 1, 1)
 
@@ -93,7 +94,12 @@ def test_each_item_once(spark, tmp_path):
     land(spark, src, [(1, at(0), 1), (1, at(1), 1), (2, at(2), 1)])
     land(spark, src, [(2, at(3), 1), (3, at(4), 1)])
     schema = spark.read.parquet(src).schema
-    got = run_append(S.stream_once(file_stream(spark, src, schema, files_per_batch=1), "series"), "t-once")
+    sink = f"{tmp_path}/once"
+    drain_append(S.stream_once(file_stream(spark, src, schema, files_per_batch=1), "series"), sink, f"{tmp_path}/state")
+    got = spark.read.parquet(sink)
+    # keys are kept by the store on disk, and the session is left as it was
+    assert any(f.endswith((".zip", ".sst")) for _, _, files in os.walk(f"{tmp_path}/state") for f in files)
+    assert spark.conf.get(PROVIDER, None) != DISK_STATE
     assert sorted(r[0] for r in got.select(F.col("series")).collect()) == [1, 2, 3]
 
 
