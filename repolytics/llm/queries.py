@@ -71,15 +71,33 @@ def op9(spark, folder):
 
 
 def quoted_messages(turns):
-    """The conversations as a mailing list keeps them: every turn after the first quotes the turn
-    before it, and below that, one level deeper, the turn before that one."""
-    text = turns.groupBy("conv_id", "turn").agg(F.max(F.coalesce("text", F.lit(""))).alias("q"))
-    quote = lambda c, mark: F.concat(F.regexp_replace(c, r"(?m)^", mark), F.lit("\n"))
-    one = text.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("q").alias("q1"))
-    two = text.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("q").alias("q2"))
-    joined = turns.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
-    quoted = F.concat(F.coalesce(quote(F.col("q1"), "> "), F.lit("")), F.coalesce(quote(F.col("q2"), "> > "), F.lit("")))
-    return joined.select("conv_id", "turn", F.concat(quoted, F.coalesce("text", F.lit(""))).alias("text"))
+    """The conversations as a mailing list keeps them, with the turn that each one answers as ``answered``.
+
+    By the hash of conversation and turn a message answers one of the three turns before it and quotes that one whole,
+    trimmed (without its first line), with other line breaks, or in two parts around the answer with an older turn
+    one level deeper.
+    """
+    key = ["conv_id", "turn"]
+    text = turns.groupBy(*key).agg(F.max(F.coalesce("text", F.lit(""))).alias("q"))
+    back = F.pmod(F.xxhash64(*key, F.lit("source")), F.lit(3))
+    answered = F.when(F.col("turn") > 0, F.greatest(F.lit(0), F.col("turn") - 1 - back))
+    rows = turns.withColumns({"answered": answered, "older": answered - 1, "style": F.pmod(F.xxhash64(*key, F.lit("style")), F.lit(4))})
+    one = text.select("conv_id", F.col("turn").alias("answered"), F.col("q").alias("q1"))
+    two = text.select("conv_id", F.col("turn").alias("older"), F.col("q").alias("q2"))
+    joined = rows.join(one, ["conv_id", "answered"], "left").join(two, ["conv_id", "older"], "left")
+    mark = lambda c, sign: F.when(c.isNotNull(), F.concat(F.regexp_replace(c, r"(?m)^", sign), F.lit("\n"))).otherwise("")
+    lines = F.split("q1", "\n")
+    first, rest = lines[0], F.nullif(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n"), F.lit(""))
+    flowed = F.regexp_replace(F.regexp_replace("q1", "\n", " "), r"(.{40}\S*) ", "$1\n")
+    own = F.coalesce("text", F.lit(""))
+    style = F.col("style")
+    message = (
+        F.when(style == 0, F.concat(mark(F.col("q1"), "> "), own))
+        .when(style == 1, F.concat(mark(F.coalesce(rest, "q1"), "> "), own))
+        .when(style == 2, F.concat(mark(flowed, ">"), own))
+        .otherwise(F.concat(mark(F.col("q2"), "> > "), mark(first, "> "), own, F.lit("\n"), mark(rest, "> ")))
+    )
+    return joined.select(*key, message.alias("text"), "answered")
 
 
 @llm_query("op10_quotation_links")

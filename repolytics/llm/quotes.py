@@ -1,18 +1,25 @@
 """Quotation linking: who answers whom, from the quoted lines of messages.
 
-Every line starting with one or more ``>`` is quoted, as many levels deep as it has marks.
-Neighbouring lines of one level form a passage. Passages are normalised (lower case, letters and digits
-only) and hashed; each message's own passages (level 0) are the originals. A quoted passage
-joins the earliest message of its thread that holds the passage as its own, if that message comes earlier.
-A message answers the sender of its shallowest resolved quote, the later one among several; without
-any it opens a branch of its own. Conversations are rebuilt in reply order, depth first, without quotes.
-
-Only DataFrame functions are used. Originals are reduced to one row for each (thread, passage)
-before the join, so a passage that any number of messages repeat joins as one row.
-
-Defined results: null or empty texts keep their place with an empty body; a null thread groups the messages without
-one; ties on the position are ordered by text and repeated rows by a number of their own, so every row
-comes out once; an empty table gives an empty result; columns of any name may be present.
+Every line starting with one or more ``>`` is quoted, as many levels deep as it has marks. Level 0 is
+a message's own text. Each line is a passage, and so is each paragraph (neighbouring lines of one
+level without a blank one between). Passages are normalised (lower case, letters and digits only) and
+hashed: a trimmed quote meets its source by its lines, a reflowed one by its paragraphs, and quotes
+between answers count like any others.
+
+A quoted passage belongs to the latest message of its thread before the quoting one that holds the passage as
+its own. Its words are votes for that message. A message answers the message with most votes at its shallowest level
+that has any, the later one among several; without votes it opens a branch of its own.
+Conversations are rebuilt in reply order, depth first, without quotes.
+
+Only DataFrame functions are used. The latest holder of a passage is a running value over the
+holders and quoters of that passage, so no pairs are built, however many messages repeat it. Depths, roots,
+sizes of branches and places come from pointer doubling over numbers: a thread of any
+depth takes a logarithmic number of joins, and no row holds its ancestors.
+
+Defined results: null or empty texts keep their place with an empty body; a null thread groups the
+messages without one; messages of one position follow one another as the table is read; repeated rows are
+messages of their own; very long messages are cut inside their row; an empty table gives an empty
+result; columns of any name may be present.
 """
 
 from __future__ import annotations
@@ -20,8 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import with_position
-from .shared import written
+from ..operators.ordered import OrderedSeries, Running
+from .shared import release, written
 
 _MARKS = r"^(\s*>)+ ?"
 
@@ -36,84 +43,99 @@ def normalised(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """Lines of a text in order: ``level, body`` (marks taken off)."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("body")))
+    """Lines of a text in order: ``level, body`` (marks taken off), ``norm``."""
 
+    def line(x: Column) -> Column:
+        body = F.regexp_replace(x, _MARKS, "")
+        return F.struct(level(x).alias("level"), body.alias("body"), normalised(body).alias("norm"))
 
-def _starts() -> Column:
-    """Line numbers where the level changes, 0 first."""
-    at = lambda i: F.get("__lines", i)["level"]
-    return F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: (i == 0) | (at(F.greatest(i - 1, F.lit(0))) != at(i)))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), line)
 
 
-def split_messages(messages: DataFrame) -> DataFrame:
-    """One row per passage: ``m, thread, position, k, level, body, key``; ``m`` numbers the messages."""
-    cut = messages.withColumn("__lines", _lines(F.col("text"))).withColumn("__starts", _starts())
-    one = F.transform("__starts", lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get("__starts", i + 1), F.size("__lines")).alias("e")))
-    rows = cut.select("m", "thread", "position", "__lines", F.posexplode(one).alias("k", "se"))
-    part = F.slice("__lines", F.col("se.s") + 1, F.col("se.e") - F.col("se.s"))
-    body = F.array_join(F.transform(part, lambda x: x["body"]), "\n")
-    rows = rows.select("m", "thread", "position", "k", F.element_at("__lines", F.col("se.s") + 1)["level"].alias("level"), body.alias("body"))
-    return rows.withColumn("key", F.sha2(normalised(F.col("body")), 256))
+def _paragraphs() -> Column:
+    """Paragraphs of more than one line: ``level, norm``."""
+    at = lambda i: F.get("__lines", i)
 
+    def starts(i: Column) -> Column:
+        before = at(F.greatest(i - 1, F.lit(0)))
+        return (i == 0) | (before["level"] != at(i)["level"]) | (before["norm"] == "") | (at(i)["norm"] == "")
 
-def numbered(messages: DataFrame, thread: str, position: str, text: str) -> DataFrame:
-    """``m, thread, position, text``: messages with a number in (position, text) order of the thread."""
-    slim = messages.select(F.col(f"`{thread}`").alias("thread"), F.col(f"`{position}`").alias("position"), F.col(f"`{text}`").alias("text"))
-    return written(slim.withColumn("m", F.monotonically_increasing_id()), "quotes")
-
+    first = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), starts)
+    # as the variable of an outer function the starts are found once
+    def cut(s: Column) -> Column:
+        return F.transform(s, lambda a, k: F.slice("__lines", a + 1, F.coalesce(F.get(s, k + 1), F.size("__lines")) - a))
 
-def link(parts: DataFrame) -> DataFrame:
-    """``m, parent`` of messages with a resolved quote."""
-    own = parts.where((F.col("level") == 0) & (normalised(F.col("body")) != ""))
-    source = own.groupBy("thread", "key").agg(F.min(F.struct("position", "m")).alias("source"))
-    quoted = parts.where(F.col("level") > 0).select("thread", "key", "m", "position", "level").distinct()
-    same = quoted["thread"].eqNullSafe(source["thread"]) & (quoted["key"] == source["key"])
-    earlier = F.struct(quoted["position"], quoted["m"]) > F.col("source")
-    found = quoted.join(source, same).where(earlier).select(quoted["m"], quoted["level"], "source")
-    # shallowest level first, then the latest source
-    best = found.groupBy("m").agg(F.max(F.struct((-F.col("level")).alias("l"), "source")).alias("b"))
-    return best.select("m", F.col("b.source.m").alias("parent"))
+    runs = F.filter(F.transform(F.array(first), cut)[0], lambda run: F.size(run) > 1)
+    return F.transform(runs, lambda run: F.struct(run[0]["level"].alias("level"), F.array_join(F.transform(run, lambda x: x["norm"]), " ").alias("norm")))
 
 
-def bodies(parts: DataFrame) -> DataFrame:
-    """``m, body``: a message without its quotes."""
-    own = parts.where("level = 0").groupBy("m").agg(F.sort_array(F.collect_list(F.struct("k", "body"))).alias("p"))
-    return own.select("m", F.regexp_replace(F.array_join(F.transform("p", lambda x: x["body"]), "\n"), r"^\s+|\s+$", "").alias("body"))
+def read_messages(messages: DataFrame, thread: str, position: str, text: str) -> DataFrame:
+    """``m, thread, position, body, passages``: every message with a number, its own text, and its
+    distinct passages ``level, norm``."""
+    slim = messages.select(F.col(f"`{thread}`").alias("thread"), F.col(f"`{position}`").alias("position"), F.col(f"`{text}`").alias("text"))
+    cut = slim.select(F.monotonically_increasing_id().alias("m"), "thread", "position", _lines(F.col("text")).alias("__lines"))
+    own = F.array_join(F.transform(F.filter("__lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
+    single = F.transform("__lines", lambda x: F.struct(x["level"].alias("level"), x["norm"].alias("norm")))
+    passages = F.filter(F.array_distinct(F.concat(single, _paragraphs())), lambda p: p["norm"] != "")
+    return written(cut.select("m", "thread", "position", F.regexp_replace(own, r"^\s+|\s+$", "").alias("body"), passages.alias("passages")), "quotes")
+
+
+def link(rows: DataFrame) -> DataFrame:
+    """``m, source`` (position and number of the message answered) of messages with a resolved quote."""
+    parts = rows.select("m", "thread", "position", F.explode("passages").alias("p")).select(
+        "m", "thread", "position", F.col("p.level").alias("level"), F.unhex(F.sha2("p.norm", 256)).alias("key"), F.size(F.split("p.norm", " ")).alias("words")
+    )
+    # a message's quotes are looked up before its own passages count
+    ordered = parts.withColumn("owner", (F.col("level") == 0).cast("int"))
+    holder = Running("last", F.when(F.col("owner") == 1, F.struct("position", "m")), before=True)
+    found = OrderedSeries.of(ordered, ["thread", "key"], ["position", "m", "owner"]).add({"source": holder}).result()
+    votes = found.where("owner = 0 and source is not null").groupBy("m", "level", "source").agg(F.sum("words").alias("words"))
+    best = votes.groupBy("m").agg(F.max(F.struct((-F.col("level")).alias("l"), "words", "source")).alias("b"))
+    return best.select("m", "b.source")
+
+
+def _tree(linked: DataFrame) -> DataFrame:
+    """``m, depth, root, size`` of messages ``m, position, source``; ``size`` counts the branch below and itself."""
+    own = F.struct("position", "m")
+    up = F.col("source.m")
+    now = written(linked.select("m", up.alias("up"), up.isNotNull().cast("bigint").alias("depth"), F.coalesce("source", own).alias("root"), F.lit(1).cast("bigint").alias("size")), "quotes")
+    while not now.where("up is not null").isEmpty():
+        # ``up`` is 2^k steps above, ``size`` counts what is less than 2^k steps below
+        below = now.where("up is not null").groupBy(F.col("up").alias("m")).agg(F.sum("size").alias("more"))
+        above = now.select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
+        joined = now.join(above, "up", "left").join(below, "m", "left")
+        after = joined.select("m", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        after = written(after, "quotes")
+        release(now)
+        now = after
+    return now.drop("up")
+
+
+def _places(sized: DataFrame) -> DataFrame:
+    """``m, place``: the depth-first place in its thread of messages ``m, thread, position, source, size``.
+
+    A message stands behind its parent and the branches of its earlier siblings: the steps from the root
+    down to it add up.
+    """
+    siblings = sized.select("m", "thread", "position", F.col("source.m").alias("up"), "size")
+    before = OrderedSeries.of(siblings, ["thread", "up"], ["position", "m"]).add({"before": Running("sum", F.col("size"), before=True)}).result()
+    now = written(before.select("m", "up", (F.coalesce("before", F.lit(0)) + F.col("up").isNotNull().cast("bigint")).alias("place")), "quotes")
+    while not now.where("up is not null").isEmpty():
+        above = now.select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("place").alias("place2"))
+        after = written(now.join(above, "up", "left").select("m", F.col("up2").alias("up"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place")), "quotes")
+        release(now)
+        now = after
+    return now.drop("up")
 
 
 def conversations(messages: DataFrame, thread: str, position: str, text: str) -> DataFrame:
     """``thread, position, body, reply_to, depth, root, reply_order`` of every message.
 
     ``reply_to`` and ``root`` are positions; ``reply_order`` counts messages depth first from 0
-    within a thread. Depths double from round to round, so chains of any length close in a
-    logarithmic number of joins.
-    """
-    rows = numbered(messages, thread, position, text)
-    parts = written(split_messages(rows), "quotes")
-    parents = written(link(parts), "quotes")
-    edges = rows.select("m", "position").join(parents, "m", "left")
-    # jump: ancestor reached, steps to it, and the path of (position, m) down from it
-    place = F.struct("position", "m")
-    jump = written(edges.select("m", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.array(place).alias("path"), F.coalesce("parent", "m").alias("root")), "quotes")
-    while not jump.where("up is not null").isEmpty():
-        above = jump.select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("path").alias("p2"), F.col("root").alias("r2"))
-        done = jump.where("up is null")
-        more = jump.where("up is not null").join(above, "up").select("m", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.concat("p2", "path").alias("path"), F.col("r2").alias("root"))
-        jump = written(done.unionByName(more), "quotes")
-    spot = rows.select(F.col("m").alias("pm"), F.col("position").alias("reply_to"))
-    roots = rows.select(F.col("m").alias("root"), F.col("position").alias("root_position"))
-    out = rows.drop("text").join(jump.drop("up"), "m").join(roots, "root").join(parents, "m", "left").join(spot, F.col("parent") == F.col("pm"), "left").join(bodies(parts), "m", "left")
-    return reply_order(out.select("thread", "position", F.coalesce("body", F.lit("")).alias("body"), "reply_to", F.col("depth").cast("bigint").alias("depth"), F.col("root_position").alias("root"), "path"))
-
-
-def reply_order(linked: DataFrame) -> DataFrame:
-    """Add ``reply_order``: place in the depth-first order of the thread.
-
-    Paths sort parents before their answers and siblings by position. The sort is over ranges
-    of all threads, so a long thread spreads over tasks.
+    within a thread.
     """
-    placed = with_position(linked, F.col("thread"), F.col("path"), name="__place")
-    first = placed.groupBy(F.col("thread").alias("__thread")).agg(F.min("__place").alias("__first"))
-    joined = placed.join(first, F.col("thread").eqNullSafe(F.col("__thread")))
-    return joined.withColumn("reply_order", F.col("__place") - F.col("__first")).drop("path", "__place", "__first", "__thread")
+    rows = read_messages(messages, thread, position, text)
+    linked = written(rows.select("m", "thread", "position").join(link(rows), "m", "left"), "quotes")
+    sized = written(linked.join(_tree(linked), "m"), "quotes")
+    out = rows.select("m", "body").join(sized, "m").join(_places(sized), "m")
+    return out.select("thread", "position", "body", F.col("source.position").alias("reply_to"), "depth", F.col("root.position").alias("root"), F.col("place").alias("reply_order"))

@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from cases import documents, empty, prose
-from repolytics.llm import decontam, kernel, licenses, quotes
+from repolytics.llm import decontam, kernel, licenses, queries, quotes
 
 
 def hashes(text):
@@ -130,3 +132,91 @@ def test_items_shorter_than_a_seed(spark):
     got = sorted((r["doc_id"], r["item_id"], r["covered"], r["coverage"], r["tiles"][0]["text_word"]) for r in found)
     assert got == [(1, 1, 4, 1.0, 1), (1, 2, 1, 1.0, 4), (1, 5, 2, 1.0, 2), (1, 5, 2, 1.0, 2), (2, 5, 2, 1.0, 1), (2, 5, 2, 1.0, 1), (3, 2, 1, 1.0, 0), (4, 2, 1, 1.0, 1), (6, 2, 1, 1.0, 0)]
     assert sorted(r["doc_id"] for r in decontam.keep_clean(docs, items.where("item_id = 1")).collect()) == [2, 3, 4, 5, 6]
+
+
+def norm(text):
+    return " ".join(regex.findall(r"[\p{L}\p{N}]+", text.lower()))
+
+
+def quoted_by_hand(rows):
+    """The rules of the module, message by message; rows are in order of their positions."""
+    threads, out = {}, []
+    for thread, position, text in rows:
+        lines = []
+        for raw in re.split(r"\r?\n", text or ""):
+            marks = re.match(r"^(\s*>)*", raw).group(0)
+            lines.append((marks.count(">"), re.sub(r"^(\s*>)+ ?", "", raw)))
+        passages, run = set(), []
+        for depth, body in [*lines, (None, "")]:
+            if run and (depth != run[0][0] or not norm(body)):
+                passages.add((run[0][0], " ".join(norm(b) for _, b in run)))
+                run = []
+            if depth is not None and norm(body):
+                passages.add((depth, norm(body)))
+                run.append((depth, body))
+        seen = threads.setdefault(thread, [])
+        votes = {}
+        for depth, key in passages:
+            holders = [p for p, own in seen if key in own]
+            if depth and holders:
+                votes[depth, holders[-1]] = votes.get((depth, holders[-1]), 0) + len(key.split(" "))
+        parent = max(votes, key=lambda v: (-v[0], votes[v], v[1]))[1] if votes else None
+        seen.append((position, {k for d, k in passages if not d}))
+        out.append([thread, position, "\n".join(b for d, b in lines if not d).strip(), parent])
+    return out
+
+
+def depth_first(linked):
+    children, result = {}, {}
+    for thread, position, _, parent in linked:
+        children.setdefault((thread, parent), []).append(position)
+    for thread in {r[0] for r in linked}:
+        n, stack = 0, [(p, 0, p) for p in reversed(children.get((thread, None), []))]
+        while stack:
+            p, depth, root = stack.pop()
+            result[thread, p] = (depth, root, n)
+            n += 1
+            stack += [(c, depth + 1, root) for c in reversed(children.get((thread, p), []))]
+    return sorted(((t, p, body, parent, *result[t, p]) for t, p, body, parent in linked), key=str)
+
+
+def test_quotes_equal_brute_force(spark):
+    rng = random.Random(6)
+    said = [f"Sentence {i}, with words {i * 7}." for i in range(12)] + ["", "Thanks!"]
+    rows = []
+    for thread in ("a", "b", None):
+        texts = []
+        for position in range(40):
+            parts = ["\n".join(rng.choice(said) for _ in range(rng.randint(0, 3)))]
+            for _ in range(rng.randint(0, 3)):
+                if texts:
+                    quote = rng.choice(texts[-6:]).split("\n")
+                    quote = quote[rng.randint(0, 1) :] if rng.random() < 0.5 else [" ".join(quote)]
+                    parts.insert(rng.randint(0, len(parts)), "\n".join(rng.choice(["> ", ">", " >> "]) + q for q in quote))
+            texts.append("\n".join(parts))
+            rows.append((thread, position, texts[-1]))
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "thread string, position long, t string, body string, m long").repartition(5)
+    got = quotes.conversations(frame, "thread", "position", "t")
+    found = sorted((tuple(r) for r in got.select("thread", "position", "body", "reply_to", "depth", "root", "reply_order").collect()), key=str)
+    assert found == depth_first(quoted_by_hand(rows))
+
+
+def test_planted_quotes_are_found(spark):
+    """Every style of quoting leads to the turn that was answered, and the body is the turn."""
+    turns = [(c, n, "\n".join(f"Line {k} of turn {n} in talk {c}, long enough to be broken somewhere." for k in range((c + n) % 4 + 1))) for c in range(30) for n in range(8)]
+    table = spark.createDataFrame([*turns, (99, 0, None), (99, 1, "")], "conv_id long, turn long, text string")
+    planted = queries.quoted_messages(table)
+    want = {(r["conv_id"], r["turn"]): r["answered"] for r in planted.collect()}
+    got = quotes.conversations(planted, "conv_id", "turn", "text").collect()
+    own = {(c, n): t or "" for c, n, t in [*turns, (99, 0, None), (99, 1, "")]}
+    assert {(r["thread"], r["position"]): r["body"] for r in got} == own
+    assert {(r["thread"], r["position"]): r["reply_to"] for r in got if r["thread"] != 99} == {k: v for k, v in want.items() if k[0] != 99}
+    assert len({k: v for k, v in want.items() if v is not None and k[1] - v > 1}) > 60
+
+
+def test_a_very_long_message_and_a_deep_thread(spark):
+    long = "\n".join(f"row {i}" for i in range(5000))
+    rows = [("x", 0, long), ("x", 1, "> row 4321\nshort")] + [("d", i, (f"> step {i - 1}\n" if i else "") + f"step {i}") for i in range(300)]
+    got = {(r["thread"], r["position"]): r for r in quotes.conversations(spark.createDataFrame(rows, "c string, n long, t string"), "c", "n", "t").collect()}
+    assert got["x", 1]["reply_to"] == 0 and got["x", 0]["body"] == long
+    assert [got["d", i]["depth"] for i in range(300)] == [got["d", i]["reply_order"] for i in range(300)] == list(range(300))
