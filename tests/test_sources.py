@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from repolytics.functions.text import export_name
 from repolytics.sources import readers as R
+from repolytics.sources import splits
 from repolytics.sources import writers as W
 
 LOG = T.StructType([T.StructField(c, T.StringType()) for c in ("pid", "uri", "method", "ip", "time")])
@@ -126,7 +127,9 @@ def small_splits(spark):
     spark.conf.set(key, old)
 
 
-def test_ordered_log_of_many_splits(spark, tmp_path, small_splits):
+@pytest.mark.parametrize("most", [splits.MOST_BLOCKS, 0])
+def test_ordered_log_of_many_splits(spark, tmp_path, small_splits, monkeypatch, most):
+    monkeypatch.setattr(splits, "MOST_BLOCKS", most)
     texts = {"a.log": [f"line {i} " + "x" * (i % 90) for i in range(300)], "b.log": ["", "one", ""], "c.log": ["y" * 500]}
     for name, lines in texts.items():
         put(f"{tmp_path}/logs/{name}", "\n".join(lines) + "\n")
@@ -140,8 +143,9 @@ def test_ordered_log_of_many_splits(spark, tmp_path, small_splits):
 
 def test_ordered_log_reads_no_whole_file(spark, tmp_path):
     path = put(f"{tmp_path}/one.log", "a\nb\n")
-    plan = R.read_log(spark, path, ordered=True)._jdf.queryExecution().toString()
-    assert "wholetext" not in plan.lower() and "Sort" not in plan.split("== Physical Plan ==")[0]
+    plan = R.read_log(spark, path, ordered=True)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    # the lines stay where they are read: only the rows of blocks are exchanged
+    assert "wholetext" not in plan.lower() and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
 def sheet(rows):
