@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import written
-from .tokens import encoded
+from .tokens import encoded, forget
 
 WINDOW = 1024
 
@@ -166,6 +166,7 @@ def pieces(docs: DataFrame, path: str, id: str, text: str, end: int, window: int
                 row, start, length, crc, total, number, data = zip(*rows)
                 arrays = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array([part] * len(rows), pa.int32()), pa.array(number, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(data, pa.binary())][: 8 if with_ids else 7], ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "number", "ids"][: 8 if with_ids else 7])
+        forget(path)
 
     slim = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("t"))
     return slim.mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, number bigint{extra}")

@@ -160,10 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str =
     return fit([(np.frombuffer(r["number"], np.int32), np.frombuffer(r["value"], np.float32), r["y"]) for r in rows])
 
 
-def score(docs: DataFrame, model: Machine, id: str = "doc_id", text: str = "text", length: str | None = "n_chars", keep: list[str] | None = None) -> DataFrame:
-    """``score`` beside the columns ``keep`` (default: the id) of every row."""
+def score(docs: DataFrame, model: Machine, id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """``id`` and ``__score`` of every row."""
     length = length if length in docs.columns else None
-    names = [id] if keep is None else keep
+    names = [id]
     held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
     def run(batches):
@@ -185,7 +185,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     return scored.select(id, held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows the classifier accepts, with all columns."""
-    scored = score(docs, train(docs, labels, id=id, text=text), id, text, keep=docs.columns)
-    return scored.where(F.col("__score") >= THRESHOLD).drop("__score")
+def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """Rows the classifier accepts, with all columns: texts go to the tasks once, rejected rows stay there."""
+    names = docs.columns
+    column, given = names.index(text), names.index(length) if length in names else None
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id=id, text=text, length=length))  # fixed size
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            sizes = np.full(n, -1) if given is None else np.asarray(batch.column(given).cast(pa.int64()).fill_null(-1))
+            data, offsets = kernel.text_bytes(batch.column(column))
+            keep = np.zeros(n, bool)
+            for i, j in kernel.slices(offsets):
+                found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sizes[i:j])
+                keep[i:j] = held.value.scores(*found) >= THRESHOLD
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -156,6 +156,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget(path: str) -> None:
+    """Give up what the worker holds, at the end of a task: an idle worker keeps its memory."""
+    if path in _ENCODERS:
+        _ENCODERS[path]._clear()
+    pa.default_memory_pool().release_unused()
+
+
 def encoded(batch: pa.RecordBatch, column: int, path: str):
     """Yield ``(first row, ids, offsets)`` for blocks of rows of a batch."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")

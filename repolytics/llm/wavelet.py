@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from ..session import scratch_path
 from .shared import written
-from .tokens import encoded, encoder
+from .tokens import encoded, encoder, forget
 
 MAGIC = b"WVMX1\n"
 SHARD_TOKENS = 4_000_000
@@ -218,6 +218,7 @@ def write_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
                         shard, held, names, lengths, total = shard + 1, [], [], [], 0
         if names:
             yield flush()
+        forget(path)
 
     return written(ordered.mapInArrow(run, "file string, part int, shard int, tokens bigint").withColumn("folder", F.lit(folder)))
 
