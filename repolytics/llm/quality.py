@@ -29,6 +29,7 @@ SAMPLE = 12_000
 BITS, FACTORS, BINS, STATS = 16, 8, 32, 11
 SIZE = (1 << BITS) + STATS * BINS
 THRESHOLD = 0.3
+ROWS = 2048
 
 # byte classes: 0 upper, 1 lower, 2 digit, 3 blank, 4 line end, 5 sentence marks, 6 other ASCII, 7 non-ASCII
 _CLASS = np.full(256, 6, np.int64)
@@ -193,13 +194,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            sizes = np.full(n, -1) if given is None else np.asarray(batch.column(given).cast(pa.int64()).fill_null(-1))
-            data, offsets = kernel.text_bytes(batch.column(column))
-            keep = np.zeros(n, bool)
-            for i, j in kernel.slices(offsets):
-                found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sizes[i:j])
-                keep[i:j] = held.value.scores(*found) >= THRESHOLD
-            yield batch.filter(pa.array(keep))
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                sizes = np.full(len(part), -1) if given is None else np.asarray(part.column(given).cast(pa.int64()).fill_null(-1))
+                data, offsets = kernel.text_bytes(part.column(column))
+                keep = np.zeros(len(part), bool)
+                for i, j in kernel.slices(offsets):
+                    found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sizes[i:j])
+                    keep[i:j] = held.value.scores(*found) >= THRESHOLD
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

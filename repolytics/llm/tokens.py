@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from . import kernel
 
 # Bytes that the looked-up pieces of one worker may hold; a block's pieces come on top.
-MOST_BYTES = 56 << 20
+MOST_BYTES = 40 << 20
 _ENTRY = 160
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # a space beside white space of any kind: such texts are cut by the careful pattern
 _BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
