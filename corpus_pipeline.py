@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written and read
 back as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+In every stage a null text is an empty one, texts of any length are read whole, an empty table
+gives an empty result, and columns of any further name are kept. What a stage does with ids,
+repeated rows and ties is stated with it.
 """
 
 from __future__ import annotations
@@ -15,27 +19,43 @@ from repolytics.llm.shared import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier accepts; it is fitted on the labelled rows among ``docs``."""
+    """Documents the classifier accepts; it is fitted on the labelled rows among ``docs``.
+
+    Rows are judged one by one: repeated rows stay or go together, a null id is never a labelled
+    row. A score equal to the threshold is accepted; without any label every row is.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id.
+
+    A null id is smaller than any other. Of rows that share text and id the one whose other columns
+    are largest stays.
+    """
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked on five-word shingles at 0.8 or more, the one with the smallest id."""
+    """Of documents linked on five-word shingles at 0.8 or more, the one with the smallest id.
+
+    Documents without words and rows without id are linked with nothing and stay. Rows that share an id
+    stay or go together.
+    """
     return minhash.keep_one(docs, spec=minhash.NearDup(width=5, percent=80))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not cover a test item."""
+    """Documents that do not cover a test item to 0.6 or more; repeated rows stay or go together."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 1024 tokens."""
+    """Pieces of the remaining documents in sequences of 1024 tokens.
+
+    An empty text is its end token. Repeated rows are packed as documents of their own under one id; which of
+    several pieces of one length goes to which sequence follows the order in which tasks read them.
+    """
     return packing.pack(docs, vocabulary(), end=0, window=1024)
 
 
