@@ -14,7 +14,7 @@ Conversations are rebuilt in reply order, depth first, without quotes.
 Only DataFrame functions are used. The latest holder of a passage is a running value over the
 holders and quoters of that passage, so no pairs are built, however many messages repeat it. Depths, roots,
 sizes of branches and places come from pointer doubling over numbers: a thread of any
-depth takes a logarithmic number of joins, and no row holds its ancestors.
+depth takes a logarithmic number of joins, of the messages that are that deep, and no row holds its ancestors.
 
 Defined results: null or empty texts keep their place with an empty body; a null thread groups the
 messages without one; messages of one position follow one another as the table is read; repeated rows are
@@ -95,20 +95,29 @@ def link(rows: DataFrame) -> DataFrame:
 
 
 def _tree(linked: DataFrame) -> DataFrame:
-    """``m, depth, root, size`` of messages ``m, position, source``; ``size`` counts the branch below and itself."""
+    """``m, depth, root, size`` of messages ``m, position, source``; ``size`` counts the branch below and itself.
+
+    Only messages with an ancestor 2^k steps above take part in round k; the others are settled.
+    """
     own = F.struct("position", "m")
     up = F.col("source.m")
-    now = written(linked.select("m", up.alias("up"), up.isNotNull().cast("bigint").alias("depth"), F.coalesce("source", own).alias("root"), F.lit(1).cast("bigint").alias("size")), "quotes")
-    while not now.where("up is not null").isEmpty():
-        # ``up`` is 2^k steps above, ``size`` counts what is less than 2^k steps below
-        below = now.where("up is not null").groupBy(F.col("up").alias("m")).agg(F.sum("size").alias("more"))
-        above = now.select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        joined = now.join(above, "up", "left").join(below, "m", "left")
-        after = joined.select("m", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+    start = linked.select("m", up.alias("up"), up.isNotNull().cast("bigint").alias("depth"), F.coalesce("source", own).alias("root"), F.lit(1).cast("bigint").alias("size"))
+    settled, counts = start.where("up is null"), linked.select("m", F.lit(1).cast("bigint").alias("size"))
+    now = written(start.where("up is not null"), "quotes")
+    while not now.isEmpty():
+        # ``size`` counts what is less than 2^k steps below: it is news to the ancestor
+        below = written(now.groupBy(F.col("up").alias("m")).agg(F.sum("size").alias("size")), "quotes")
+        counts = counts.unionByName(below)
+        state = now.select("m", "up", "depth", "root").unionByName(settled.select("m", "up", "depth", "root"))
+        above = state.select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
+        grown = now.join(below.withColumnRenamed("size", "more"), "m", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+        after = grown.join(above, "up").select("m", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"), "size")
         after = written(after, "quotes")
+        settled = settled.unionByName(after.where("up is null"))
         release(now)
-        now = after
-    return now.drop("up")
+        now = written(after.where("up is not null"), "quotes")
+    sizes = counts.groupBy("m").agg(F.sum("size").alias("size"))
+    return settled.drop("up", "size").join(sizes, "m")
 
 
 def _places(sized: DataFrame) -> DataFrame:
@@ -119,13 +128,13 @@ def _places(sized: DataFrame) -> DataFrame:
     """
     siblings = sized.select("m", "thread", "position", F.col("source.m").alias("up"), "size")
     before = OrderedSeries.of(siblings, ["thread", "up"], ["position", "m"]).add({"before": Running("sum", F.col("size"), before=True)}).result()
-    now = written(before.select("m", "up", (F.coalesce("before", F.lit(0)) + F.col("up").isNotNull().cast("bigint")).alias("place")), "quotes")
-    while not now.where("up is not null").isEmpty():
-        above = now.select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("place").alias("place2"))
-        after = written(now.join(above, "up", "left").select("m", F.col("up2").alias("up"), (F.col("place") + F.coalesce("place2", F.lit(0))).alias("place")), "quotes")
-        release(now)
-        now = after
-    return now.drop("up")
+    start = written(before.select("m", "up", (F.coalesce("before", F.lit(0)) + F.col("up").isNotNull().cast("bigint")).alias("place")), "quotes")
+    settled, now = start.where("up is null"), start.where("up is not null")
+    while not now.isEmpty():
+        above = now.unionByName(settled).select(F.col("m").alias("up"), F.col("up").alias("up2"), F.col("place").alias("place2"))
+        after = written(now.join(above, "up").select("m", F.col("up2").alias("up"), (F.col("place") + F.col("place2")).alias("place")), "quotes")
+        settled, now = settled.unionByName(after.where("up is null")), after.where("up is not null")
+    return settled.drop("up")
 
 
 def conversations(messages: DataFrame, thread: str, position: str, text: str) -> DataFrame:
