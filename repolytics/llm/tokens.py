@@ -4,7 +4,7 @@ A byte-level BPE vocabulary splits texts by a pattern before merging. A single s
 characters that are not white space always starts a new part of that pattern, so texts are
 cut there, and the ids of a text are those of its pieces one after the other. Pieces repeat,
 hence each is encoded once and looked up afterwards. What is held for that, pieces and their
-parts alike, is counted in bytes and given up beyond ``MOST_BYTES``.
+parts alike, is counted in bytes; beyond ``MOST_BYTES`` only pieces stay that several blocks had.
 Vocabularies of another kind are encoded text by text.
 """
 
@@ -59,9 +59,30 @@ class Encoder:
         self.slots: dict[str, int] = {}
         self.known: dict[str, list[int]] = {}
         self.held = 0
+        # how many blocks had each piece
+        self.seen = np.zeros(0, np.int32)
         self.ids, self.starts, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.used = 0
 
+    def _trim(self) -> None:
+        """Keep the pieces that most blocks had, half the bound at most."""
+        names, sizes = list(self.slots), self.lengths[0]
+        cost = np.array([len(n) for n in names], np.int64) + 4 * sizes + _ENTRY
+        for least in (2, 3, 5, 9, 17):
+            keep = np.flatnonzero(self.seen >= least)
+            if int(cost[keep].sum()) <= self.most // 2:
+                break
+        else:
+            keep = keep[:0]
+        starts, sizes = self.starts[0][keep], sizes[keep]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[0][np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+        self._clear()
+        self.slots = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, self.starts, self.lengths = [ids], [ends - sizes], [sizes]
+        self.used, self.held, self.seen = total, int(cost[keep].sum()), np.ones(len(keep), np.int32)
+
     def _part(self, part: str) -> list[int]:
         slot = self.slots.get(part)
         if slot is not None and slot < len(self.starts[0]):
@@ -106,7 +127,10 @@ class Encoder:
             for name in ("ids", "starts", "lengths"):
                 parts = getattr(self, name)
                 setattr(self, name, [np.concatenate(parts)] if len(parts) > 1 else parts)
-        return np.array(found, np.int64)
+            self.seen = np.concatenate([self.seen, np.zeros(len(lengths), np.int32)])
+        found = np.array(found, np.int64)
+        self.seen[found] += 1
+        return found
 
     def _lists(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and offsets of rows given as lists of pieces; all but a row's first follow a space."""
@@ -114,7 +138,7 @@ class Encoder:
         flat = lists.values.slice(at[0], at[-1] - at[0])
         at -= at[0]
         if self.held > self.most:
-            self._clear()
+            self._trim()
         coded = flat.dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
         slot_of = self._find([" " + p for p in coded.dictionary.to_pylist()])
@@ -156,13 +180,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def forget(path: str) -> None:
-    """Give up what the worker holds, at the end of a task: an idle worker keeps its memory."""
-    if path in _ENCODERS:
-        _ENCODERS[path]._clear()
-    pa.default_memory_pool().release_unused()
-
-
 def encoded(batch: pa.RecordBatch, column: int, path: str):
     """Yield ``(first row, ids, offsets)`` for blocks of rows of a batch."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")
