@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from . import kernel
 
 # Bytes that the looked-up pieces of one worker may hold; a block's pieces come on top.
-MOST_BYTES = 40 << 20
+MOST_BYTES = 64 << 20
 _ENTRY = 160
 BLOCK = 2 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -52,6 +52,7 @@ class Encoder:
         self.letters = _byte_letters()
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
+        self.has_special = self.special is not None
         self.bits = max(1, int(self.whole.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self._clear()
 
@@ -99,7 +100,7 @@ class Encoder:
         return [t.id for t in self.whole.model.tokenize(name)]
 
     def _piece(self, piece: str) -> list[int]:
-        if self.special is not None and self.special.search(piece):
+        if self.has_special and self.special.search(piece):
             return self.whole.encode(piece, add_special_tokens=False).ids
         if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
             return self._merge(piece)
@@ -159,6 +160,7 @@ class Encoder:
         if not self.byte_level:
             found = [e.ids for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        self.has_special = self.special is not None and pc.any(pc.match_substring_regex(texts, self.special.pattern)).as_py()
         careful = np.asarray(pc.match_substring_regex(texts, _BESIDE))
         if not careful.any():
             return self._lists(pc.split_pattern(texts, " "))
