@@ -21,53 +21,77 @@ from .reports import due_months
 
 REPORT_GLOB = "resolutions_*.html.gz"
 _NAME = r"resolutions_(\d{2}_\d{4})\.html\.gz"
+# Lines of a file whose marks are followed in one row.
+STRETCH = 1024
 _SEEN = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def failed_sections(lines: DataFrame, file: str, account: str) -> DataFrame:
-    """First and last line of the account's failure lists, ``file, sections``.
+    """``file, __stretch, sections``: first and last line of the account's failure lists within each
+    stretch of ``STRETCH`` lines that holds a mark or an anchor.
 
     Only marker lines count: the account's heading, list ends and list starts. Behind a heading
     the first end closes the resolved list, the next start opens the failed one, and the next
     end closes it; then the next heading is looked for. A list that is never closed goes on to the
-    end. A report has a few markers for each account.
+    end. A file may hold any number of lists: what a stretch makes of each of the four steps it
+    may begin with is found side by side, these go one after the other over the file, and each
+    stretch then finds its own sections from the step it really begins with.
     """
     line = F.col("line")
     close, open_, head = line.contains("</ol>"), line.contains("<ol>"), line.contains(account)
+    mark = F.when(close | open_ | head, F.struct("line_no", head.alias("head"), close.alias("close"), open_.alias("open")))
+    rows = lines.where(close | open_ | head | line.startswith("<a ")).select(file, _stretch(), mark.alias("m"))
+    marked = rows.groupBy(file, "__stretch").agg(F.array_sort(F.collect_list("m")).alias("marks"))
+
     # one line may carry several marks: the order of tests is that of the search above
-    marks = lines.where(close | open_ | head).select(file, F.struct("line_no", head.alias("head"), close.alias("close"), open_.alias("open")).alias("m"))
-    ordered = marks.groupBy(file).agg(F.array_sort(F.collect_list("m")).alias("marks"))
-    start = F.struct(F.lit(0).alias("step"), F.lit(0).cast("bigint").alias("first"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("found"))
+    def after(step: Column, m: Column) -> Column:
+        moves = [m["head"], m["close"], ~m["close"] & m["open"], m["close"]]
+        return F.when(F.element_at(F.array(*moves), step + 1), (step + 1) % 4).otherwise(step)
+
+    ends = F.array(*[F.aggregate("marks", F.lit(s), after) for s in range(4)])
+    files = marked.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("__stretch", ends.alias("ends")))).alias("runs"))
+    none = F.array().cast("array<struct<__stretch: bigint, step: int>>")
+
+    def run(acc: Column, r: Column) -> Column:
+        here = F.array(F.struct(r["__stretch"].alias("__stretch"), acc["step"].alias("step")))
+        return F.struct(F.element_at(r["ends"], acc["step"] + 1).alias("step"), F.concat(acc["begun"], here).alias("begun"))
+
+    begun = F.aggregate("runs", F.struct(F.lit(0).alias("step"), none.alias("begun")), run, lambda acc: acc["begun"])
+    steps = files.select(file, F.explode(begun).alias("b")).select(file, "b.__stretch", "b.step")
+    start = F.struct(F.col("step"), F.lit(-1).cast("bigint").alias("first"), F.array().cast("array<struct<first: bigint, last: bigint>>").alias("found"))
+
+    def section(acc: Column, last: Column) -> Column:
+        return F.concat(acc["found"], F.array(F.struct(acc["first"].alias("first"), last.alias("last"))))
 
     def step(acc: Column, m: Column) -> Column:
-        def to(n: int, first: Column, found: Column) -> Column:
-            return F.struct(F.lit(n).alias("step"), first.alias("first"), found.alias("found"))
-
-        section = F.array(F.struct(acc["first"].alias("first"), m["line_no"].alias("last")))
-        return (
-            F.when((acc["step"] == 0) & m["head"], to(1, acc["first"], acc["found"]))
-            .when((acc["step"] == 1) & m["close"], to(2, acc["first"], acc["found"]))
-            .when((acc["step"] == 2) & ~m["close"] & m["open"], to(3, m["line_no"].cast("bigint"), acc["found"]))
-            .when((acc["step"] == 3) & m["close"], to(0, acc["first"], F.concat(acc["found"], section)))
-            .otherwise(acc)
+        now, number = after(acc["step"], m), m["line_no"].cast("bigint")
+        moved = now != acc["step"]
+        return F.struct(
+            now.alias("step"),
+            F.when(moved & (now == 3), number).otherwise(acc["first"]).alias("first"),
+            F.when(moved & (now == 0), section(acc, number)).otherwise(acc["found"]).alias("found"),
         )
 
     def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["first"].alias("first"), F.lit(1 << 62).alias("last")))
-        return F.when(acc["step"] == 3, F.concat(acc["found"], rest)).otherwise(acc["found"])
+        return F.when(acc["step"] == 3, section(acc, F.lit(1 << 62))).otherwise(acc["found"])
+
+    found = keyed_join(marked, steps, [file, "__stretch"]).select(file, "__stretch", F.aggregate("marks", start, step, finish).alias("sections"))
+    return found.where(F.size("sections") > 0)
+
 
-    return ordered.select(file, F.aggregate("marks", start, step, finish).alias("sections")).where(F.size("sections") > 0)
+def _stretch() -> Column:
+    return F.floor(F.col("line_no") / STRETCH).alias("__stretch")
 
 
 def failure_lines(lines: DataFrame, file: str, account: str) -> DataFrame:
     """``file, line_no, pid, hits`` of the account's failed identifiers, from numbered lines
     ``file, line_no, line``. An anchor without a count two lines below is an error."""
-    inside = F.exists("sections", lambda s: (F.col("line_no") > s["first"]) & (F.col("line_no") < s["last"] + 2))
-    rows = keyed_join(lines, failed_sections(lines, file, account), file).where(inside)
     in_list = F.exists("sections", lambda s: (F.col("line_no") > s["first"]) & (F.col("line_no") < s["last"]))
-    anchors = rows.where(in_list & F.col("line").startswith("<a "))
+    links = lines.where(F.col("line").startswith("<a ")).select(file, "line_no", "line", _stretch())
+    anchors = keyed_join(links, failed_sections(lines, file, account), [file, "__stretch"]).where(in_list)
     pid = F.regexp_extract("line", r'^[^"]*"[^"]*doi\.org/([^"]*)"', 1)
-    counts = rows.select(file, (F.col("line_no") - 2).alias("line_no"), F.regexp_extract("line", r"\(([^()]*)\)", 1).alias("count"))
+    count = F.regexp_extract("line", r"\(([^()]*)\)", 1)
+    counts = lines.where(F.col("line").contains("(")).select(file, (F.col("line_no") - 2).alias("line_no"), count.alias("count"))
     found = anchors.select(file, "line_no", F.concat(F.lit("doi:"), pid).alias("pid")).join(counts, [file, "line_no"], "left")
     failure = F.raise_error(F.concat(F.lit("no count for "), "pid")).cast("bigint")
     hits = F.trim("count").try_cast("bigint")

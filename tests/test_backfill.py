@@ -1,9 +1,12 @@
 import datetime as dt
 import gzip
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from repolytics.plans import backfill as B
 from repolytics.plans.backfill import ResolutionBackfill, failure_lines
 
 
@@ -79,3 +82,36 @@ def test_sections_of_an_account_named_twice(spark):
     # the last list is never closed and goes on to the end
     assert sorted((r["pid"], r["hits"]) for r in failure_lines(lines, "path", "ACME.REPO").collect()) == [("doi:10.5072/a", 1), ("doi:10.5072/b", 2), ("doi:10.5072/open", 1)]
     assert failure_lines(lines, "path", "NOBODY").count() == 0
+
+
+def walked(lines, account):
+    """Line by line: numbers of the anchors inside the account's failure lists."""
+    step, found = 0, []
+    for n, line in lines:
+        if step == 3 and line.startswith("<a ") and "</ol>" not in line:
+            found.append(n)
+        move = (account in line, "</ol>" in line, "</ol>" not in line and "<ol>" in line, "</ol>" in line)[step]
+        step = (step + 1) % 4 if move else step
+    return found
+
+
+@pytest.mark.parametrize("stretch", [3, 1024])
+def test_lists_across_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(B, "STRETCH", stretch)
+    rng, pool = random.Random(5), ["ACME", "<ol>", "</ol>", "</ol><ol>", "ACME</ol>"] + ['<a href="https://doi.org/x">(1)'] * 3
+    texts = {f: [(i, rng.choice(pool)) for i in range(1, 400)] for f in ("f", "g")}
+    # one long list, closed far away
+    texts["h"] = [(1, "ACME"), (2, "</ol>"), (3, "<ol>"), *[(i, pool[-1]) for i in range(4, 60)], (60, "</ol>"), (61, pool[-1]), (62, pool[-1])]
+    # every anchor has a count two lines below
+    lines = [(f, n, line if line.startswith("<a ") else line + "(7)") for f, text in texts.items() for n, line in [*text, (len(text) + 1, ""), (len(text) + 2, "")]]
+    df = spark.createDataFrame(lines, "path string, line_no bigint, line string").repartition(5)
+    got = sorted((r["path"], r["line_no"]) for r in failure_lines(df, "path", "ACME").collect())
+    assert got == sorted((f, n) for f, text in texts.items() for n in walked(text, "ACME"))
+
+
+def test_no_row_holds_all_lists_of_a_file(spark):
+    text = report([("a", 1)], [("b", 2)]).split("\n")
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text * 1000, 1)], "path string, line_no bigint, line string")
+    assert failure_lines(lines, "path", "ACME.REPO").count() == 1000
+    most = B.failed_sections(lines, "path", "ACME.REPO").agg(F.max(F.size("sections"))).first()[0]
+    assert most < 100
