@@ -27,6 +27,7 @@ from . import kernel
 from .shared import fold, written
 
 CHUNK_BYTES = 24 << 20
+TOKENS = 1 << 18
 PART_KEYS = 3_000_000
 FOLDS, HELD = 7, 2
 _END = np.uint64(0xE1D5EED5A17B0C3D)
@@ -35,12 +36,28 @@ BUCKETS, STEPS = 48, 4
 _LEVELS = 64 * STEPS
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and the place of each value among them, in 4 bytes each."""
+    order = np.argsort(values)
+    if len(order) < 1 << 31:
+        order = order.astype(np.int32)
+    ranked = values[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    uniq = ranked[new]
+    del ranked
+    place = np.empty(len(order), order.dtype)
+    place[order] = np.cumsum(new, dtype=order.dtype) - order.dtype.type(1)
+    return uniq, place
+
+
 class Chunk:
     """Tokens of some documents, their distinct words and pairs, and the keys sent for them."""
 
     def __init__(self, ids: pa.Array, texts, held: np.ndarray, parts: int):
         data, offsets = kernel.text_bytes(texts)
         hashes, at = kernel.words(data, offsets)
+        del data, offsets, texts
         n = len(held)
         self.ids, self.held, lengths = ids, held, np.diff(at) + 1
         ends = np.cumsum(lengths)
@@ -49,21 +66,37 @@ class Chunk:
         inner = np.ones(total, bool)
         inner[ends - 1] = False
         tokens[inner] = hashes
-        before = np.empty(total, np.uint64)
-        before[1:] = tokens[:-1]
-        if n:
-            before[ends - lengths] = _START
+        del hashes, inner
         self.first, self.lengths = ends - lengths, lengths
         self.train = np.repeat(~held, lengths)
-        self.words, self.word = np.unique(tokens, return_inverse=True)
-        self.pairs, self.pair = np.unique(kernel.mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens), return_inverse=True)
-        # the context's count is the count of the word before; the start has the documents
-        self.context = np.empty(total, np.int64)
-        self.context[1:] = self.word[:-1]
+        self.words, self.word = _ranked(tokens)
+        pairs = np.empty(total, np.uint64)
+        pairs[1:] = tokens[:-1]
         if n:
-            self.context[self.first] = -1
+            pairs[self.first] = _START
+        pairs *= np.uint64(0x9E3779B97F4A7C15)
+        pairs += tokens
+        del tokens
+        pairs = kernel.mix(pairs)
+        self.pairs, self.pair = _ranked(pairs)
         self.parts = parts
 
+    def context(self, lo: int, hi: int, word: np.ndarray, starts: int) -> np.ndarray:
+        """Counts of the contexts of a range of tokens: of the word before, at a start of the documents."""
+        out = np.empty(hi - lo, np.int64)
+        out[1:] = word[self.word[lo : hi - 1]]
+        if lo and hi > lo:
+            out[0] = word[self.word[lo - 1]]
+        i, j = np.searchsorted(self.first, [lo, hi])
+        out[self.first[i:j] - lo] = starts
+        return out
+
+    def blocks(self):
+        """Row and token ranges of about ``TOKENS`` tokens; a longer text is a range of its own."""
+        bounds = np.append(self.first, len(self.word))
+        for i, j in kernel.slices(bounds, TOKENS):
+            yield i, j, int(bounds[i]), int(bounds[j])
+
     def keys(self, kind: int):
         keys, place = ((self.words, self.word), (self.pairs, self.pair))[kind]
         counts = np.bincount(place, self.train, minlength=len(keys)).astype(np.int64)
@@ -179,16 +212,18 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out:
     def open_chunk(left: pa.Table, right: pa.Table):
         c = _chunk(left, parts)
         got = dict(zip(zip(right.column("kind").to_pylist(), right.column("part").to_pylist()), right.column("totals").to_pylist()))
-        word, pair = c.totals(0, got), c.totals(1, got)
-        context = np.where(c.context >= 0, word[np.maximum(c.context, 0)], starts)
-        return c, word[c.word], pair[c.pair], context
+        return c, c.totals(0, got), c.totals(1, got)
 
     def statistics(key, left, right):
-        c, word, pair, context = open_chunk(left, right)
-        t = c.train
-        # the token itself is taken out of all three counts; its bucket is that of the counts kept
-        w, p, x = word[t] - 1, pair[t] - 1, context[t] - 1
-        cells, n = _cells(bucket(x), p / np.maximum(x, 1), w / max(n_train - 1, 1), np.ones(len(w)))
+        c, word, pair = open_chunk(left, right)
+        found = [(np.zeros(0, np.int64), np.zeros(0))]
+        for _, _, lo, hi in c.blocks():
+            t = c.train[lo:hi]
+            # the token itself is taken out of all three counts; its bucket is that of the counts kept
+            w, p, x = word[c.word[lo:hi][t]] - 1, pair[c.pair[lo:hi][t]] - 1, c.context(lo, hi, word, starts)[t] - 1
+            found.append(_cells(bucket(x), p / np.maximum(x, 1), w / max(n_train - 1, 1), np.ones(len(w))))
+        cells, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([f[1] for f in found]), minlength=len(cells))
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
 
     cells = dealt.groupBy("chunk").cogroup(answered).applyInArrow(statistics, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -197,12 +232,16 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", held_out:
     weights = fit_weights(np.asarray(table.column("cell")), np.asarray(table.column("n")).astype(float), vocabulary)
 
     def score(key, left, right):
-        c, word, pair, context = open_chunk(left, right)
-        mix = weights[bucket(context)]
-        p = mix[:, 0] * pair / np.maximum(context, 1) + mix[:, 1] * word / max(n_train, 1) + mix[:, 2] / (vocabulary + 1)
-        base = np.log10((word + 1) / (n_train + vocabulary + 1))
-        add = lambda v: np.add.reduceat(v, c.first) if len(c.first) else v
-        return pa.table({"id": c.ids, "held_out": pa.array(c.held), "n_tokens": pa.array(c.lengths.astype(np.int64)), "n_known": pa.array(add((word > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(c.held), n_train)), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p)))})
+        c, words, pairs = open_chunk(left, right)
+        known, bases, scores = np.zeros(len(c.held), np.int64), np.zeros(len(c.held)), np.zeros(len(c.held))
+        for i, j, lo, hi in c.blocks():
+            word, pair, context = words[c.word[lo:hi]], pairs[c.pair[lo:hi]], c.context(lo, hi, words, starts)
+            mix = weights[bucket(context)]
+            p = mix[:, 0] * pair / np.maximum(context, 1) + mix[:, 1] * word / max(n_train, 1) + mix[:, 2] / (vocabulary + 1)
+            base = np.log10((word + 1) / (n_train + vocabulary + 1))
+            for out, values in ((known, (word > 0).astype(np.int64)), (bases, base), (scores, np.log10(p))):
+                out[i:j] = np.add.reduceat(values, c.first[i:j] - lo)
+        return pa.table({"id": c.ids, "held_out": pa.array(c.held), "n_tokens": pa.array(c.lengths.astype(np.int64)), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(c.held), n_train)), "base_score": pa.array(bases), "score": pa.array(scores)})
 
     out = dealt.groupBy("chunk").cogroup(answered).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id)
