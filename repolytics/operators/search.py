@@ -1,8 +1,8 @@
 """Keyword search over written postings.
 
 ``write_postings`` reads the texts once and keeps, for each word and document, how often the word
-occurs. The rows are range-sorted by word: a search reads the row groups of its words only and never the
-texts. A word that occurs in every document is spread over files by document key.
+occurs. The rows are dealt by word and document and sorted by word within each file: a search reads the
+row groups of its words only and never the texts. A word that occurs in every document is spread over all files.
 """
 
 from __future__ import annotations
@@ -19,18 +19,21 @@ NOT_A_WORD = r"[^\p{L}\p{N}]+"
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """``term, <key>, n``: words of each text without case and how often they occur. Counted
     inside the row; nothing is shuffled."""
-    words = F.filter(F.split(F.lower(text), NOT_A_WORD), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), NOT_A_WORD), "")
     # runs of the sorted words: each begins where a word differs from the one before
     ordered = df.select(key, F.array_sort(words).alias("w"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    ranked = ordered.where(F.size("w") > 0).withColumn("s", starts)
+    # no filter on the words: it would be moved below and take the texts apart a second time
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    ranked = ordered.withColumn("s", starts)
     run = F.transform("s", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("s", k + 1), F.size("w")) - i).cast("bigint").alias("n")))
     return ranked.select(key, F.explode(run).alias("p")).select("p.term", key, "p.n")
 
 
 def write_postings(df: DataFrame, key: str, text: str, path: str) -> str:
     rows = postings(df, key, text)
-    rows.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(path)
+    # dealt by hash: ranges would have to be sampled, which takes all texts apart once more
+    rows.repartition("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(path)
     return path
 
 

@@ -135,3 +135,15 @@ def test_a_hot_target_is_split(spark):
     statuses = spark.createDataFrame([("hot", 403), ("hot", 403), ("950", 200)], "target string, status int")
     plan = PF.download_plan(entries, none, none, statuses, "target", True)
     assert plan.where("action = 'skip'").count() == 900 and plan.count() == 1000
+
+
+def test_postings_take_a_text_apart_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, " ,")], "id int, text string")
+    text = H.postings(df, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("split(") == 1
+    assert rows(H.postings(df, "id", "text")) == [("a", 1, 1), ("b", 1, 2)]
+    # the texts are not sampled for ranges before they are written
+    seen = spark.sparkContext.accumulator(0)
+    df.rdd.map(lambda r: seen.add(1) or r).toDF(df.schema).createOrReplaceTempView("counted_texts")
+    H.write_postings(spark.table("counted_texts"), "id", "text", f"{tmp_path}/once")
+    assert seen.value == 4 and spark.read.parquet(f"{tmp_path}/once").count() == 2
