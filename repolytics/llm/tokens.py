@@ -3,14 +3,16 @@
 A byte-level BPE vocabulary splits texts by a pattern before merging. A single space between two
 characters that are not white space always starts a new part of that pattern, so texts are
 cut there, and the ids of a text are those of its pieces one after the other. Pieces repeat,
-hence each is encoded once and looked up afterwards. What is held for that, pieces and their
-parts alike, is counted in bytes; beyond ``MOST_BYTES`` only pieces stay that several blocks had.
+hence each is encoded once and looked up afterwards; the new ones of a block are given to the
+library's model together. What is held for that is counted in bytes; beyond ``MOST_BYTES`` only pieces stay that several blocks had.
 Vocabularies of another kind are encoded text by text.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,10 @@ from . import kernel
 MOST_BYTES = 64 << 20
 _ENTRY = 160
 BLOCK = 2 << 20
+# parts given to the model in one call
+_AT_ONCE = 512
+# signs that are one part when they follow a word and end a piece (an apostrophe may begin another)
+_AFTER_WORD = string.punctuation.replace("'", "")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 # a space beside white space of any kind: such texts are cut by the careful pattern
 _BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -37,101 +43,145 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` from ``starts``, one after the other."""
+    ends = np.cumsum(lengths)
+    return ids[np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _is_word(piece: str) -> bool:
+    return piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+
+
 class Encoder:
     """``encode`` a text column to ids. One object lives as long as its Python worker."""
 
     def __init__(self, path: str, most: int = MOST_BYTES):
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+        # a task has one core: the library is not to start threads of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         kind = str(self.whole.pre_tokenizer)
         self.byte_level = kind.startswith("ByteLevel(") and "use_regex=True" in kind and "add_prefix_space=False" in kind and self.whole.normalizer is None
         self.most = most
         self.parts = regex.compile(_PARTS)
         self.letters = _byte_letters()
+        # the same model for many parts at once, a space between them: no letter is a space
+        self.many = Tokenizer(self.whole.model)
+        self.many.pre_tokenizer = CharDelimiterSplit(" ")
+        self.code_points = np.array([ord(self.letters[b]) for b in range(255)] + [ord(" ")], "<u4")
+        n_ids = int(self.whole.get_vocab_size(with_added_tokens=True))
+        self.bytes_of = np.array([len(self.whole.id_to_token(i) or "") for i in range(n_ids)], np.int64) if self.byte_level else None
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
         self.has_special = self.special is not None
-        self.bits = max(1, int(self.whole.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        self.bits = max(1, (n_ids - 1).bit_length())
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.known: dict[str, list[int]] = {}
+        # the looked-up pieces; the ids of each begin at its slot
+        self.known = pa.array([], pa.large_string())
+        self.slots, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.held = 0
         # how many blocks had each piece
         self.seen = np.zeros(0, np.int32)
-        self.ids, self.starts, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.used = 0
 
     def _trim(self) -> None:
         """Keep the pieces that most blocks had, half the bound at most."""
-        names, sizes = list(self.slots), self.lengths[0]
-        cost = np.array([len(n) for n in names], np.int64) + 4 * sizes + _ENTRY
+        known, sizes = self.known, self.lengths
+        cost = np.diff(kernel.text_bytes(known)[1]) + 4 * sizes + _ENTRY
         for least in (2, 3, 5, 9, 17):
             keep = np.flatnonzero(self.seen >= least)
             if int(cost[keep].sum()) <= self.most // 2:
                 break
         else:
             keep = keep[:0]
-        starts, sizes = self.starts[0][keep], sizes[keep]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[0][np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+        ids, sizes = _gather(self.ids, self.slots[keep], sizes[keep]), sizes[keep]
         self._clear()
-        self.slots = {names[k]: i for i, k in enumerate(keep.tolist())}
-        self.ids, self.starts, self.lengths = [ids], [ends - sizes], [sizes]
-        self.used, self.held, self.seen = total, int(cost[keep].sum()), np.ones(len(keep), np.int32)
-
-    def _part(self, part: str) -> list[int]:
-        slot = self.slots.get(part)
-        if slot is not None and slot < len(self.starts[0]):
-            at = int(self.starts[0][slot])
-            return self.ids[0][at : at + int(self.lengths[0][slot])].tolist()
-        ids = self.known.get(part)
-        if ids is None:
-            ids = self.known[part] = self._merge(part)
-            self.held += len(part) + 8 * len(ids) + _ENTRY
-        return ids
+        self.known, self.ids, self.lengths, self.slots = known.take(pa.array(keep)), ids, sizes, np.cumsum(sizes) - sizes
+        self.held, self.seen = int(cost[keep].sum()), np.ones(len(keep), np.int32)
 
     def _merge(self, part: str) -> list[int]:
         name = part.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.whole.model.tokenize(name)]
 
-    def _piece(self, piece: str) -> list[int]:
-        if self.has_special and self.special.search(piece):
-            return self.whole.encode(piece, add_special_tokens=False).ids
-        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            return self._merge(piece)
-        return [i for part in self.parts.findall(piece) for i in self._part(part)]
-
-    def _find(self, pieces: list[str]) -> np.ndarray:
-        """Slots of pieces; the ids of those not met before are added in one go."""
-        slots, found = self.slots, []
-        ids, lengths = [], []
+    def _merge_all(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after the other, and how many each has."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(parts), _AT_ONCE):
+            coded = [p.encode() for p in parts[i : i + _AT_ONCE]]
+            # 0xff occurs in no text and stands for the space between parts
+            names = self.code_points[np.frombuffer(b"\xff".join(coded), np.uint8)].tobytes().decode("utf-32-le")
+            own = np.array(self.many.encode_batch_fast([names], add_special_tokens=False)[0].ids, np.uint32)
+            # an id stands for as many bytes as its name has letters, so parts end where their bytes do
+            ends, want = np.cumsum(self.bytes_of[own]), np.cumsum([len(c) for c in coded])
+            last = np.searchsorted(ends, want)
+            if not len(ends) or ends[-1] != want[-1] or (ends[last] != want).any():
+                lists = [self._merge(p) for p in parts[i : i + _AT_ONCE]]
+                own, last = np.array([x for one in lists for x in one], np.uint32), np.cumsum([len(one) for one in lists]) - 1
+            ids.append(own)
+            lengths.append(np.diff(last, prepend=-1))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _split(self, piece: str) -> list[str]:
+        """The parts of a piece without special strings."""
+        if _is_word(piece):
+            return [piece]
+        word = piece.rstrip(_AFTER_WORD)
+        if len(word) < len(piece) and _is_word(word):
+            return [word, piece[len(word) :]]
+        return self.parts.findall(piece)
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces not met before, one after the other, and how many each has."""
+        number: dict[str, int] = {}
+        whole: dict[int, list[int]] = {}
+        places, counts = [], []
         for piece in pieces:
-            slot = slots.get(piece)
-            if slot is None:
-                own = self._piece(piece) if piece else []
-                slot = slots[piece] = len(slots)
-                self.held += len(piece) + 4 * len(own) + _ENTRY
-                ids += own
-                lengths.append(len(own))
-            found.append(slot)
-        if lengths:
-            sizes = np.array(lengths, np.int64)
-            self.starts.append(self.used + np.cumsum(sizes) - sizes)
-            self.lengths.append(sizes)
-            self.ids.append(np.array(ids, np.uint32))
-            self.used += len(ids)
-            for name in ("ids", "starts", "lengths"):
-                parts = getattr(self, name)
-                setattr(self, name, [np.concatenate(parts)] if len(parts) > 1 else parts)
-            self.seen = np.concatenate([self.seen, np.zeros(len(lengths), np.int32)])
-        found = np.array(found, np.int64)
-        self.seen[found] += 1
-        return found
+            if self.has_special and self.special.search(piece):
+                own = [piece]
+                whole[number.setdefault(piece, len(number))] = self.whole.encode(piece, add_special_tokens=False).ids
+            else:
+                own = self._split(piece)
+            places += [number.setdefault(part, len(number)) for part in own]
+            counts.append(len(own))
+        parts = list(number)
+        at = np.asarray(pc.fill_null(pc.index_in(pa.array(parts, pa.large_string()), value_set=self.known), -1)).astype(np.int64)
+        at[list(whole)] = -1
+        starts, lengths = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        met = at >= 0
+        starts[met], lengths[met] = self.slots[at[met]], self.lengths[at[met]]
+        lost = [i for i in np.flatnonzero(~met).tolist() if i not in whole]
+        merged, sizes = self._merge_all([parts[i] for i in lost])
+        fixed = [len(x) for x in whole.values()]
+        ids = np.concatenate([self.ids, merged, np.array([x for own in whole.values() for x in own], np.uint32)])
+        sizes = np.concatenate([sizes, np.array(fixed, np.int64)])
+        lost += list(whole)
+        starts[lost], lengths[lost] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        places = np.array(places, np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths[places])])
+        upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        return _gather(ids, starts[places], lengths[places]), np.diff(ends[upto])
+
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces; the ids of those not met before are added in one go."""
+        found = pc.index_in(pieces, value_set=self.known)
+        lost = found.is_null()
+        at = np.asarray(found.fill_null(0)).astype(np.int64)
+        if lost.true_count:
+            new = pieces.filter(lost)
+            ids, sizes = self._new(new.to_pylist())
+            at[np.asarray(lost)] = len(self.known) + np.arange(len(new))
+            self.held += int(np.diff(kernel.text_bytes(new)[1]).sum()) + 4 * len(ids) + _ENTRY * len(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.slots = np.concatenate([self.slots, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.lengths, self.ids = np.concatenate([self.lengths, sizes]), np.concatenate([self.ids, ids])
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int32)])
+        self.seen[at] += 1
+        return at
 
     def _lists(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and offsets of rows given as lists of pieces; all but a row's first follow a space."""
@@ -140,17 +190,17 @@ class Encoder:
         at -= at[0]
         if self.held > self.most:
             self._trim()
-        coded = flat.dictionary_encode()
-        codes = np.asarray(coded.indices).astype(np.int64)
-        slot_of = self._find([" " + p for p in coded.dictionary.to_pylist()])
-        slots = slot_of[codes] if len(codes) else codes
         first = at[:-1]
-        slots[first] = self._find(flat.take(pa.array(first)).to_pylist())
-        starts, lengths = self.starts[0][slots], self.lengths[0][slots]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(starts - ends + lengths, lengths) + np.arange(total)
-        return self.ids[0][where], np.concatenate([[0], ends])[at]
+        coded, heads = flat.dictionary_encode(), flat.take(pa.array(first)).dictionary_encode()
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+        of = self._find(pc.unique(pa.concat_arrays([spaced, heads.dictionary])))
+        # a first piece that begins with a space may be a spaced one as well
+        if len(of) < len(spaced) + len(heads.dictionary):
+            of = np.concatenate([of[: len(spaced)], self._find(heads.dictionary)])
+        found = of[np.asarray(coded.indices)]
+        found[first] = of[len(spaced) + np.asarray(heads.indices).astype(np.int64)]
+        sizes = self.lengths[found]
+        return _gather(self.ids, self.slots[found], sizes), np.concatenate([[0], np.cumsum(sizes)])[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of a block of texts; null is empty."""

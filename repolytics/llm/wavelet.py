@@ -47,9 +47,13 @@ def split_planes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     """The bit planes, highest first; each is stably sorted by the planes before it."""
     now, planes = ids.astype(np.uint16 if bits <= 16 else np.uint32), []
     for b in range(bits - 1, -1, -1):
-        ones = (now >> b) & 1 == 1
+        ones = (now & now.dtype.type(1 << b)).astype(bool)
         planes.append(ones)
-        now = np.concatenate([now[~ones], now[ones]])
+        zeros = len(now) - int(np.count_nonzero(ones))
+        split = np.empty_like(now)
+        np.compress(~ones, now, out=split[:zeros])
+        np.compress(ones, now, out=split[zeros:])
+        now = split
     return planes
 
 

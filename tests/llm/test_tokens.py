@@ -107,6 +107,23 @@ def test_memory_of_looked_up_pieces_is_bounded():
         assert len(small.known) + len(small.slots) < 800 and small.held < 120_000
 
 
+def test_new_parts_are_merged_together(monkeypatch):
+    """The parts of a block go to the model in a few calls, not one by one; the ids are those of the texts."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeéß日") for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", ",!", "'s", "12", ".\nNo"]) for _ in range(200)) for _ in range(60)]
+    for sizes in (True, False):
+        some = Encoder(vocabulary(), most=100_000)
+        want = some.whole.encode_batch(texts, add_special_tokens=False)
+        with monkeypatch.context() as m:
+            if sizes:
+                m.setattr(some, "_merge", lambda part: pytest.fail(f"{part} alone"))
+            else:  # ids whose bytes are not known: then one by one
+                some.bytes_of = np.full_like(some.bytes_of, 7)
+            for i in range(0, 60, 15):
+                ids, at = some.encode(pa.array(texts[i : i + 15]))
+                assert all(ids[at[k] : at[k + 1]].tolist() == want[i + k].ids for k in range(15))
+
+
 def test_a_plain_folder_belongs_to_the_default_store(spark, tmp_path):
     assert wavelet._qualified(spark, str(tmp_path)).startswith("file:")
     files = wavelet.write_shards(documents(spark), vocabulary(), folder=f"{tmp_path}/shards")
