@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from ..functions.text import export_name, lines_of
 from ..operators.aggregates import monthly_counts
 from ..operators.documents import export_description
-from ..operators.joins import keyed_join
 from ..plans.reports import FailedIdentifiers
 from ..session import scratch_path
 from ..sources import readers as R
@@ -170,8 +169,10 @@ def snk_01_details(t):
 def snk_02(t):
     datasets, files = description_tables(t.orders, t.lineitem)
     names = t.orders.select("o_orderkey", export_name(F.concat(F.lit(PID_PREFIX), "o_orderkey"), "o_orderdate").alias("doc_name"))
-    named = keyed_join(export_description(datasets, files, "o_orderkey", ["@id", "contentSize"]), names, "o_orderkey")
-    return W.read_documents(t.spark, W.write_documents(named, scratch_path(t.spark, "documents"), "doc_name"))
+    # fragments are dealt by their key already: a plain join keeps them where they are, and the
+    # chunks of long documents, which are not, are shuffled and split by it as needed
+    named = export_description(datasets, files, "o_orderkey", ["@id", "contentSize"]).join(names, "o_orderkey")
+    return W.read_documents(t.spark, W.write_documents(named, scratch_path(t.spark, "documents"), "doc_name", "gzip"))
 
 
 @query(

@@ -102,6 +102,18 @@ def test_documents_round_trip(spark, tmp_path):
     assert {d for d in os.listdir(f"{tmp_path}/files") if d.startswith("doc_name=")} == {"doc_name=a_1", "doc_name=b"}
 
 
+def test_documents_written_compressed(spark, tmp_path):
+    """Compressed files hold the same lines in far fewer bytes, and no column but those of a line is needed."""
+    rows = [(f"d{k}", i, f'{{"tab\\t":"{k}","contentUrl":"https://data.example.org/{i}"}}', k) for k in range(3) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_name string, place bigint, fragment string, other int").repartition(4)
+    sizes = {}
+    for kind in ("none", "gzip"):
+        path = W.write_documents(df, f"{tmp_path}/{kind}", "doc_name", kind)
+        assert sorted(map(tuple, R_docs(spark, path))) == sorted(r[:3] for r in rows)
+        sizes[kind] = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-"))
+    assert sizes["gzip"] * 4 < sizes["none"]
+
+
 def test_export_names_hold_the_time(spark):
     df = spark.sql("SELECT 'doi:10.5072/FK2/X' AS pid, TIMESTAMP_NTZ '2024-03-05 07:08:09' AS t")
     assert df.select(export_name("pid", "t")).first()[0] == "croissant_doi_10.5072_FK2_X_20240305_070809.json"
