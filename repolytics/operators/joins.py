@@ -1,8 +1,8 @@
 """Join operators.
 
-No size hint is given anywhere: which side is broadcast is left to the optimizer and to
-adaptive execution, which decide on measured sizes and fall back to a (skew-split) sort-merge
-join. Sides used only for membership are reduced to distinct keys first, so a hot key never
+But for ``with_children``, which names the side that is held, no size hint is given: which side
+is broadcast is left to the optimizer and to adaptive execution, which decide on measured sizes
+and fall back to a (skew-split) sort-merge join. Sides used only for membership are reduced to distinct keys first, so a hot key never
 multiplies and only ever sits on the side that adaptive execution can split (``keyed_join``).
 """
 
@@ -59,10 +59,11 @@ def with_children(parent: DataFrame, child: DataFrame, on: str) -> DataFrame:
     """Parents with each of their children; parents without any stay with nulls.
 
     Split into matched and childless parents: an outer join could not spread one parent's
-    many children over tasks, an inner join can.
+    many children over tasks, an inner join can. The larger side of each is streamed: sorted
+    keys shrink so much in a shuffle that few tasks, each with very many rows to sort, result.
     """
-    matched = parent.join(child, on, "inner")
-    childless = parent.join(distinct_keys(child, on), on, "left_anti")
+    matched = child.join(parent.hint("shuffle_hash"), on, "inner").select(on, *[c for c in parent.columns if c != on], *[c for c in child.columns if c != on])
+    childless = parent.join(distinct_keys(child, on).hint("shuffle_hash"), on, "left_anti")
     return matched.unionByName(childless, allowMissingColumns=True)
 
 

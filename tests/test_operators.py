@@ -78,6 +78,22 @@ def test_denied_sources(spark):
     assert J.exclude_denied(log, deny.where("false"), "ip")[0].count() == 4
 
 
+def test_children_are_streamed_and_not_sorted(spark):
+    """However many children a task has, they are not gathered for a sort; repeated and null keys count as ever."""
+    parent = spark.createDataFrame([("x", 1), ("y", 2), ("z", 2), ("u", 3), ("n", None)], "p string, k int")
+    child = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (4, "c"), (None, "d")], "k int, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = J.with_children(parent, child, "k")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(str, both.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and both.columns == ["k", "p", "v"]
+    want = [(1, "x", "a"), (2, "y", "b"), (2, "y", "b"), (2, "z", "b"), (2, "z", "b"), (3, "u", None), (None, "n", None)]
+    assert found == sorted(f"Row(k={k!r}, p={p!r}, v={v!r})" for k, p, v in want)
+
+
 def test_with_children_keeps_childless(spark):
     parent = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     child = spark.createDataFrame([(1, "a"), (1, "b"), (9, "z")], "k int, c string")
