@@ -41,6 +41,8 @@ SHARD_TOKENS = 4_000_000
 # Rows that share an id are put in ranges by this much of their texts, and by all of it inside.
 RANGE_CHARS = 48
 _RANK = 512
+# bits of a plane worked on at a time, so that their places stay near the processor
+_STRETCH = 1 << 16
 
 
 def split_planes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -49,10 +51,14 @@ def split_planes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     for b in range(bits - 1, -1, -1):
         ones = (now & now.dtype.type(1 << b)).astype(bool)
         planes.append(ones)
-        zeros = len(now) - int(np.count_nonzero(ones))
         split = np.empty_like(now)
-        np.compress(~ones, now, out=split[:zeros])
-        np.compress(ones, now, out=split[zeros:])
+        zero, one = 0, len(now) - int(np.count_nonzero(ones))
+        for i in range(0, len(now), _STRETCH):
+            here, own = ones[i : i + _STRETCH], now[i : i + _STRETCH]
+            low, high = np.flatnonzero(~here), np.flatnonzero(here)
+            own.take(low, out=split[zero : zero + len(low)], mode="clip")
+            own.take(high, out=split[one : one + len(high)], mode="clip")
+            zero, one = zero + len(low), one + len(high)
         now = split
     return planes
 
@@ -63,9 +69,13 @@ def join_planes(planes: list[np.ndarray]) -> np.ndarray:
     now = np.zeros(n, np.uint16 if bits <= 16 else np.uint32)
     for b, ones in enumerate(reversed(planes)):
         before = np.empty_like(now)
-        zeros = n - int(np.count_nonzero(ones))
-        before[~ones] = now[:zeros]
-        before[ones] = now[zeros:] | now.dtype.type(1 << b)
+        zero, one = 0, n - int(np.count_nonzero(ones))
+        for i in range(0, n, _STRETCH):
+            here, own = ones[i : i + _STRETCH], before[i : i + _STRETCH]
+            low, high = np.flatnonzero(~here), np.flatnonzero(here)
+            own[low] = now[zero : zero + len(low)]
+            own[high] = now[one : one + len(high)] | now.dtype.type(1 << b)
+            zero, one = zero + len(low), one + len(high)
         now = before
     return now
 

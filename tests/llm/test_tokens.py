@@ -128,3 +128,28 @@ def test_a_plain_folder_belongs_to_the_default_store(spark, tmp_path):
     assert wavelet._qualified(spark, str(tmp_path)).startswith("file:")
     files = wavelet.write_shards(documents(spark), vocabulary(), folder=f"{tmp_path}/shards")
     assert files.first()["folder"].startswith("file:/") and wavelet.read_shards(spark, files).count() == documents(spark).count()
+
+
+def test_pieces_are_cut_where_bytes_tell_parts_apart(encoder, monkeypatch):
+    """Words, numbers and signs are pieces of their own, found by bytes: the pattern itself is not run on them."""
+    some = Encoder(vocabulary())
+    monkeypatch.setattr(some, "_split", lambda piece: pytest.fail(f"{piece!r} split by the pattern"))
+    texts = ["Né à Orléans, en 1802.", "(Voir p.12;x=3) ", "Слово, и 5%.", None]
+    ids, at = some.encode(pa.array(texts))
+    want = encoder.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(4)] == [w.ids for w in want]
+
+
+def test_white_space_of_all_kinds_and_special_strings(encoder, tmp_path):
+    rng = random.Random(11)
+    blanks = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1f", "\x85", "\xa0", " ", "᠎", " ", "​", " ", "　", "﻿"]
+    others = ["a", "É", "×", "÷", "ж", "҂", "'", "'s", "s", "1", "½", "²", "...", "(", "’", "日本", "。", "́", "\x00", "😀"]
+    more = encoder.whole.from_file(vocabulary())
+    more.add_special_tokens(["<end of text>", "<b>"])
+    more.save(f"{tmp_path}/more.json")
+    for some, special in ((Encoder(vocabulary()), ["<|endoftext|>", "<|end"]), (Encoder(f"{tmp_path}/more.json"), ["<end of text>", "<b>", "<end"])):
+        bits = rng.sample(blanks, 9) + rng.sample(others, 12)
+        texts = ["".join(rng.choice(bits + special * (i % 7 == 0)) for _ in range(rng.randint(0, 20))) for i in range(3000)]
+        ids, at = some.encode(pa.array(texts))
+        want = some.whole.encode_batch(texts, add_special_tokens=False)
+        assert all(ids[at[i] : at[i + 1]].tolist() == want[i].ids for i in range(len(texts)))
