@@ -29,6 +29,10 @@ BLOCK = 4 << 20
 _AT_ONCE = 256
 # signs that are one part when they follow a word and end a piece (an apostrophe may begin another)
 _AFTER_WORD = string.punctuation.replace("'", "")
+# for pieces of two tokenizers (``alignment``): single spaces, and where white space of any kind is beside one
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_BLANK_SIGN = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_BESIDE = f"{_BLANK_SIGN}\\x20|\\x20{_BLANK_SIGN}"
 # kinds of bytes that tell parts of the pattern apart: letters, digits, signs; 0 says nothing
 _LETTER, _DIGIT, _SIGN = 1, 2, 3
 _KIND = np.zeros(256, np.uint8)
