@@ -17,7 +17,9 @@ Units repeat; each is tokenised and aligned once per block of texts, all of a bl
 With a vocabulary B that has such pieces, whole texts are the units.
 
 A block sends each id pair once with its count; pairs are added up by Spark and come back to
-the block that asked. A pair that occurs everywhere is thus one row for each block.
+the block that asked, as rows beside it. A pair that occurs everywhere is thus one row for each block.
+Block rows are large: their numbers are kept as bytes, and few of them lie together in a file (``ROWS``), as
+all that lie together are read at once.
 
 Defined results: null and empty texts, and those that either tokenizer does not give back byte for
 byte (U+2581, for one), have no tokens: zeros and an empty string. Repeated rows are rows of their own, each counting
@@ -46,6 +48,9 @@ STRETCH = 1 << 12
 BLOCK = 4 << 20
 SLICE = 4096
 FAN = 16
+# rows of blocks, of pieces or of whole texts that a reader of a written table holds at once
+ROWS = 8
+_FEW = {"parquet.block.row.count.limit": str(ROWS)}
 _TEXT = pa.large_string()
 
 
@@ -238,11 +243,23 @@ _BLOCK_ARRAYS = {"key": "string", "n_a": "bigint", "n_b": "bigint", "n_groups":
 
 def _block_schema(kind: str) -> str:
     arrays = ", ".join(f"{n} array<{t}>" for n, t in _BLOCK_ARRAYS.items())
-    return f"block bigint, ids array<{kind}>, {arrays}, unit_at array<bigint>, codes binary, pair_at array<bigint>, pair_of array<int>, pairs array<bigint>, weights array<bigint>"
+    return f"block bigint, ids array<{kind}>, {arrays}, unit_at array<bigint>, codes binary, pair_n binary, pair_of binary, pairs array<bigint>, weights array<bigint>"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as bytes, one, two or four for each, behind a byte that says how many."""
+    most = int(numbers.max()) if len(numbers) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def _block(ids: pa.Array, key: list, numbers: np.ndarray, groups: list, at: np.ndarray, codes: np.ndarray, pair_at: np.ndarray, unit_pairs: np.ndarray) -> dict:
-    """A block row: texts as runs of units, units as lists of pairs, pairs with their counts.
+    """A block row: texts as runs of units (``unit_at``, ``codes``), units as lists of pairs (``pair_n`` numbers of
+    ``pair_of`` each), pairs with their counts.
 
     ``numbers`` has a row ``n_a, n_b, n_groups, n_links`` for each text."""
     pairs, pair_of = np.unique(unit_pairs, return_inverse=True)
@@ -257,9 +274,9 @@ def _block(ids: pa.Array, key: list, numbers: np.ndarray, groups: list, at: np.n
         **{n: numbers[:, k] for k, n in enumerate(["n_a", "n_b", "n_groups", "n_links"])},
         "groups": groups,
         "unit_at": at,
-        "codes": codes.astype("<u2" if len(sizes) < 1 << 16 else "<u4").tobytes(),
-        "pair_at": pair_at,
-        "pair_of": pair_of.astype(np.int32),
+        "codes": _packed(codes),
+        "pair_n": _packed(sizes),
+        "pair_of": _packed(pair_of),
         "pairs": pairs,
         "weights": weights,
     }
@@ -300,6 +317,12 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows of a batch one after the other: those of long texts are large in Python."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _arrow(df_schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -412,7 +435,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str, chunk
                 for piece in _pieces(aligner(path_a, path_b), texts[k].as_py(), chunk, stretch):
                     yield _batch([one | piece], arrow)
 
-    stored = written(docs.select(F.col(f"`{id}`"), F.col(f"`{text}`").cast("string")).mapInArrow(first, schema), "alignment")
+    stored = written(docs.select(F.col(f"`{id}`"), F.col(f"`{text}`").cast("string")).mapInArrow(first, schema), "alignment", **_FEW)
     columns = [f.name for f in spark.createDataFrame([], _block_schema(kind)).schema]
     pieces = stored.where("text_key is not null").select("text_key", "id", "part", "low", "high", "at", "piece")
     names = ["text_key", "id", "part", "low", "high", "at", "piece"]
@@ -421,7 +444,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str, chunk
 
     def ranges(batches):
         for batch in batches:
-            for piece in batch.to_pylist():
+            for piece in _rows(batch):
                 sound, f = _range(aligner(path_a, path_b), piece)
                 numbers, pairs = _numbers(f.groups)
                 row = {"id": piece["id"], "text_key": piece["text_key"], "part": piece["part"], "sound": sound, "cut": f.cut, "head": _flat(f.head), "tail": _flat(f.tail)}
@@ -430,19 +453,19 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id: str, text: str, chunk
                 yield _batch([own | row], arrow2)
 
     # a task for each piece's neighbours in hash order: the pieces of one text go to many tasks
-    opened = written(pieces.repartition("text_key", "part").select(*names).mapInArrow(ranges, schema2), "alignment-pieces")
+    opened = written(pieces.repartition("text_key", "part").select(*names).mapInArrow(ranges, schema2), "alignment-pieces", **_FEW)
     one = opened.select(F.col("text_key").alias("key"), "id", "part", *[c.split(" ")[0] for c in _FRAGMENT.split(", ")])
-    composed = written(_reduce(one, kind), "alignment-texts")
+    composed = written(_reduce(one, kind), "alignment-texts", **_FEW)
 
     def closing(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 groups = r["closed"] if whole else hashlib.sha256(r["closed"].encode()).hexdigest()
                 yield _batch([_block(pa.array([r["id"]], arrow2.field("ids").type.value_type), [r["key"]], np.array([r["made_n"]]), [groups], np.array([0, 1]), np.zeros(1, np.int64), np.array([0, len(r["made"])]), np.array(r["made"], np.int64))], arrow3)
 
     arrow3 = _arrow(spark.createDataFrame([], _block_schema(kind)).schema)
     good = composed.where("sound")
-    last = written(good.select("key", "id", "closed", "made", "made_n").mapInArrow(closing, _block_schema(kind)), "alignment-closing")
+    last = written(good.select("key", "id", "closed", "made", "made_n").mapInArrow(closing, _block_schema(kind)), "alignment-closing", **_FEW)
     # a text that one piece finds unsound has no tokens in any
     kept = opened.join(good.select(F.col("key").alias("text_key")), "text_key", "left_semi").select(*columns)
     return stored.where("block is not null").select(*columns).unionByName(kept).unionByName(last), composed
@@ -473,34 +496,32 @@ def align(docs: DataFrame, path_a: str, path_b: str, id: str = "doc_id", text: s
     kind = docs.schema[id].dataType.simpleString()
     blocks, composed = _blocks(docs, path_a, path_b, id, text, chunk, stretch, groups)
     each, counts = _counts(blocks)
-    found = each.drop("weight").join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("found"))
-    columns = ["block", "ids", *_BLOCK_ARRAYS, "unit_at", "codes", "pair_at", "pair_of", "pairs"]
+    found = each.drop("weight").join(counts, "pair").select(F.col("block").alias("of"), "at", "n", "best")
+    columns = ["block", "ids", *_BLOCK_ARRAYS, "unit_at", "codes", "pair_n", "pair_of", "n_pairs"]
     schema = f"id {kind}, key string, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
     arrow = _arrow(docs.sparkSession.createDataFrame([], schema).schema)
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(i)[k] for i, c in enumerate(batch.schema.names)}
-                array = lambda c: np.asarray(row[c].values, np.int64)
-                n, best = np.zeros((2, len(row["pairs"].values)), np.int64)
-                if row["found"].is_valid:
-                    at, count, is_best = (row["found"].values.field(i) for i in range(3))
-                    n[np.asarray(at)], best[np.asarray(at)] = np.asarray(count), np.asarray(is_best.cast(pa.int8()))
-                pair_at, pair_of = array("pair_at"), array("pair_of")
-                codes = np.frombuffer(row["codes"].as_py(), "<u2" if len(pair_at) - 1 < 1 << 16 else "<u4")
-                out = []
-                for value in (best, n):
-                    unit = np.concatenate([[0], np.cumsum(value[pair_of])])
-                    unit = unit[pair_at[1:]] - unit[pair_at[:-1]]
-                    total = np.concatenate([[0], np.cumsum(unit[codes])])
-                    at = array("unit_at")
-                    out.append(total[at[1:]] - total[at[:-1]])
-                ints = [pa.array(v, pa.int64()) for v in (*(array(c) for c in ("n_a", "n_b", "n_groups", "n_links")), *out)]
-                yield pa.RecordBatch.from_arrays([row["ids"].values, row["key"].values, *ints, row["groups"].values], schema=arrow)
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        row = {c: block.column(c)[0] for c in block.column_names}
+        at = np.asarray(found.column("at"))
+        codes, sizes, pair_of = (_unpacked(row[c].as_py()) for c in ("codes", "pair_n", "pair_of"))
+        pair_at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        unit_at = np.asarray(row["unit_at"].values, np.int64)
+        out = []
+        for name in ("best", "n"):
+            value = np.zeros(row["n_pairs"].as_py(), np.int64)
+            value[at] = np.asarray(found.column(name).cast(pa.int64()))
+            unit = np.concatenate([[0], np.cumsum(value[pair_of])])
+            unit = unit[pair_at[1:]] - unit[pair_at[:-1]]
+            total = np.concatenate([[0], np.cumsum(unit[codes])])
+            out.append(pa.array(total[unit_at[1:]] - total[unit_at[:-1]], pa.int64()))
+        ints = [row[c].values for c in ("n_a", "n_b", "n_groups", "n_links")]
+        return pa.Table.from_arrays([row["ids"].values, row["key"].values, *ints, *out, row["groups"].values], schema=arrow)
 
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    rows = written(blocks.select(*columns).join(found, "block", "left").mapInArrow(run, schema), "alignment-rows")
+    # a block and its pairs meet in a task one block at a time
+    asked = blocks.withColumn("n_pairs", F.size("pairs")).select(*columns).groupBy("block")
+    rows = written(asked.cogroup(found.groupBy("of")).applyInArrow(run, schema), "alignment-rows")
     long = rows.where("key is not null").groupBy("key").agg(F.first("id").alias("id"), *[F.sum(c).alias(c) for c in numbers], F.max("groups").alias("groups"))
     none = composed.where("not sound").select("id", *[F.lit(0).cast("bigint").alias(c) for c in numbers], F.lit("").alias("groups"))
     every = rows.where("key is null").drop("key").unionByName(long.drop("key")).unionByName(none)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
-def written(df: DataFrame, name: str = "llm") -> DataFrame:
+def written(df: DataFrame, name: str = "llm", **options: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared folder and read it back: cuts the lineage,
-    survives lost executors, is computed once however often it is read."""
+    survives lost executors, is computed once however often it is read. ``options`` are those of the writer."""
     path = scratch_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -3,7 +3,9 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from cases import documents, empty, texts
 
@@ -147,3 +149,38 @@ def test_groups_links_and_empty_table(spark, own):
     counted = alignment.link_counts(documents(spark, rows), vocabulary(), PIECES, chunk=50).collect()
     assert {(r["a"], r["b"]): r["n"] for r in counted} == pairs
     assert alignment.align(empty(spark), vocabulary(), PIECES).count() == 0
+
+
+def test_few_block_rows_lie_together(spark):
+    """A reader holds all rows of a row group at once, so a file of many large rows has many groups."""
+    docs = documents(spark, [(i, f"text {i} " * 40) for i in range(30)])
+    blocks, composed = alignment._blocks(docs, vocabulary(), PIECES, "doc_id", "text", 50, 30, False)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for df in (blocks, composed) for f in df.inputFiles()]
+    assert max(m.num_rows for m in files) > alignment.ROWS
+    assert max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= alignment.ROWS
+    # numbers of units and links are bytes, not lists of wide numbers
+    assert {dict(blocks.dtypes)[c] for c in ("codes", "pair_n", "pair_of")} == {"binary"}
+
+
+def test_counts_come_back_as_rows(spark):
+    """No list of all pairs of a block is gathered, neither by an aggregate nor for a join."""
+    docs = documents(spark, [(i, f"text {i}") for i in range(5)])
+    plans = []
+
+    def kept(df, name="llm", **options):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name, **options)
+
+    written, alignment.written = alignment.written, kept
+    try:
+        found = alignment.align(docs, vocabulary(), PIECES).collect()
+    finally:
+        alignment.written = written
+    assert len(found) == 5 and all("collect_list" not in plan for _, plan in plans)
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 65535, 65536, (1 << 32) - 1])
+def test_numbers_as_bytes(most):
+    numbers = np.array([0, most, most // 2], np.int64)
+    assert alignment._unpacked(alignment._packed(numbers)).tolist() == numbers.tolist()
+    assert alignment._unpacked(alignment._packed(numbers[:0])).tolist() == []
