@@ -7,12 +7,12 @@ from pyspark.sql import types as T
 
 from ..functions.text import export_name, lines_of
 from ..operators.aggregates import monthly_counts
-from ..operators.documents import export_description
+from ..operators.documents import description_fragment, export_description
 from ..plans.reports import FailedIdentifiers
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import writers as W
-from ..sources.shapes import BASE_URL, PID_PREFIX, dataset_rows, description_tables, failure_log, usage_report
+from ..sources.shapes import BASE_URL, PID_PREFIX, dataset_rows, description_columns, description_sources, description_ties, failure_log, usage_report
 from .registry import query
 from .snippets import DESCRIPTIONS, FAILURE_LOG, LINES
 
@@ -167,12 +167,15 @@ def snk_01_details(t):
         FROM descriptions JOIN orders USING (o_orderkey)""",
 )
 def snk_02(t):
-    datasets, files = description_tables(t.orders, t.lineitem)
+    shape = description_columns()
+    datasets, files = description_sources(t.orders, t.lineitem)
     names = t.orders.select("o_orderkey", export_name(F.concat(F.lit(PID_PREFIX), "o_orderkey"), "o_orderdate").alias("doc_name"))
-    # fragments are dealt by their key already: a plain join keeps them where they are, and the
+    placed = export_description(datasets, files, "o_orderkey", ["@id", "contentSize"], shape=shape, ties=description_ties())
+    # rows are dealt by their key already: a plain join keeps them where they are, and the
     # chunks of long documents, which are not, are shuffled and split by it as needed
-    named = export_description(datasets, files, "o_orderkey", ["@id", "contentSize"]).join(names, "o_orderkey")
-    return W.read_documents(t.spark, W.write_documents(named, scratch_path(t.spark, "documents"), "doc_name", "gzip"))
+    named = placed.join(names, "o_orderkey")
+    path = W.write_documents(named, scratch_path(t.spark, "documents"), "doc_name", "gzip", description_fragment(shape))
+    return W.read_documents(t.spark, path)
 
 
 @query(

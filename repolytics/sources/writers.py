@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,17 +25,21 @@ def read_report(spark: SparkSession, path: str, ranked_schema, details_schema) -
     return read("ranked", ranked_schema), read("details", details_schema)
 
 
-def write_documents(rows: DataFrame, path: str, name: str, compression: str = "none") -> str:
+def write_documents(rows: DataFrame, path: str, name: str, compression: str = "none", fragment: Column | None = None) -> str:
     """Documents given as fragments (``name, place, fragment``), written as a stream of lines
     ``name<TAB>place<TAB>fragment``.
 
     Lines are range-sorted by name and place over all files: the third fields of a name's lines,
     read in the order of the files, are the document, of whatever length. One physical file
     per document would mean millions of tiny files. ``compression`` is that of the text files.
+
+    A ``fragment`` made of other columns is built where its line is written: the rows are dealt out as they are.
     """
-    line = F.concat_ws("\t", F.col(name), F.col("place").cast("string"), F.col("fragment"))
-    # only what a line holds is dealt out
-    ordered = rows.select(name, "place", "fragment").repartitionByRange(name, "place").sortWithinPartitions(name, "place")
+    if fragment is None:
+        # only what a line holds is dealt out
+        rows, fragment = rows.select(name, "place", "fragment"), F.col("fragment")
+    ordered = rows.repartitionByRange(name, "place").sortWithinPartitions(name, "place")
+    line = F.concat_ws("\t", F.col(name), F.col("place").cast("string"), fragment)
     ordered.select(line.alias("value")).write.mode("overwrite").text(path, compression=compression)
     return path
 
