@@ -1,11 +1,13 @@
 """Dataset descriptions whose texts are built where they are written: the same fragments, few columns dealt out."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from repolytics.catalog import sources
-from repolytics.operators.documents import description_fragment, export_description
+from repolytics.operators.documents import description_fragment, export_description, whole_descriptions
 from repolytics.sources.shapes import description_columns, description_sources, description_tables, description_ties
 
 
@@ -46,3 +48,28 @@ def test_the_sink_deals_out_no_texts(spark, monkeypatch):
     assert "fragment" not in columns
     dealt = plan[plan.index("RepartitionByExpression") :]
     assert "to_json" not in dealt and "md5" not in dealt
+
+
+@pytest.mark.parametrize("part_size,long_series", [(1000, 2_000_000), (7, 2_000_000), (7, 50), (1, 2_000_000)])
+def test_documents_are_joined_from_numbered_parts(spark, part_size, long_series):
+    """In parts of whatever size: all files of a dataset, in their order, in one document."""
+    datasets, files = description_tables(*tables(spark))
+    order = ["@id", "contentSize"]
+    found = whole_descriptions(datasets, files, "o_orderkey", order, part_size, long_series).collect()
+    rank = lambda e: tuple((e.get(c) is not None, e.get(c) or "") for c in order)
+    sizes = {r["o_orderkey"]: r["n"] for r in files.groupBy("o_orderkey").agg(F.count("*").alias("n")).collect()}
+    assert len(found) == datasets.count()
+    for r in found:
+        entries = json.loads(r["document"])["distribution"]
+        assert len(entries) == (sizes.get(r["o_orderkey"], 0) if r["o_orderkey"] is not None else 0)
+        assert entries == sorted(entries, key=rank)
+    # the text of all files of a key, as its fragments give it
+    fragments = export_description(datasets.dropDuplicates(["o_orderkey"]), files, "o_orderkey", order).where("place > 0 and fragment not like ']%'")
+    listed = fragments.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "fragment")))["fragment"].alias("l")).collect()
+    texts = {r["o_orderkey"]: "".join(r["l"]) for r in listed if r["o_orderkey"] is not None}
+    assert set(texts) == {1, 2, 3}
+    assert all(r["document"].split('"distribution":[', 1)[1].startswith(texts.get(r["o_orderkey"], "") + "]") for r in found)
+
+
+def test_the_sql_of_descriptions_numbers_files():
+    assert "row_number() OVER (PARTITION BY o_orderkey" in entry.oracle_sql()["doc_04_export_description"]
