@@ -293,12 +293,13 @@ def _texts_block(own: Aligner, ids: pa.Array, texts: pa.Array, whole: bool) -> d
     bad[row[~table.sound[codes]]] = True
     codes, sizes = codes[~bad[row]], np.where(bad, 0, np.diff(at))
     at = np.concatenate([[0], np.cumsum(sizes)])
-    before = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(table.counts[codes], axis=0)])
+    # one number after the other: a block has many times as many units as texts
+    numbers = np.stack([np.diff(np.concatenate([[0], np.cumsum(table.counts[codes, k])])[at]) for k in range(4)], axis=1)
     groups = []
     for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
         text = ";".join([table.texts[c] for c in codes[i:j].tolist()])
         groups.append(text if whole else hashlib.sha256(text.encode()).hexdigest() if i < j else "")
-    return _block(ids.take(pa.array(order)), [None] * len(texts), before[at[1:]] - before[at[:-1]], groups, at, codes, table.pair_at, table.pairs)
+    return _block(ids.take(pa.array(order)), [None] * len(texts), numbers, groups, at, codes, table.pair_at, table.pairs)
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
